@@ -1,0 +1,11 @@
+"""The corpus pipeline (its stages follow as the operators do)."""
+
+STAGES = []
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
