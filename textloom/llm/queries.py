@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .line_quality import line_quality
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .toxicity import toxicity
 
 #: DuckDB's lower() folds more than A-Z.
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -23,6 +25,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(spark, documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -33,15 +39,26 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(spark, documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pack_documents(spark, documents(spark, sf_dir), with_ids=False)
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(spark, documents(spark, sf_dir), labels(spark, sf_dir))
+    return found.select("doc_id", "p_low_quality", "p_toxic", "p_toxic_low_quality", (~F.col("rejected")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op6_line_quality": op6_line_quality,
     "op7_packing": op7_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
