@@ -15,6 +15,7 @@ from .exact_dedup import exact_dedup
 from .line_quality import line_quality
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 
 #: DuckDB's lower() folds more than A-Z.
@@ -48,6 +49,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(spark, documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(spark, documents(spark, sf_dir), labels(spark, sf_dir))
     return found.select("doc_id", "p_low_quality", "p_toxic", "p_toxic_low_quality", (~F.col("rejected")).alias("kept"))
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op6_line_quality": op6_line_quality,
     "op7_packing": op7_packing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -70,4 +77,19 @@ ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op8_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), win AS (
+            SELECT doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) AS k
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)
+        ), hit AS (
+            SELECT doc_id, i FROM win JOIN (SELECT k, min(doc_id) AS m FROM win GROUP BY k) USING (k) WHERE doc_id > m
+        ), gone AS (
+            SELECT doc_id, list(p) AS ps FROM (SELECT DISTINCT doc_id, i + j AS p FROM hit, range(13) AS r(j)) GROUP BY doc_id
+        )
+        SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+               sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+        FROM w LEFT JOIN gone USING (doc_id)
+    """,
 }
