@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .line_quality import line_quality
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
@@ -35,6 +36,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(spark, documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -61,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op6_line_quality": op6_line_quality,
     "op7_packing": op7_packing,
@@ -92,4 +98,29 @@ ORACLE: dict[str, str] = {
                sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
         FROM w LEFT JOIN gone USING (doc_id)
     """,
+    "op2_near_dedup": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS k
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), link AS (
+            SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+        ), edge AS (
+            SELECT a, b FROM link UNION SELECT b, a FROM link
+        ), reach AS (
+            SELECT DISTINCT a AS doc_id, a AS other FROM edge
+            UNION
+            SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other
+        ), least AS (
+            SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
+               doc_id <= coalesce(m, doc_id) AS kept
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+    """,
 }
