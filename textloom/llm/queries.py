@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .line_quality import line_quality
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
@@ -45,6 +46,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(spark, documents(spark, sf_dir))
+
+
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(spark, documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op5_mixing": op5_mixing,
     "op6_line_quality": op6_line_quality,
     "op7_packing": op7_packing,
     "op8_substring_dedup": op8_substring_dedup,
