@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .line_quality import line_quality
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -64,6 +65,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(spark, documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(spark, documents(spark, sf_dir), labels(spark, sf_dir))
     return found.select("doc_id", "p_low_quality", "p_toxic", "p_toxic_low_quality", (~F.col("rejected")).alias("kept"))
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_quality": op6_line_quality,
     "op7_packing": op7_packing,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
