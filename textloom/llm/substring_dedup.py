@@ -11,10 +11,13 @@ from .common import WordHashes, hashed_words, pick, raw_bytes, window_hashes
 
 #: {0, 1, 3} is a difference cover modulo 7: for any i and j there is a d < 7 with i+d and j+d both in it.
 PERIOD, COVER = 7, (0, 1, 3)
-ENTRIES = "bucket int, key long, hashes binary, keys binary, at binary, ids binary"
-HITS = "key long, positions binary"
-#: Words that a task gathers before it sorts them; its memory is a few arrays of this length.
-CHUNK_WORDS = 1_000_000
+#: Words, and documents, that a task gathers before it sorts them; its memory is a few arrays of this length.
+CHUNK_WORDS, CHUNK_DOCS = 1_000_000, 60_000
+#: Rows from a chunk: entries for a bucket (hashes, and which document of the chunk holds each), or,
+#: without hashes, the chunk's own row with its documents' keys and the hits found inside it.
+ENTRIES = "bucket int, chunk long, hashes binary, holders binary, ids binary, keys binary, found binary"
+#: Hits go back to the chunk: hashes, and which document holds each.
+HITS = "chunk long, hashes binary, holders binary, keys binary"
 
 
 def in_cover(n: int) -> np.ndarray:
@@ -22,50 +25,46 @@ def in_cover(n: int) -> np.ndarray:
     return positions[np.isin(positions % PERIOD, COVER)]
 
 
-def first_of_each(h: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A document's distinct hashes, each with its first position."""
-    values, at = np.unique(h, return_index=True)
-    return values, positions[at]
-
-
 class Chunk:
-    """(hash, document, position) of some documents, and what can be told from them alone."""
+    """(hash, document) of some documents, and what can be told from them alone."""
 
     def __init__(self, buckets: int):
-        self.buckets = buckets
+        from pyspark import TaskContext
+
+        self.buckets, self.number = buckets, TaskContext.get().partitionId() << 32
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.at, self.sizes, self.keys, self.ids, self.words = [], [], [], [], [], 0
+        self.hashes, self.sizes, self.keys, self.ids, self.words = [], [], [], [], 0
+        self.number += 1
 
-    def add(self, key: int, doc_id: int, h: np.ndarray, at: np.ndarray, words: int) -> None:
+    def add(self, key: int, doc_id: int, h: np.ndarray, words: int) -> None:
         self.words += words
         if len(h):
+            h = np.unique(h)
             self.hashes.append(h)
-            self.at.append(at.astype(np.int32))
             self.sizes.append(len(h))
             self.keys.append(key)
             self.ids.append(doc_id)
 
-    def flush(self, earlier_only: bool) -> pa.RecordBatch | None:
-        """Rows of ENTRIES: hits, and one entry for each hash on behalf of all that hold it here.
+    def full(self) -> bool:
+        return self.words >= CHUNK_WORDS or len(self.sizes) >= CHUNK_DOCS
+
+    def flush(self, earlier_only: bool) -> pa.RecordBatch:
+        """Rows of ENTRIES, with one entry for each hash on behalf of all documents that hold it here.
 
         Without ``earlier_only``, all holders of a hash that several documents
         hold are hits. With it, the holders with the smallest id are entries
         and those with a larger one are hits. So however many documents share a
         passage, each chunk sends one entry for it.
         """
-        if not self.sizes:
-            self.clear()
-            return None
-        h, at = np.concatenate(self.hashes), np.concatenate(self.at)
-        doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        keys, ids = np.array(self.keys, dtype=np.int64), np.array(self.ids, dtype=np.int64)
+        number, keys, ids = self.number, np.array(self.keys, dtype=np.int64), np.array(self.ids, dtype=np.int64)
+        h = np.concatenate([np.empty(0, dtype=np.uint64), *self.hashes])
+        doc = np.repeat(np.arange(len(self.sizes), dtype=np.uint16), self.sizes)
         self.clear()
         order = np.lexsort((ids[doc], h)) if earlier_only else np.argsort(h, kind="stable")
-        h, at, doc = h[order], at[order], doc[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = h[1:] != h[:-1]
+        h, doc = h[order], doc[order]
+        new = starts(h)
         group = np.cumsum(new) - 1
         if earlier_only:
             send = ids[doc] == ids[doc[new]][group]
@@ -73,72 +72,100 @@ class Chunk:
         else:
             send = new
             hit = (np.bincount(group) > 1)[group]
-        rows = [(int(k) % self.buckets, int(k), None, None, p, None) for k, p in by_document(keys[doc[hit]], at[hit])]
-        h, at, doc = h[send], at[send], doc[send]
+        rows = [(number % self.buckets, number, None, doc[hit].tobytes(), None, keys.tobytes(), h[hit].tobytes())]
+        h, doc = h[send], doc[send]
         bucket = (h % np.uint64(self.buckets)).astype(np.int32)
         order = np.lexsort((doc, bucket))
-        h, at, doc, bucket = h[order], at[order], doc[order], bucket[order]
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        h, doc, bucket = h[order], doc[order], bucket[order]
+        edges = [*np.flatnonzero(starts(bucket)), len(bucket)]
         for a, b in zip(edges[:-1], edges[1:]):
-            holders, inverse = np.unique(doc[a:b], return_inverse=True)
-            table = np.stack([keys[holders], ids[holders]]).tobytes()
-            rows.append((int(bucket[a]), None, h[a:b].tobytes(), table, at[a:b].tobytes(), inverse.astype(np.int32).tobytes()))
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), *[pa.binary()] * 4])], names=["bucket", "key", "hashes", "keys", "at", "ids"])
+            first = ids[doc[a:b][starts(doc[a:b])]].tobytes() if earlier_only else None
+            rows.append((int(bucket[a]), number, h[a:b].tobytes(), doc[a:b].tobytes(), first, None, None))
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names_of(ENTRIES))
 
 
-def by_document(keys: np.ndarray, at: np.ndarray):
-    """(key, its positions as bytes) for each document."""
-    order = np.argsort(keys, kind="stable")
-    keys, at = keys[order], at[order]
-    edges = [*np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)] if len(keys) else [0]
-    for a, b in zip(edges[:-1], edges[1:]):
-        yield keys[a], at[a:b].tobytes()
+def names_of(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def starts(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return new
 
 
 def meet(earlier_only: bool):
-    """For rows sorted by bucket: hits of earlier stages pass, entries of one hash are held together."""
+    """For rows sorted by bucket: a chunk's own row passes, entries of one hash are held together."""
 
     def settle(rows):
-        if not rows:
-            return None
         h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-        at = np.concatenate([np.frombuffer(r["at"], np.int32) for r in rows])
-        tables = [np.frombuffer(r["keys"], np.int64).reshape(2, -1) for r in rows]
-        holders = [np.frombuffer(r["ids"], np.int32) for r in rows]
-        keys = np.concatenate([t[0][i] for t, i in zip(tables, holders)])
-        ids = np.concatenate([t[1][i] for t, i in zip(tables, holders)])
-        order = np.lexsort((ids, h)) if earlier_only else np.argsort(h, kind="stable")
-        h, at, keys, ids = h[order], at[order], keys[order], ids[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = h[1:] != h[:-1]
+        docs = [np.frombuffer(r["holders"], np.uint16) for r in rows]
+        row = np.repeat(np.arange(len(rows)), [len(d) for d in docs])
+        doc = np.concatenate(docs)
+        if earlier_only:
+            ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[np.cumsum(starts(d)) - 1] for r, d in zip(rows, docs)])
+            order = np.lexsort((ids, h))
+            ids = ids[order]
+        else:
+            order = np.argsort(h, kind="stable")
+        h, row, doc = h[order], row[order], doc[order]
+        new = starts(h)
         group = np.cumsum(new) - 1
         hit = ids > ids[new][group] if earlier_only else (np.bincount(group) > 1)[group]
-        return list(by_document(keys[hit], at[hit]))
-
-    def hits(pairs):
-        return pa.record_batch([pa.array([int(k) for k, _ in pairs], pa.int64()), pa.array([p for _, p in pairs], pa.binary())], names=["key", "positions"])
+        h, row, doc = h[hit], row[hit], doc[hit]
+        order = np.argsort(row, kind="stable")
+        h, row, doc = h[order], row[order], doc[order]
+        edges = [*np.flatnonzero(starts(row)), len(row)]
+        return [(rows[row[a]]["chunk"], h[a:b].tobytes(), doc[a:b].tobytes(), None) for a, b in zip(edges[:-1], edges[1:])]
 
     def run(batches):
         bucket, rows = None, []
         for batch in batches:
-            passed = []
+            out = []
             for row in batch.to_pylist():
                 if row["hashes"] is None:
-                    passed.append((row["key"], row["at"]))
+                    out.append((row["chunk"], row["found"], row["holders"], row["keys"]))
                     continue
-                if row["bucket"] != bucket:
-                    passed += settle(rows) or []
-                    bucket, rows = row["bucket"], []
+                if rows and row["bucket"] != bucket:
+                    out += settle(rows)
+                    rows = []
+                bucket = row["bucket"]
                 rows.append(row)
-            if passed:
-                yield hits(passed)
-        yield hits(settle(rows) or [])
+            yield table(out)
+        if rows:
+            yield table(settle(rows))
+
+    def table(rows):
+        columns = zip(*rows) if rows else [()] * 4
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.binary()] * 3])], names=names_of(HITS))
 
     return run
 
 
-def positions_of(blobs) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b, np.int32) for b in blobs]) if blobs else np.empty(0, dtype=np.int32)
+def deal(batches):
+    """For rows sorted by chunk: the hits of each document, by its key."""
+
+    def settle(rows):
+        keys = np.frombuffer(next(r["keys"] for r in rows if r["keys"] is not None), np.int64)
+        h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+        doc = np.concatenate([np.frombuffer(r["holders"], np.uint16) for r in rows])
+        order = np.argsort(doc, kind="stable")
+        h, doc = h[order], doc[order]
+        edges = [*np.flatnonzero(starts(doc)), len(doc)]
+        return pa.record_batch([pa.array(keys[doc[edges[:-1]]]), pa.array([h[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], names=["key", "found"])
+
+    chunk, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row["chunk"] != chunk:
+                yield settle(rows)
+                rows = []
+            chunk = row["chunk"]
+            rows.append(row)
+    if rows:
+        yield settle(rows)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13) -> DataFrame:
@@ -149,8 +176,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13) -> D
 
     1. Anchors are runs of ``window - 6`` words at positions in the cover. Any
        two equal windows contain a pair of aligned equal anchors, so 3 of 7
-       positions are enough. Anchors are spread by hash; what several
-       documents hold goes back to those documents as positions.
+       positions are enough. Anchors are spread by hash; those that several
+       documents hold go back to these documents.
     2. Only windows around shared anchors are then hashed (the extension) and
        spread by hash; the smallest id of each decides.
     3. Each document drops the words of its hit windows.
@@ -172,61 +199,52 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13) -> D
                 words = (text or b"").split()
                 if doc_id is not None and len(words) >= window:
                     h = window_hashes(hashed_words(words, table), span)
-                    at = in_cover(len(h))
-                    chunk.add(key, doc_id, *first_of_each(h[at], at), len(words))
-                    if chunk.words >= CHUNK_WORDS:
+                    chunk.add(key, doc_id, h[in_cover(len(h))], len(words))
+                    if chunk.full():
                         yield chunk.flush(False)
-        if (last := chunk.flush(False)) is not None:
-            yield last
+        yield chunk.flush(False)
 
     def windows(batches):
         table, chunk = WordHashes(), Chunk(buckets)
         for b in batches:
-            for key, doc_id, text, blobs in zip(b.column("key").to_pylist(), b.column("doc_id").to_pylist(), raw_bytes(b.column("text")), b.column("found").to_pylist()):
-                if not blobs:
+            for key, doc_id, text, found in zip(b.column("key").to_pylist(), b.column("doc_id").to_pylist(), raw_bytes(b.column("text")), b.column("found").to_pylist()):
+                if found is None:
                     continue
                 h = hashed_words((text or b"").split(), table)
                 a = window_hashes(h, span)
                 at = in_cover(len(a))
-                at = at[np.isin(a[at], a[positions_of(blobs)])]
+                at = at[np.isin(a[at], np.frombuffer(found, np.uint64))]
                 near = np.zeros(len(h) + PERIOD, dtype=bool)
                 for shift in range(PERIOD):
                     near[at - shift + PERIOD - 1] = True  # a window that starts before the text is cut off here
-                starts = np.flatnonzero(near[PERIOD - 1 :][: len(h) - window + 1])
                 w = window_hashes(h, window)
-                chunk.add(key, doc_id, *first_of_each(w[starts], starts), len(h))
-                if chunk.words >= CHUNK_WORDS and (full := chunk.flush(True)) is not None:
-                    yield full
-        if (last := chunk.flush(True)) is not None:
-            yield last
+                chunk.add(key, doc_id, w[near[PERIOD - 1 :][: len(w)]], len(h))
+                if chunk.full():
+                    yield chunk.flush(True)
+        yield chunk.flush(True)
 
     def cut(batches):
         table = WordHashes()
         for b in batches:
             out = []
-            for text, blobs in zip(raw_bytes(b.column("text")), b.column("found").to_pylist()):
-                words = (text or b"").split()
-                gone = 0
-                if blobs:
+            for text, found in zip(raw_bytes(b.column("text")), b.column("found").to_pylist()):
+                kept = words = (text or b"").split()
+                if found is not None:
                     w = window_hashes(hashed_words(words, table), window)
-                    starts = np.flatnonzero(np.isin(w, w[positions_of(blobs)]))
+                    first = np.flatnonzero(np.isin(w, np.frombuffer(found, np.uint64)))
                     step = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(step, starts, 1)
-                    np.add.at(step, starts + window, -1)
-                    covered = np.cumsum(step)[:-1] > 0
-                    gone = int(covered.sum())
-                    kept = [x for x, c in zip(words, covered.tolist()) if not c]
-                else:
-                    kept = words
-                out.append((len(kept) + gone, gone, b" ".join(kept)))
+                    np.add.at(step, first, 1)
+                    np.add.at(step, first + window, -1)
+                    kept = [x for x, covered in zip(words, np.cumsum(step).tolist()) if not covered]
+                out.append((len(words), len(words) - len(kept), b" ".join(kept)))
             n, gone, kept = zip(*out) if out else ((), (), ())
             yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    def hits_of(entries: DataFrame, earlier_only: bool) -> DataFrame:
-        spread = entries.repartition("bucket").sortWithinPartitions("bucket")
-        found = spread.mapInArrow(meet(earlier_only), HITS)
-        return rows.join(found.groupBy("key").agg(F.collect_list("positions").alias("found")), "key", "left")
+    def with_hits(entries: DataFrame, earlier_only: bool) -> DataFrame:
+        met = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet(earlier_only), HITS)
+        found = met.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(deal, "key long, found binary")
+        return rows.join(found.dropDuplicates(["key"]), "key", "left")
 
-    shared = hits_of(rows.mapInArrow(anchors, ENTRIES), False)
-    earlier = hits_of(shared.mapInArrow(windows, ENTRIES), True)
+    shared = with_hits(rows.mapInArrow(anchors, ENTRIES), False)
+    earlier = with_hits(shared.mapInArrow(windows, ENTRIES), True)
     return earlier.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text binary").withColumn("kept_text", F.col("kept_text").cast("string"))
