@@ -18,6 +18,7 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .quotations import link_quotations, reply_ordered
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 
@@ -47,6 +48,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message without a parent is given as its own."""
+    found = reply_ordered(link_quotations(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    own = {c: F.when(F.col("parent_conv_id").isNull(), F.col(c[7:])).otherwise(F.col(c)) for c in ("parent_conv_id", "parent_turn")}
+    return found.withColumns(own)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark, documents(spark, sf_dir))
 
@@ -79,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quotations": op4_quotations,
     "op5_mixing": op5_mixing,
     "op6_line_quality": op6_line_quality,
     "op7_packing": op7_packing,
@@ -136,4 +145,52 @@ ORACLE: dict[str, str] = {
                doc_id <= coalesce(m, doc_id) AS kept
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
     """,
+    "op4_quotations": r"""
+        WITH RECURSIVE line AS (
+            SELECT conv_id, turn, i, l, len(regexp_replace(regexp_extract(l, '^((?:[ \t]*>)+) ?', 1), '[^>]', '', 'g')) AS level,
+                   regexp_replace(l, '^((?:[ \t]*>)+) ?', '') AS body
+            FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
+                         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM conversations)
+        ), run AS (
+            SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY i) AS r
+            FROM (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY conv_id, turn ORDER BY i) THEN 0 ELSE 1 END AS new FROM line)
+        ), part AS (
+            SELECT conv_id, turn, r, level, string_agg(body, chr(10) ORDER BY i) AS body FROM run GROUP BY conv_id, turn, r, level
+        ), own AS (
+            SELECT conv_id, turn, max(level) AS quote_depth,
+                   regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY r) FILTER (level = 0), ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS own_text
+            FROM part GROUP BY conv_id, turn
+        ), quote AS (
+            SELECT conv_id, turn, r, level, k
+            FROM (SELECT *, trim(regexp_replace(lower(body), '[\x20\x09-\x0D]+', ' ', 'g')) AS k FROM part WHERE level > 0) WHERE k <> ''
+        ), said AS (
+            SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(u), '[\x20\x09-\x0D]+', ' ', 'g')) AS k
+            FROM (SELECT conv_id, turn, unnest([own_text] || regexp_split_to_array(own_text, '\n[\x20\x09-\x0D]*\n') || string_split(own_text, chr(10))) AS u FROM own)
+        ), found AS (
+            SELECT q.conv_id, q.turn, q.r, q.level,
+                   (SELECT min(s.turn) FROM said s WHERE s.k = q.k AND s.conv_id = q.conv_id AND s.turn < q.turn) AS here,
+                   (SELECT min(s.conv_id) FROM said s WHERE s.k = q.k AND s.conv_id < q.conv_id) AS there, q.k
+            FROM quote q
+        ), origin AS (
+            SELECT conv_id, turn, r, level, CASE WHEN here IS NOT NULL THEN conv_id ELSE there END AS o_conv,
+                   coalesce(here, (SELECT min(s.turn) FROM said s WHERE s.k = f.k AND s.conv_id = f.there)) AS o_turn
+            FROM found f WHERE here IS NOT NULL OR there IS NOT NULL
+        ), linked AS (
+            SELECT conv_id, turn, count(*) AS n_linked, arg_min(o_conv, level * 1000000 + r) AS o_conv, arg_min(o_turn, level * 1000000 + r) AS o_turn
+            FROM origin GROUP BY conv_id, turn
+        ), m AS (
+            SELECT c.conv_id, c.turn, c.role, own_text, quote_depth, coalesce(n_linked, 0) AS n_linked,
+                   (SELECT count(*) FROM quote q WHERE q.conv_id = c.conv_id AND q.turn = c.turn) AS n_quotes,
+                   coalesce(o_conv, p.conv_id) AS parent_conv_id, coalesce(o_turn, p.turn) AS parent_turn
+            FROM conversations c JOIN own USING (conv_id, turn) LEFT JOIN linked USING (conv_id, turn)
+            LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
+        ), up AS (
+            SELECT conv_id, turn, conv_id AS thread_conv_id, turn AS thread_turn, 0 AS depth FROM m WHERE parent_conv_id IS NULL
+            UNION ALL
+            SELECT m.conv_id, m.turn, up.thread_conv_id, up.thread_turn, up.depth + 1
+            FROM m JOIN up ON m.parent_conv_id = up.conv_id AND m.parent_turn = up.turn
+        )
+        SELECT conv_id, turn, role, own_text, quote_depth, n_quotes, n_linked, coalesce(parent_conv_id, conv_id) AS parent_conv_id, coalesce(parent_turn, turn) AS parent_turn, thread_conv_id, thread_turn, depth
+        FROM m JOIN up USING (conv_id, turn)
+    """,
 }
