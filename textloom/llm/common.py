@@ -22,22 +22,38 @@ class ColumnMissing(ValueError):
     """The input lacks a column that the operator needs."""
 
 
+def _slot(df: DataFrame, name: str) -> int:
+    exact = [i for i, c in enumerate(df.columns) if c == name]
+    loose = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not exact and len(loose) != 1:
+        raise ColumnMissing(f"no column {name!r} among {df.columns}")
+    return (exact or loose)[0]
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast to the given types, whatever else the input holds.
 
     Other columns may have any names, even ones that differ from a needed
     column in case only: an exact match wins over such a twin.
     """
-    slots = [f"_{i}" for i in range(len(df.columns))]
-    renamed = df.toDF(*slots)
-    chosen = []
-    for name, kind in columns.items():
-        exact = [s for s, c in zip(slots, df.columns) if c == name]
-        loose = [s for s, c in zip(slots, df.columns) if c.lower() == name.lower()]
-        if not exact and len(loose) != 1:
-            raise ColumnMissing(f"no column {name!r} among {df.columns}")
-        chosen.append(F.col((exact or loose)[0]).cast(kind).alias(name))
-    return renamed.select(*chosen)
+    renamed = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return renamed.select(*[F.col(f"_{_slot(df, name)}").cast(kind).alias(name) for name, kind in columns.items()])
+
+
+class Whole:
+    """Rows with all their columns out of the way, as _0, _1 ..., and the named ones beside them."""
+
+    def __init__(self, df: DataFrame, **columns: str):
+        self.names = df.columns
+        self.slots = [f"_{i}" for i in range(len(self.names))]
+        self.at = {name: f"_{_slot(df, name)}" for name in columns}
+        renamed = df.toDF(*self.slots)
+        self.rows = renamed.select("*", *[F.col(self.at[name]).cast(kind).alias(name) for name, kind in columns.items()])
+
+    def back(self, rows: DataFrame, **new) -> DataFrame:
+        """The columns as they were; ``new`` replaces some."""
+        by_slot = {self.at[name]: value for name, value in new.items()}
+        return rows.select(*[by_slot.get(s, F.col(s)).alias(s) for s in self.slots]).toDF(*self.names)
 
 
 def shared_dir(spark: SparkSession) -> str:

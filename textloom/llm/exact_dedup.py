@@ -8,11 +8,12 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from .common import ASCII_LOWER, Scratch, by_hot_and_cold, pick, raw_bytes
+from .common import ASCII_LOWER, Scratch, Whole, by_hot_and_cold, pick, raw_bytes
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def text_digest(texts: pa.Array) -> pa.Array:
     """SHA-256 of the text in UTF-8 with A-Z lower-cased; null counts as empty."""
     return pa.array([hashlib.sha256((t or b"").translate(ASCII_LOWER)).digest() for t in raw_bytes(texts)], pa.binary())
@@ -80,7 +81,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
         index.drop()
 
 
-def keep_first_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_dedup(spark, docs).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+def keep_one_of_each_text(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows that stay, with all their columns.
+
+    Rows are found again by their id. Ids that several rows bear are rare:
+    only those rows' texts are digested once more to tell them apart.
+    """
+    found = exact_dedup(spark, docs)
+    kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept_digest"))
+    often = found.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id")
+    whole = Whole(docs, doc_id="long", text="string")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    if often.isEmpty():
+        return whole.back(whole.rows.join(kept, same, "left_semi"))
+    once = whole.rows.join(often, same, "left_anti").join(kept, same, "left_semi")
+    rest = whole.rows.join(often, same, "left_semi").withColumn("_digest", text_digest("text"))
+    rest = rest.join(kept, same & (F.col("_digest") == F.col("_kept_digest")), "left_semi").dropDuplicates(["_digest"])
+    return whole.back(once.unionByName(rest.drop("_digest")))

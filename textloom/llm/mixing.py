@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, pick
+from .common import WORD, Scratch, Whole, pick
 
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 10
@@ -149,13 +149,15 @@ class Mixture:
         uses = self.mixed().groupBy("doc_id", "text_hash", "row", "first_word", "n_words").agg(F.count("*").alias("uses"))
         per_doc = uses.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("row", "first_word", "n_words", "uses"))).alias("used"))
         token = F.regexp_extract_all("text", F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
-        names = docs.columns
-        rows = docs.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"])
-        joined = rows.join(per_doc.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "used"), rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")))
-        joined = joined.withColumn("_tokens", token).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("used", lambda u: u["uses"])))))
-        text = F.array_join(F.transform(F.filter("used", lambda u: u["uses"] >= F.col("_pass")), lambda u: F.array_join(F.slice(F.col("_tokens"), (u["first_word"] + 1).cast("int"), u["n_words"].cast("int")), "")), "")
-        out = joined.withColumn("text", text)
-        return out.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else out.select(*names)
+        counted = {"n_chars": "long"} if "n_chars" in docs.columns else {}
+        whole = Whole(docs, doc_id="long", text="string", **counted)
+        rows = whole.rows.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"])
+        used = per_doc.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "used")
+        rows = rows.join(used, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+        rows = rows.withColumn("tokens", token).withColumn("pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("used", lambda u: u["uses"])))))
+        text = F.array_join(F.transform(F.filter("used", lambda u: u["uses"] >= F.col("pass")), lambda u: F.array_join(F.slice(F.col("tokens"), (u["first_word"] + 1).cast("int"), u["n_words"].cast("int")), "")), "")
+        rows = rows.withColumn("text", text)
+        return whole.back(rows, text=F.col("text"), **{n: F.length("text").cast("long") for n in counted})
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:

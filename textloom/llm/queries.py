@@ -40,7 +40,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, documents(spark, sf_dir))
+    return near_duplicates(spark, documents(spark, sf_dir)).drop("row")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
