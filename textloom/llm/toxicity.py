@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, raw_bytes
+from .common import Whole, pick, raw_bytes
 from .learning import labelled_sample, logistic, sigmoid
 
 #: Lower-cases A-Z; all other ASCII that is neither letter nor digit becomes a space.
@@ -70,11 +70,11 @@ class ToxicityChain:
         return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, sample: int = 6000, features: int = 600, least_docs: int = 5) -> ToxicityChain:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, sample: int = 6000, features: int = 600, least_docs: int = 5, least_apart: float = 3.5) -> ToxicityChain:
     """A chain from at most ``sample`` labelled documents.
 
-    For each category, the ``features`` that set its documents most apart are
-    chosen by counts over the sample; the driver gets those and, for each
+    For each category, the ``features`` that set its documents most apart (by
+    ``least_apart`` standard deviations or more) are chosen by counts over the sample; the driver gets those and, for each
     document, which of them it has.
     """
     columns = ["quality", "toxic"]
@@ -98,7 +98,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str]
             # Observed against expected documents of the category, in standard deviations.
             expected = F.col("df") * (p / n)
             apart = F.abs(F.col(f"p{j}") - expected) / F.sqrt(expected * (1 - p / n) + 0.5)
-            chosen |= {bytes(r.w) for r in counts.orderBy(F.desc(apart), "w").limit(features).select("w").collect()}
+            chosen |= {bytes(r.w) for r in counts.filter(apart >= least_apart).orderBy(F.desc(apart), "w").limit(features).select("w").collect()}
     vocabulary = sorted(chosen)
     index = {w: i for i, w in enumerate(vocabulary)}
 
@@ -131,3 +131,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
 
     found = pick(docs, doc_id="long", text="string").mapInArrow(score, schema)
     return found.withColumn("rejected", (F.col("p_toxic") >= threshold) if learned else F.lit(False))
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.4, **fit) -> DataFrame:
+    """The rows of ``docs`` that ``toxicity`` doesn't reject, with all their columns; each is judged where it lies."""
+    chain = fit_toxicity(docs, labels, **fit)
+    if not any(abs(w).sum() for w in chain.weights):
+        return docs
+    place = chain.names.index("toxic")
+
+    @F.arrow_udf("double")
+    def p_toxic(texts: pa.Array) -> pa.Array:
+        return pa.array(chain.score(raw_bytes(texts))[:, place], pa.float64())
+
+    whole = Whole(docs, text="string")
+    return whole.back(whole.rows.filter(p_toxic("text") < threshold))
