@@ -1,0 +1,187 @@
+"""First-seen-wins deduplication as parallel algorithms."""
+
+from __future__ import annotations
+
+import functools
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..storage import Tables
+from .normalize import ascii_dedup_text, dedup_text
+
+
+def first_by_key(df: DataFrame, key: Column, *scope: str) -> DataFrame:
+    """``df`` with ``duplicate``: an earlier row (by seq) of the same scope has the key.
+
+    The first of each key comes from an aggregation and joins back, so a key
+    that half the rows share costs no task more than its part.
+    """
+    keyed = df.withColumn("_key", key)
+    first = keyed.groupBy(*scope, "_key").agg(F.min("seq").alias("_first"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*scope, "_key")])
+    joined = keyed.alias("a").join(first.alias("b"), same)
+    return joined.select("a.*", (F.col("a.seq") != F.col("b._first")).alias("duplicate")).drop("_key")
+
+
+def two_tier(df: DataFrame) -> DataFrame:
+    """``reason``: exact (same text), normalized (same in a-z, 0-9 and white space as an earlier one that isn't an exact copy), or null."""
+    exact = first_by_key(df, F.sha2("text", 256)).withColumnRenamed("duplicate", "_exact")
+    first = exact.withColumn("_norm", F.when(~F.col("_exact"), F.sha2(ascii_dedup_text(F.col("text")), 256)))
+    second = first_by_key(first, F.coalesce("_norm", F.concat(F.lit("row"), F.col("seq"))))
+    return second.withColumn("reason", F.when(F.col("_exact"), "exact").when(F.col("duplicate"), "normalized")).drop("_exact", "_norm", "duplicate")
+
+
+def quota(df: DataFrame, n: int, *scope: str) -> DataFrame:
+    """The first n rows by seq of each scope. Spark keeps n rows per task and scope before it shuffles."""
+    rank = F.row_number().over(Window.partitionBy(*scope).orderBy("seq"))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def greedy_over_buckets(spark: SparkSession, members: DataFrame) -> DataFrame:
+    """seq of the rows that stay when rows come in order and each goes that shares a bucket with one that stayed.
+
+    ``members``: seq, bucket. This is the lexicographically first maximal
+    independent set: a row stays once it is the least undecided one of all its
+    buckets; what shares a bucket with it goes. Rounds are few (logarithmic in
+    practice); each is two aggregations and a join.
+    """
+    tables = Tables(spark)
+    left = tables.keep(members.select("seq", "bucket").distinct())
+    kept = left.select("seq").limit(0)
+    while not left.isEmpty():
+        least = left.groupBy("bucket").agg(F.min("seq").alias("least"))
+        seen = left.join(least, "bucket")
+        now = tables.keep(seen.groupBy("seq").agg(F.bool_and(F.col("seq") == F.col("least")).alias("stays")).filter("stays").select("seq"))
+        hit = left.join(now, "seq", "left_semi").select("bucket").distinct()
+        gone = left.join(hit, "bucket", "left_semi").select("seq").distinct()
+        kept = kept.unionByName(now)
+        left = tables.keep(left.join(gone, "seq", "left_anti"))
+    return kept
+
+
+def greedy_over_links(spark: SparkSession, rows: DataFrame, links: DataFrame) -> DataFrame:
+    """seq of ``rows`` that stay when each goes that an earlier one that stayed is linked to (``links``: earlier, later)."""
+    tables = Tables(spark)
+    links = tables.keep(links.select("earlier", "later").distinct())
+    left = tables.keep(links.select(F.explode(F.array("earlier", "later")).alias("seq")).distinct())
+    kept = rows.select("seq").join(left, "seq", "left_anti")
+    while not left.isEmpty():
+        now = tables.keep(left.join(links.select(F.col("later").alias("seq")), "seq", "left_anti"))
+        gone = tables.keep(links.join(now.withColumnRenamed("seq", "earlier"), "earlier", "left_semi").select(F.col("later").alias("seq")).distinct())
+        kept = kept.unionByName(now)
+        done = now.unionByName(gone).distinct()
+        left = tables.keep(left.join(done, "seq", "left_anti"))
+        links = tables.keep(links.join(done.withColumnRenamed("seq", "earlier"), "earlier", "left_anti").join(done.withColumnRenamed("seq", "later"), "later", "left_anti"))
+    return kept
+
+
+# MinHash
+
+PRIME = (1 << 32) - 1
+
+
+def minhash_coefficients(n: int = 128, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.RandomState(seed)
+    a = draw.randint(1, PRIME, size=n, dtype=np.int64)
+    return a.astype(np.uint64), draw.randint(0, PRIME, size=n, dtype=np.int64).astype(np.uint64)
+
+
+def minhash_signatures(df: DataFrame, hashes: int = 128) -> DataFrame:
+    """seq and signature: (a x + b) mod p over the first 8 hex digits of each 5-word shingle's MD5; zeros for an empty text."""
+    import hashlib
+
+    a, b = minhash_coefficients(hashes)
+
+    def sign(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column("norm").to_pylist():
+                tokens = text.split(" ") if text else []
+                grams = {" ".join(tokens[i : i + 5]) for i in range(len(tokens) - 4)} if len(tokens) >= 5 else {text} - {""}
+                if not grams:
+                    out.append([0] * hashes)
+                    continue
+                x = np.array([int(hashlib.md5(g.encode()).hexdigest()[:8], 16) for g in grams], dtype=np.uint64)
+                least = np.full(hashes, PRIME, dtype=np.uint64)
+                for start in range(0, len(x), 1024):
+                    least = np.minimum(least, ((a[:, None] * x[None, start : start + 1024] + b[:, None]) % np.uint64(PRIME)).min(axis=1))
+                out.append(least.astype(np.int64).tolist())
+            yield pa.record_batch([batch.column("seq"), pa.array(out, pa.list_(pa.int64()))], names=["seq", "signature"])
+
+    norm = df.select("seq", dedup_text(F.col("text")).alias("norm"))
+    return norm.mapInArrow(sign, "seq long, signature array<long>")
+
+
+def minhash_dedup(spark: SparkSession, df: DataFrame, hashes: int = 128, bands: int = 16) -> DataFrame:
+    """seq and kept: a text goes when it shares a band with an earlier one that stayed. Band hits are not verified."""
+    rows = hashes // bands
+    signed = minhash_signatures(df, hashes)
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, rows))))
+    stays = greedy_over_buckets(spark, signed.select("seq", band.alias("bucket")))
+    return df.select("seq").join(stays.withColumn("kept", F.lit(True)), "seq", "left").select("seq", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+# Similarity joins
+
+
+def jaccard_pairs(df: DataFrame, k: int, least: float, *scope: str) -> DataFrame:
+    """earlier, later, similarity of all pairs within a scope whose k-shingle sets are similar enough.
+
+    A prefix join: with the shingles of a set in one global order, rarest
+    first, two sets that are similar enough share one of the first
+    n - ceil(least n) + 1; so the pairs to verify come from rare shingles only, and
+    common ones never meet.
+    """
+    tokens = tx.words(ascii_dedup_text(F.col("text")))
+    sets = df.select("seq", *scope, tx.shingles(tokens, k).alias("items")).filter(F.size("items") > 0)
+    items = sets.select("seq", *scope, F.size("items").alias("n"), F.explode("items").alias("item"))
+    rare = items.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
+    ordered = items.join(rare, "item").groupBy("seq", "n", *scope).agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("item").alias("h")))).alias("shared"))
+    single = F.col("n") - F.size("shared")
+    prefix = F.greatest(F.lit(0), (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1 - single).cast("int"))
+    heads = ordered.select("seq", "n", *scope, "shared", F.explode(F.slice("shared", F.lit(1), prefix)).alias("head")).select("seq", "n", *scope, F.col("head.h").alias("head"))
+    one, two = heads.alias("a"), heads.alias("b")
+    same = functools.reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("head", *scope)])
+    fits = (F.col("a.seq") < F.col("b.seq")) & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n"))
+    pairs = one.join(two, same & fits).select(F.col("a.seq").alias("earlier"), F.col("b.seq").alias("later")).distinct()
+    left = sets.select(F.col("seq").alias("earlier"), F.col("items").alias("x"))
+    right = sets.select(F.col("seq").alias("later"), F.col("items").alias("y"))
+    return pairs.join(left, "earlier").join(right, "later").withColumn("similarity", tx.jaccard(F.col("x"), F.col("y"))).filter(F.col("similarity") >= least).select("earlier", "later", "similarity")
+
+
+def near_dedup(spark: SparkSession, df: DataFrame, k: int = 5, least: float = 0.85, *scope: str) -> DataFrame:
+    stays = greedy_over_links(spark, df, jaccard_pairs(df, k, least, *scope))
+    return df.select("seq").join(stays.withColumn("kept", F.lit(True)), "seq", "left").select("seq", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def tfidf_vectors(df: DataFrame, most_features: int = 20_000) -> DataFrame:
+    """seq, term, weight: smoothed idf, rows of length 1, the most frequent terms of two or more word characters."""
+    terms = df.select("seq", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))).alias("term"))
+    counts = terms.groupBy("seq", "term").agg(F.count("*").alias("tf"))
+    kept = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(most_features)
+    n = df.agg(F.count("*").alias("n_docs"))
+    weighed = counts.join(F.broadcast(kept), "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
+    norm = weighed.groupBy("seq").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighed.join(norm, "seq").select("seq", "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def tfidf_pairs(df: DataFrame, least: float = 0.92, most_features: int = 20_000) -> DataFrame:
+    """earlier, later, similarity: cosine of TF-IDF rows.
+
+    Terms in order from rare to common: a pair is only met on a term up to which
+    a row's share of length leaves less than ``least`` behind; the rest of its terms can't
+    make up a similar pair alone.
+    """
+    v = tfidf_vectors(df, most_features)
+    often = v.groupBy("term").agg(F.count("*").alias("df"))
+    v = v.join(often, "term")
+    behind = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("seq").orderBy(F.desc("df"), "term"))
+    heads = v.withColumn("behind", behind).filter(F.sqrt("behind") >= least).select("seq", "term")
+    pairs = heads.alias("a").join(heads.alias("b"), (F.col("a.term") == F.col("b.term")) & (F.col("a.seq") < F.col("b.seq"))).select(F.col("a.seq").alias("earlier"), F.col("b.seq").alias("later")).distinct()
+    left = pairs.join(v.select(F.col("seq").alias("earlier"), "term", F.col("weight").alias("x")), "earlier")
+    both = left.join(v.select(F.col("seq").alias("later"), "term", F.col("weight").alias("y")), ["later", "term"])
+    return both.groupBy("earlier", "later").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).filter(F.col("similarity") >= least)
