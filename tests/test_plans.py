@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import dedup, evaluation, filters, mixture, normalize, quality, samples, tokens
+from textloom.operators import dedup, documents, evaluation, filters, generate, mixture, normalize, quality, samples, tokens
 from textloom.plans import queries as plans
 from textloom.sources import readers, writers
 from textloom.streaming import clean
@@ -230,3 +230,36 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path):
     for _ in range(2):
         clean.resume_into(stream, str(tmp_path / "out"), str(tmp_path / f"again{_}"), "seq").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
+
+
+def test_generated_answers_are_right(spark):
+    def gcd(a, b):
+        return math.gcd(a, b)
+
+    def fib(n):
+        a, b = 0, 1
+        for _ in range(n):
+            a, b = b, a + b
+        return a
+
+    def collatz(n):
+        k = 0
+        while n > 1:
+            n, k = (n // 2 if n % 2 == 0 else 3 * n + 1), k + 1
+        return k
+
+    solve = {
+        "arithmetic": lambda a, b: a + b, "algebra": lambda a, b: b - a, "geometry": lambda a, b: a * b, "triangular": lambda a, b: a * (a + 1) // 2, "gcd": gcd, "fibonacci": lambda a, b: fib(a),
+        "is_prime": lambda a, b: "yes" if a > 1 and all(a % d for d in range(2, a)) else "no", "sum_digits": lambda a, b: sum(map(int, f"{a}{b}")), "collatz": lambda a, b: collatz(a),
+        "reverse": lambda a, b: f"{a}{b}"[::-1], "summing": lambda a, b: sum(range(3, a + 1, 3)),
+    }
+    rows = generate.math_samples(spark, 400, 7).collect()
+    assert {r.family for r in rows} == set(solve) and all(r.response == str(solve[r.family](r.a, r.b)) for r in rows)
+    assert rows == generate.math_samples(spark, 400, 7).repartition(3).orderBy("id").collect()
+
+
+def test_splitting_keeps_all_sentences(spark):
+    text = "\n\n".join(" ".join(f"Sentence {i}-{j} is here." for j in range(i + 1)) for i in range(12))
+    parts = documents.split_documents(texts(spark, text, "short", None), 120).orderBy("seq", "part").collect()
+    assert all(len(r.text) <= 120 for r in parts) and [r.text for r in parts if r.seq > 0] == ["short", ""]
+    assert re.findall(r"\d+-\d+", " ".join(r.text for r in parts)) == re.findall(r"\d+-\d+", text)

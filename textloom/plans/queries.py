@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions import text as tx
-from ..operators import dedup, evaluation, filters, mixture, normalize, quality, samples, tokens
+from ..operators import dedup, documents, evaluation, filters, generate, mixture, normalize, quality, samples, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -609,6 +609,70 @@ for _name, _sql in SHAPES.items():
     query(f"sql_shape_{_name}", _sql)(_shape(_sql))
 
 
+# Records, generators, scoring
+
+
+@query("first_by_id", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def first_by_id(spark, sf_dir):
+    return documents.first_by_id(table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").alias("seq")), "user_id").select("user_id", "event_id")
+
+
+@query("last_by_id", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def last_by_id(spark, sf_dir):
+    return documents.last_by_id(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.col("event_id").alias("seq")), "user_id").select("user_id", "event_id", "event_type")
+
+
+@query("license_quota", "SELECT doc_id, source FROM documents WHERE lang IN ('en', 'de') QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5")
+def license_quota(spark, sf_dir):
+    return dedup.quota(documents.licensed(docs(spark, sf_dir), "lang", ["en", "de"]), 5, "source").select(F.col("seq").alias("doc_id"), "source")
+
+
+@query("cap_raw_then_filter", "SELECT doc_id FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 100) WHERE length(text) >= 50")
+def cap_raw(spark, sf_dir):
+    from ..sources import readers
+
+    return readers.capped(docs(spark, sf_dir), 100, F.length("text") >= 50, cap_raw=True).select(F.col("seq").alias("doc_id"))
+
+
+@query("cap_kept_rows", "SELECT doc_id FROM documents WHERE length(text) >= 50 ORDER BY doc_id LIMIT 100")
+def cap_kept(spark, sf_dir):
+    from ..sources import readers
+
+    return readers.capped(docs(spark, sf_dir), 100, F.length("text") >= 50).select(F.col("seq").alias("doc_id"))
+
+
+@query("code_quality", "SELECT doc_id, CASE WHEN length(" + strip_sql("text") + ") < 50 THEN 'too_short' WHEN list_avg(list_transform(string_split(text, chr(10)), lambda x: length(x))) > 200 THEN 'minified' WHEN regexp_matches(lower(text), 'auto-generated|autogenerated|do not edit|generated by') THEN 'generated' ELSE 'keep' END AS rule FROM documents")
+def code_quality(spark, sf_dir):
+    return filters.measured(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce(filters.code_quality(), F.lit("keep")).alias("rule"))
+
+
+@query("split_documents")
+def split_documents(spark, sf_dir):
+    return documents.split_documents(docs(spark, sf_dir), 2000)
+
+
+@query("math_samples")
+def math_samples(spark, sf_dir):
+    return generate.math_samples(spark, 500)
+
+
+@query("catalog_flatten", "SELECT printf('seed-%05d', row_number() OVER (ORDER BY i) - 1) AS id, domain, subdomain, concept FROM (VALUES (0, 'a', 'x', 'p'), (1, 'a', 'x', 'q'), (2, 'a', 'y', 'r'), (3, 'b', 'z', 's')) t(i, domain, subdomain, concept)")
+def catalog_flatten(spark, sf_dir):
+    return generate.flat_catalog(spark, {"a": {"x": ["p", "q"], "y": ["r"]}, "b": {"z": ["s"]}})
+
+
+@query("gold_scoring", "SELECT doc_id, CASE WHEN contains(text, 'the') AND contains(text, 'of') THEN 1.0 ELSE 0.0 END AS substr, CASE WHEN contains(text, 'der') OR contains(text, 'que') THEN 1.0 ELSE 0.0 END AS any_substr FROM documents")
+def gold_scoring(spark, sf_dir):
+    lit = lambda *g: F.array(*[F.lit(x) for x in g])
+    return table(spark, sf_dir, "documents").select("doc_id", samples.gold_score(F.lit("substr"), F.col("text"), lit("the", "of")).alias("substr"), samples.gold_score(F.lit("any_substr"), F.col("text"), lit("der", "que")).alias("any_substr"))
+
+
+@query("tail_split", "SELECT doc_id, CASE WHEN p >= floor((SELECT count(*) FROM documents) * (1 - 0.05)) THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents)")
+def tail_split(spark, sf_dir):
+    placed = tokens.offsets(docs(spark, sf_dir).select("seq", F.lit(1).alias("one")), "one").withColumnRenamed("start", "pos")
+    return documents.tail_split(placed, 0.05).select(F.col("seq").alias("doc_id"), "split")
+
+
 def names() -> list[str]:
     return list(QUERIES)
 
