@@ -19,13 +19,14 @@ SHINGLE = 5
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 #: Coordinates of the statistic vector, and the least standard deviation each is given: most documents
-#: have no symbols and no repetition at all, and a spread of 0 would make any a cause for rejection.
+#: have no symbols and no repetition at all, and a spread of 0 would make any a cause for rejection, even
+#: one line that comes twice.
 VECTOR = {
     "x0": ("ln(1 + n_words)", 0.3),
-    "x1": ("ln(greatest(word_chars, 1) / n_words)", 0.08),
-    "x2": ("sqrt(n_symbols / n_words)", 0.08),
-    "x3": ("sqrt(n_dup_lines / greatest(n_lines, 1))", 0.08),
-    "x4": ("sqrt(n_repeat_words / n_words)", 0.08),
+    "x1": ("ln(greatest(word_chars, 1) / n_words)", 0.15),
+    "x2": ("sqrt(n_symbols / n_words)", 0.1),
+    "x3": ("sqrt(n_dup_lines / greatest(n_lines, 1))", 0.15),
+    "x4": ("sqrt(n_repeat_words / n_words)", 0.15),
 }
 DIM = len(VECTOR)
 
