@@ -22,19 +22,30 @@ def passage_key(text: Column) -> Column:
     return F.when(plain != "", F.md5(plain))
 
 
+def let(value: Column, f) -> Column:
+    """f of the value, computed once however often f, or a lambda in it, uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def passages(text: Column) -> Column:
     """The text as an array of (level, body): runs of lines of one quote level, in order, marks taken off.
 
-    Level 0 is the message's own. All in the row: nothing is shuffled.
+    Level 0 is the message's own. All in the row, in time proportional to its length: nothing is shuffled.
     """
-    line = F.transform(F.split(text, "\n"), lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), "[^>]", "")).alias("level"), F.regexp_replace(x, MARKS, "").alias("body")))
-    start = F.filter(F.sequence(F.lit(1), F.size(line)), lambda i: (i == 1) | (F.element_at(line, i)["level"] != F.element_at(line, F.greatest(i - 1, F.lit(1)))["level"]))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), "[^>]", "")).alias("level"), F.regexp_replace(x, MARKS, "").alias("body")))
+
+    def starts(line: Column) -> Column:
+        changed = lambda i: F.element_at(line, i)["level"] != F.element_at(line, F.greatest(i - 1, F.lit(1)))["level"]
+        return F.filter(F.sequence(F.lit(1), F.size(line)), lambda i: (i == 1) | changed(i))
+
+    def runs(line: Column, start: Column) -> Column:
+        def run(i: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(start, k + 1), F.size(line) + 1)
+            return F.struct(F.element_at(line, i)["level"].alias("level"), F.array_join(F.transform(F.slice(line, i, end - i), lambda x: x["body"]), "\n").alias("body"))
 
-    def run(i: Column, k: Column) -> Column:
-        end = F.coalesce(F.try_element_at(start, k + 2), F.size(line) + 1)
-        return F.struct(F.element_at(line, i)["level"].alias("level"), F.array_join(F.transform(F.slice(line, i, end - i), lambda x: x["body"]), "\n").alias("body"))
+        return F.transform(start, run)
 
-    return F.transform(start, run)
+    return let(lines, lambda line: let(starts(line), lambda start: runs(line, start)))
 
 
 def link_quotations(spark: SparkSession, messages: DataFrame) -> DataFrame:
