@@ -436,14 +436,19 @@ def test_line_quality_of_awkward_rows(spark):
 # 7
 
 
+ENCODER = []
+
+
 def public_ids(text):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    if not PUBLIC:
+        PUBLIC.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    return PUBLIC[0].encode(text, add_special_tokens=False).ids
 
 
-ENCODER = []
+PUBLIC = []
 
 
 @settings(max_examples=150, deadline=None)
@@ -514,15 +519,14 @@ def brute_passages(rows, window=13):
 
 
 @pytest.mark.parametrize("chunk", [1_000_000, 30])
-def test_passages_go(spark, monkeypatch, chunk):
+def test_passages_go(spark, chunk):
     from textloom.llm import substring_dedup
 
-    monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", chunk)
     df, rows = awkward(spark)
     rng = np.random.default_rng(1)
     more = [(200 + i, " ".join([*(f"p{x}" for x in rng.integers(99, size=i)), *PASSAGE.split()[i % 11 : 12 + i % 29], *(f"q{x}" for x in rng.integers(3, size=25))])) for i in range(60)]
     both = common.pick(df, doc_id="long", text="string").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    found = substring_dedup.substring_dedup(spark, both.repartition(3)).collect()
+    found = substring_dedup.substring_dedup(spark, both.repartition(3), chunk_words=chunk).collect()
     want = brute_passages([(i, t) for i, t, _ in rows if i is not None] + more)
     assert len(found) == len(rows) + len(more)
     for r in found:

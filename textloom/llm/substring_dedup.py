@@ -28,9 +28,10 @@ def in_cover(n: int) -> np.ndarray:
 class Chunk:
     """(hash, document) of some documents, and what can be told from them alone."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: int, most_words: int):
         from pyspark import TaskContext
 
+        self.most_words = most_words
         self.buckets, self.number = buckets, TaskContext.get().partitionId() << 32
         self.clear()
 
@@ -48,7 +49,7 @@ class Chunk:
             self.ids.append(doc_id)
 
     def full(self) -> bool:
-        return self.words >= CHUNK_WORDS or len(self.sizes) >= CHUNK_DOCS
+        return self.words >= self.most_words or len(self.sizes) >= CHUNK_DOCS
 
     def flush(self, earlier_only: bool) -> pa.RecordBatch:
         """Rows of ENTRIES, with one entry for each hash on behalf of all documents that hold it here.
@@ -168,7 +169,7 @@ def deal(batches):
         yield settle(rows)
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13) -> DataFrame:
+def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text for each row of ``docs``.
 
     A window is ``window`` (8 or more) consecutive words of one document; words
@@ -183,7 +184,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13) -> D
     3. Each document drops the words of its hit windows.
 
     Documents travel once, by their key, for steps 2 and 3. A passage common
-    to many documents costs one entry per ``CHUNK_WORDS`` words of input.
+    to many documents costs one entry per ``chunk_words`` words of input.
     Null texts have no words. Rows with a null id keep all words and take none
     from others. Rows with one id are one document's: they take nothing from
     each other. An empty table gives no rows.
@@ -193,7 +194,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13) -> D
     rows = pick(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id", "text"))
 
     def anchors(batches):
-        table, chunk = WordHashes(), Chunk(buckets)
+        table, chunk = WordHashes(), Chunk(buckets, chunk_words)
         for b in batches:
             for key, doc_id, text in zip(b.column("key").to_pylist(), b.column("doc_id").to_pylist(), raw_bytes(b.column("text"))):
                 words = (text or b"").split()
@@ -205,7 +206,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13) -> D
         yield chunk.flush(False)
 
     def windows(batches):
-        table, chunk = WordHashes(), Chunk(buckets)
+        table, chunk = WordHashes(), Chunk(buckets, chunk_words)
         for b in batches:
             for key, doc_id, text, found in zip(b.column("key").to_pylist(), b.column("doc_id").to_pylist(), raw_bytes(b.column("text")), b.column("found").to_pylist()):
                 if found is None:
