@@ -129,8 +129,12 @@ class Mixture:
         return p.select("row", "doc_id", "text_hash", "sid", "block", (first - F.col("start")).alias("first_word"), (F.least((F.col("block") + 1) * self.block, F.col("end")) - first).alias("n_words"))
 
     def mixed(self) -> DataFrame:
-        """The mix: each slot with the pieces of documents that its block holds."""
-        return self.slots().join(self.pieces(), ["sid", "block"])
+        """The mix: each slot with the pieces of documents that its block holds.
+
+        Slots come from a small table by an explode, which size estimates don't
+        see: without the hint they would be broadcast, however many they are.
+        """
+        return self.slots().hint("merge").join(self.pieces(), ["sid", "block"])
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken for each row of the documents."""
