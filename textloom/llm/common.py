@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -131,10 +132,24 @@ def raw_bytes(column: pa.Array) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def lean(work):
+    """``work`` on Arrow batches; the worker, which is used again for other tasks, gives back the memory that it took."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass
+
+    return run
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; emptied before it grows beyond ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Scratch, Whole, WordHashes, by_hot_and_cold, hashed_words, pick, raw_bytes, window_hashes
+from .common import ASCII_LOWER, Scratch, Whole, WordHashes, by_hot_and_cold, hashed_words, lean, pick, raw_bytes, window_hashes
 from .components import connected_components
 
 SKETCH = 64  # minwise tokens of each document
@@ -105,7 +105,7 @@ class NearDuplicates:
                 yield pa.record_batch([b.column("row"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.list_(pa.int32()))], names=["row", "doc_id", "n_shingles", "set_key", "sketch"])
 
         rows = self.docs.withColumn("row", F.xxhash64("doc_id", "text"))
-        return rows.select("row", "doc_id", "text").mapInArrow(sign, SIGNATURE)
+        return rows.select("row", "doc_id", "text").mapInArrow(lean(sign), SIGNATURE)
 
     # Nodes
 
@@ -150,7 +150,7 @@ class NearDuplicates:
                 for start in range(0, len(texts), 500):  # sets can be larger than texts
                     yield pa.record_batch([rows[start : start + 500], pa.array([shingle_set(t, width, table).tobytes() for t in texts[start : start + 500]], pa.binary())], names=["row", "shingles"])
 
-        held = self.scratch.keep(fetched.mapInArrow(sets, "row long, shingles binary"))
+        held = self.scratch.keep(fetched.mapInArrow(lean(sets), "row long, shingles binary"))
         return held.dropDuplicates(["row"]) if self._repeats() else held
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ class NearDuplicates:
 
         one = pairs.select("a", "b").join(held.select(F.col("row").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
         two = one.join(held.select(F.col("row").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
-        return self.scratch.keep(two.select("a", "b", "x", "y").mapInArrow(compare, "u long, v long"))
+        return self.scratch.keep(two.select("a", "b", "x", "y").mapInArrow(lean(compare), "u long, v long"))
 
     def _repeats(self) -> bool:
         """Whether rows repeat, id and text."""
@@ -321,7 +321,7 @@ class NearDuplicates:
         rows = units.join(self.reps.select("rep", "n", "sketch"), "rep")
         if sets is not None:
             rows = rows.join(sets, "rep")
-        return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "a long, b long")
+        return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(compare), "a long, b long")
 
     def components(self) -> DataFrame:
         """row, doc_id, n_shingles, component_id, kept for each row of the documents."""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, raw_bytes
+from .common import Scratch, lean, pick, raw_bytes
 
 END = 0
 #: Beyond these code points (and in the rarer controls) libraries may differ in their Unicode tables.
@@ -30,11 +30,19 @@ class Encoder:
     def __init__(self, tokenizer_file: str | None = None, ranks_file: str | None = None):
         import public_tokenizers as public
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.tokenizer_file, self.loaded = tokenizer_file or public.path("byte_bpe_50k.json"), None
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_file or public.path("byte_bpe_50k.tiktoken"), "rb"))}
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
-        self.full = Tokenizer.from_file(tokenizer_file or public.path("byte_bpe_50k.json"))
+
+    @property
+    def full(self):
+        """The tokenizer file, read where a text needs it."""
+        if self.loaded is None:
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.tokenizer_file)
+        return self.loaded
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids, and then the id that ends a document."""
@@ -121,6 +129,13 @@ class Out:
         return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def rows_of(batch: pa.RecordBatch, step: int = 500):
+    """(doc_id, text as bytes), a few hundred rows out of the batch at a time."""
+    for start in range(0, batch.num_rows, step):
+        part = batch.slice(start, step)
+        yield from zip(part.column(0).to_pylist(), raw_bytes(part.column(1)))
+
+
 def pack_documents(
     spark: SparkSession,
     docs: DataFrame,
@@ -154,9 +169,9 @@ def pack_documents(
         out = Out(TaskContext.get().partitionId() << 36, with_ids)
         windows = Windows(length, most_open, least_head, out.emit)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1))):
+            for doc_id, text in rows_of(batch):
                 windows.add(doc_id, encoder((text or b"").decode("utf-8", "replace")))
-                if len(out.rows) >= 10_000:
+                if len(out.rows) >= 2_000:
                     yield out.batch()
         windows.finish()
         yield out.batch()
@@ -188,7 +203,7 @@ def pack_documents(
             yield out.batch()
 
     scratch = Scratch(spark)
-    pieces = scratch.keep(pick(docs, doc_id="long", text="string").mapInArrow(pack, SCHEMA))
+    pieces = scratch.keep(pick(docs, doc_id="long", text="string").mapInArrow(lean(pack), SCHEMA))
     rest = pieces.filter("leftover").withColumn("part", F.shiftright("sequence_id", 36) / F.lit(fan_in))
     rest = rest.withColumn("part", F.floor("part").cast("long")).repartition("part").sortWithinPartitions("part", "sequence_id", "offset")
     merged = rest.mapInArrow(merge, SCHEMA)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hashed_words, pick, raw_bytes, window_hashes
+from .common import WordHashes, hashed_words, lean, pick, raw_bytes, window_hashes
 
 #: {0, 1, 3} is a difference cover modulo 7: for any i and j there is a d < 7 with i+d and j+d both in it.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -242,10 +242,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13, chun
             yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     def with_hits(entries: DataFrame, earlier_only: bool) -> DataFrame:
-        met = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet(earlier_only), HITS)
-        found = met.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(deal, "key long, found binary")
+        met = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet(earlier_only)), HITS)
+        found = met.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lean(deal), "key long, found binary")
         return rows.join(found.dropDuplicates(["key"]), "key", "left")
 
-    shared = with_hits(rows.mapInArrow(anchors, ENTRIES), False)
-    earlier = with_hits(shared.mapInArrow(windows, ENTRIES), True)
-    return earlier.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text binary").withColumn("kept_text", F.col("kept_text").cast("string"))
+    shared = with_hits(rows.mapInArrow(lean(anchors), ENTRIES), False)
+    earlier = with_hits(shared.mapInArrow(lean(windows), ENTRIES), True)
+    return earlier.mapInArrow(lean(cut), "doc_id long, n_words long, n_removed long, kept_text binary").withColumn("kept_text", F.col("kept_text").cast("string"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Whole, pick, raw_bytes
+from .common import Whole, lean, pick, raw_bytes
 from .learning import labelled_sample, logistic, sigmoid
 
 #: Lower-cases A-Z; all other ASCII that is neither letter nor digit becomes a space.
@@ -129,7 +129,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
             p = chain.score(raw_bytes(b.column(1)))
             yield pa.record_batch([b.column(0), *[pa.array(p[:, j], pa.float64()) for j in range(p.shape[1])]], names=[x.split()[0] for x in schema.split(", ")])
 
-    found = pick(docs, doc_id="long", text="string").mapInArrow(score, schema)
+    found = pick(docs, doc_id="long", text="string").mapInArrow(lean(score), schema)
     return found.withColumn("rejected", (F.col("p_toxic") >= threshold) if learned else F.lit(False))
 
 
