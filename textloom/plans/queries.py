@@ -82,15 +82,26 @@ PREPROCESSED = f"""
 """
 
 
-def _preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII documents, for which NFKC changes nothing and SQL can say the same."""
-    rows = docs(spark, sf_dir).filter(F.col("text").rlike(r"^[\x00-\x7F]*\z"))
+def _preprocessed(spark: SparkSession, sf_dir: str, ascii_only: bool = False) -> DataFrame:
+    """All documents, or the ASCII ones, for which NFKC changes nothing and SQL can say the same."""
+    rows = docs(spark, sf_dir)
+    rows = rows.filter(F.col("text").rlike(r"^[\x00-\x7F]*\z")) if ascii_only else rows
     return normalize.preprocess(rows, min_length=50, languages=["en", "de"])
 
 
+def _with_reasons(preprocessed: DataFrame) -> DataFrame:
+    return preprocessed.select(F.col("seq").alias("doc_id"), "clean", F.coalesce("reason", F.lit("kept")).alias("reason"))
+
+
 @query("preprocess_clean", PREPROCESSED + "SELECT doc_id, clean, coalesce(reason, 'kept') AS reason FROM d")
 def preprocess_clean(spark, sf_dir):
-    return _preprocessed(spark, sf_dir).select(F.col("seq").alias("doc_id"), "clean", F.coalesce("reason", F.lit("kept")).alias("reason"))
+    """The ASCII documents alone; preprocess_clean_all takes all."""
+    return _with_reasons(_preprocessed(spark, sf_dir, ascii_only=True))
+
+
+@query("preprocess_clean_all")
+def preprocess_clean_all(spark, sf_dir):
+    return _with_reasons(_preprocessed(spark, sf_dir))
 
 
 @query("preprocess_report", PREPROCESSED + """
@@ -99,6 +110,12 @@ def preprocess_clean(spark, sf_dir):
            CAST(sum(length(clean)) FILTER (reason IS NULL) AS BIGINT) AS total_chars, CAST(sum(length(clean) // 4) FILTER (reason IS NULL) AS BIGINT) AS estimated_tokens,
            round_even(count(*) FILTER (reason IS NULL) / count(*), 4) AS retention_rate FROM d""")
 def preprocess_report(spark, sf_dir):
+    """Counts of the ASCII documents alone; preprocess_report_all counts all."""
+    return normalize.preprocess_report(_preprocessed(spark, sf_dir, ascii_only=True))
+
+
+@query("preprocess_report_all")
+def preprocess_report_all(spark, sf_dir):
     return normalize.preprocess_report(_preprocessed(spark, sf_dir))
 
 
