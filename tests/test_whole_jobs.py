@@ -1,8 +1,12 @@
 """Queries that do the whole job where SQL says a part of it, against loops in Python."""
 
+import collections
+import math
 import re
 import unicodedata
+import zlib
 
+from textloom.operators import dedup, filters
 from textloom.plans import queries as plans
 
 
@@ -47,3 +51,90 @@ def test_preprocessing_takes_documents_that_are_not_ascii(spark, sf_dir, tmp_pat
         report = plans.QUERIES["preprocess_report_all"](spark, sf).first()
         assert (report.n_total, report.n_kept, report.total_chars) == (len(given), len(kept), sum(map(len, kept)))
         assert all(report[f"removed_{k}"] == sum(reason == k for _, reason in want.values()) for k in ("empty", "too_short", "duplicate", "language"))
+
+
+def brute_quality(text):
+    """The first bound that a text breaks, or None."""
+    words = text.split()
+    lower = collections.Counter(text.lower().split())
+    lines = text.strip().split("\n")
+    if len(text.strip()) < 20:
+        return "too_short"
+    if len(words) < 10:
+        return "word_count"
+    plain = text.encode()
+    measured = {
+        "url_ratio": (sum(map(len, re.findall(r"https?://\S+|www\.\S+", text))) / len(text), 0.0, 0.15),
+        "digit_ratio": (sum(c.isdigit() for c in text) / len(text), 0.0, 0.5),
+        "symbol_ratio": (sum(not c.isalnum() and not c.isspace() for c in text) / len(text), 0.0, 0.3),
+        "duplicate_line_ratio": (1 - len(set(lines)) / len(lines) if len(lines) > 1 else 0.0, 0.0, 0.5),
+        "average_word_length": (sum(map(len, words)) / len(words), 2.0, 15.0),
+        "max_repeated_token_frequency": (max(lower.values()) / len(words), 0.0, 0.15),
+        "character_entropy": (-sum(c / len(text) * math.log2(c / len(text)) for c in collections.Counter(text).values()), 3.0, 8.0),
+        "compression_ratio": (len(zlib.compress(plain)) / len(plain) if len(text) >= 100 else 1.0, 0.2, 0.9),
+        "type_token_ratio": (len(lower) / len(words), 0.1, 1.0),
+    }
+    for name, (value, least, most) in measured.items():
+        if value < least or value > most:
+            return f"{name}<min" if value < least else f"{name}>max"
+    return None
+
+
+def brute_chain(spark, rows):
+    """doc_id -> reason, by the reference's loop over its ten filters, bounds and duplicates; rules of single filters as tested elsewhere."""
+    order = "nsfw gambling seo_spam html_code repeated_content language_quality ocr_garbage document_length unicode_quality language".split()
+    plain = {}
+    for i, text, *_ in rows:
+        bare = " ".join(re.sub("&[a-zA-Z]+;|&#[0-9]+;|&#x[0-9a-fA-F]+;", " ", re.sub("<[^>]+>", " ", text or "")).split())
+        plain[i] = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "", bare)
+    df = spark.createDataFrame(list(plain.items()), "seq long, text string")
+    hits = {name: {r.seq: r.rule for r in filters.apply_filter(df, name).collect()} for name in order}
+    signatures = {r.seq: r.signature for r in dedup.minhash_signatures(df).collect()}
+    out, seen, buckets = {}, set(), set()
+    for i, text, *_ in sorted(rows):
+        first = next((f"{name}:{hits[name][i]}" for name in order if hits[name][i]), None)
+        key = " ".join(plain[i].lower().split())
+        bands = {(k, tuple(signatures[i][k * 8 : k * 8 + 8])) for k in range(16)}
+        if not (text or "").strip():
+            out[i] = "empty"
+        elif first or brute_quality(plain[i]):
+            out[i] = first or f"quality:{brute_quality(plain[i])}"
+        elif key in seen:
+            out[i] = "dedup:exact_duplicate"
+        else:
+            seen.add(key)
+            out[i] = "dedup:minhash_lsh" if bands & buckets else "keep"
+            buckets |= bands if out[i] == "keep" else set()
+    return out
+
+
+GOOD = (
+    "The old harbour town was quiet that morning, and most people had not yet come out of their houses. A few of the men who work with the boats "
+    "would look up at the sky, think about the weather, and then go back to their nets. It is said that no good day at sea can start in such a fog, but they know better than that."
+)
+
+
+def test_whole_cleaning_chain(spark, sf_dir, tmp_path):
+    long_copies = " ".join(f"{GOOD[k:]} {GOOD}" for k in range(20))
+    rows = [
+        (1, GOOD, "keep"),
+        (2, GOOD.replace("quiet", "quiet......."), "repeated_content:repeated_char"),
+        (3, GOOD.replace("no good", "no good good GOOD good"), "repeated_content:repeated_word"),
+        (4, GOOD.replace(" ", "\n ").upper().lower(), "dedup:exact_duplicate"),
+        (5, GOOD + " Nobody minds.", "dedup:minhash_lsh"),
+        (6, (GOOD + " Nobody minds.").upper().lower(), "dedup:exact_duplicate"),
+        (7, long_copies, "quality:compression_ratio<min"),
+        (8, " \n\t", "empty"),
+        (9, None, "empty"),
+        (10, "<p>too&nbsp;short</p>" + "<br>" * 20, "document_length:too_short"),
+        (11, "This is a text that would be kept but is short of one hundred signs.", "quality:compression_ratio>max"),
+        (12, "sex " * 5 + "a" * 9, "nsfw:nsfw_density"),
+    ]
+    small = [(i, t, "en", "a") for i, t, _ in rows]
+    found = {r.doc_id: r.reason for r in plans.QUERIES["clean_chain_full"](spark, stored(spark, tmp_path, small)).collect()}
+    assert found == brute_chain(spark, small) == {i: reason for i, _, reason in rows}
+    documents = [(r.seq, r.text) for r in plans.docs(spark, sf_dir).collect()]
+    want = brute_chain(spark, documents)
+    assert {r.doc_id: r.reason for r in plans.QUERIES["clean_chain_full"](spark, sf_dir).collect()} == want
+    counts = collections.Counter(want[i] for i in sorted(want) if want[i] != "keep")
+    assert [(r.reason, r.n) for r in plans.QUERIES["removal_reasons_top50_full"](spark, sf_dir).collect()] == counts.most_common(50)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions import text as tx
-from ..operators import dedup, documents, evaluation, filters, generate, mixture, normalize, quality, samples, tokens
+from ..operators import cleaning, dedup, documents, evaluation, filters, generate, mixture, normalize, quality, samples, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,7 +164,13 @@ CHAIN = ("document_length", "unicode_quality", "nsfw", "gambling", "seo_spam", "
 CHAINED = "SELECT doc_id, coalesce(" + ", ".join(f"CASE WHEN ({RULES[n]}) IS NOT NULL THEN '{n}:' || ({RULES[n]}) END" for n in CHAIN) + ", 'keep') AS reason FROM documents"
 
 
+def _top_reasons(chained: DataFrame) -> DataFrame:
+    hits = chained.filter("reason <> 'keep'").groupBy("reason").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return hits.orderBy(F.desc("n"), "first").limit(50).drop("first")
+
+
 def _chained(spark, sf_dir):
+    """Nine filters on the raw text, as SQL can say them; clean_chain_full is the whole chain."""
     out = filters.chain(table(spark, sf_dir, "documents"), list(CHAIN))
     return out.select("doc_id", F.coalesce(F.concat("stage", F.lit(":"), "rule"), F.lit("keep")).alias("reason"))
 
@@ -174,8 +180,18 @@ query("clean_chain", CHAINED)(_chained)
 
 @query("removal_reasons_top50", f"SELECT reason, count(*) AS n FROM ({CHAINED}) WHERE reason <> 'keep' GROUP BY reason ORDER BY n DESC, min(doc_id) LIMIT 50")
 def removal_reasons(spark, sf_dir):
-    hits = _chained(spark, sf_dir).filter("reason <> 'keep'").groupBy("reason").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    return hits.orderBy(F.desc("n"), "first").limit(50).drop("first")
+    return _top_reasons(_chained(spark, sf_dir))
+
+
+@query("clean_chain_full")
+def clean_chain_full(spark, sf_dir):
+    """All ten content filters in the configured order on normalised text, then quality bounds and duplicates."""
+    return cleaning.clean_documents(spark, docs(spark, sf_dir)).select(F.col("seq").alias("doc_id"), F.coalesce("reason", F.lit("keep")).alias("reason"))
+
+
+@query("removal_reasons_top50_full")
+def removal_reasons_full(spark, sf_dir):
+    return _top_reasons(clean_chain_full(spark, sf_dir))
 
 
 LW = f"list_transform({W}, lambda w: lower(w))"
