@@ -6,6 +6,8 @@ import re
 import unicodedata
 import zlib
 
+import pytest
+
 from textloom.operators import dedup, filters
 from textloom.plans import queries as plans
 
@@ -138,3 +140,17 @@ def test_whole_cleaning_chain(spark, sf_dir, tmp_path):
     assert {r.doc_id: r.reason for r in plans.QUERIES["clean_chain_full"](spark, sf_dir).collect()} == want
     counts = collections.Counter(want[i] for i in sorted(want) if want[i] != "keep")
     assert [(r.reason, r.n) for r in plans.QUERIES["removal_reasons_top50_full"](spark, sf_dir).collect()] == counts.most_common(50)
+
+
+def test_quality_queries_apply_the_compression_bound(spark, sf_dir, tmp_path):
+    planted = [(1, " ".join(f"{GOOD[k:]} {GOOD}" for k in range(20)), "en", "a"), (2, GOOD, "en", "a"), (3, GOOD[:99], "en", "a"), (4, GOOD + " \n" + GOOD, "en", "a")]
+    documents = [(r.seq, r.text, r.lang, r.source) for r in plans.docs(spark, sf_dir).collect()]
+    found = {}
+    for sf, given in ((stored(spark, tmp_path, planted), planted), (sf_dir, documents)):
+        found[sf] = {r.doc_id: r.rule for r in plans.QUERIES["quality_filter_full"](spark, sf).collect()}
+        assert found[sf] == {i: brute_quality(t or "") or "keep" for i, t, *_ in given}
+        want = {i: len(zlib.compress(t.encode())) / len(t.encode()) if len(t) >= 100 else 1.0 for i, t, *_ in given}
+        assert {r.doc_id: r.compression_ratio for r in plans.QUERIES["quality_metrics_full"](spark, sf).collect()} == pytest.approx(want, abs=1e-6)
+        row = plans.QUERIES["quality_summary_full"](spark, sf).filter("metric = 'compression_ratio'").first()
+        assert (row["mean"], row["least"], row["most"]) == pytest.approx((sum(want.values()) / len(want), min(want.values()), max(want.values())), abs=1e-5)
+    assert [found[str(tmp_path)][i] for i in (1, 2, 3)] == ["compression_ratio<min", "keep", "compression_ratio>max"]

@@ -10,6 +10,8 @@ from ..functions import text as tx
 from .filters import measured, measures
 
 METRICS = ("url_ratio", "digit_ratio", "symbol_ratio", "duplicate_line_ratio", "average_word_length", "max_repeated_token_frequency", "character_entropy", "word_entropy", "type_token_ratio", "sentence_count", "average_sentence_length", "paragraph_count", "char_count", "word_count")
+#: With the one that SQL can't say.
+ALL_METRICS = (*METRICS, "compression_ratio")
 
 #: Metric, least and most; the first that is broken decides.
 BOUNDS = (
@@ -60,6 +62,6 @@ def quality_filter(measured_df: DataFrame, min_words: int = 10, min_sentences: i
 
 def summary(measured_df: DataFrame) -> DataFrame:
     """metric, mean, least, most over all rows, in one aggregation."""
-    names = [n for n in METRICS if n in measured_df.columns]
+    names = [n for n in ALL_METRICS if n in measured_df.columns]
     long = measured_df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select("m.*")
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))

@@ -218,24 +218,54 @@ FLOATS = [n for n in quality.METRICS if not n.endswith("_count")]
 MEASURED = "SELECT doc_id, text, " + ", ".join(f"{sql} AS {n}" for n, sql in METRIC_SQL.items()) + " FROM documents"
 
 
-def _measured(spark, sf_dir):
-    return quality.metrics(table(spark, sf_dir, "documents"))
+def _measured(spark, sf_dir, compression: bool = False):
+    return quality.metrics(table(spark, sf_dir, "documents"), compression)
+
+
+def _rounded(measured_df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return measured_df.select("doc_id", *[F.col(n).cast("bigint").alias(n) if n.endswith("_count") else F.round(F.col(n).cast("double"), 6).alias(n) for n in names])
+
+
+def _ruled(measured_df: DataFrame) -> DataFrame:
+    return quality.quality_filter(measured_df).select("doc_id", F.coalesce("quality_rule", F.lit("keep")).alias("rule"))
+
+
+def _summed_up(measured_df: DataFrame) -> DataFrame:
+    return quality.summary(measured_df).select("metric", *[F.round(c, 6).alias(c) for c in ("mean", "least", "most")])
 
 
 @query("quality_metrics", "SELECT doc_id, " + ", ".join(f"CAST(round({n}, 6) AS DOUBLE) AS {n}" if n in FLOATS else f"CAST({n} AS BIGINT) AS {n}" for n in quality.METRICS) + f" FROM ({MEASURED})")
 def quality_metrics(spark, sf_dir):
-    return _measured(spark, sf_dir).select("doc_id", *[F.round(F.col(n).cast("double"), 6).alias(n) if n in FLOATS else F.col(n).cast("bigint").alias(n) for n in quality.METRICS])
+    return _rounded(_measured(spark, sf_dir), quality.METRICS)
 
 
 @query("quality_filter", "SELECT doc_id, CASE WHEN length(" + strip_sql("text") + ") < 20 THEN 'too_short' WHEN word_count < 10 THEN 'word_count' WHEN sentence_count < 1 THEN 'sentence_count' "
        + " ".join((f"WHEN {n} < {lo} THEN '{n}<min' " if lo is not None else "") + (f"WHEN {n} > {hi} THEN '{n}>max'" if hi is not None else "") for n, lo, hi in quality.BOUNDS if n in METRIC_SQL) + f" ELSE 'keep' END AS rule FROM ({MEASURED})")
 def quality_filter(spark, sf_dir):
-    return quality.quality_filter(_measured(spark, sf_dir)).select("doc_id", F.coalesce("quality_rule", F.lit("keep")).alias("rule"))
+    return _ruled(_measured(spark, sf_dir))
 
 
 @query("quality_summary", " UNION ALL ".join(f"SELECT '{n}' AS metric, round(avg({n}), 6) AS mean, CAST(round(min({n}), 6) AS DOUBLE) AS least, CAST(round(max({n}), 6) AS DOUBLE) AS most FROM m" for n in quality.METRICS).join([f"WITH m AS ({MEASURED}) ", ""]))
 def quality_summary(spark, sf_dir):
-    return quality.summary(_measured(spark, sf_dir)).select("metric", *[F.round(c, 6).alias(c) for c in ("mean", "least", "most")])
+    return _summed_up(_measured(spark, sf_dir))
+
+
+# The same with the compression ratio and its bounds, for which SQL has no zlib
+
+
+@query("quality_metrics_full")
+def quality_metrics_full(spark, sf_dir):
+    return _rounded(_measured(spark, sf_dir, compression=True), quality.ALL_METRICS)
+
+
+@query("quality_filter_full")
+def quality_filter_full(spark, sf_dir):
+    return _ruled(_measured(spark, sf_dir, compression=True))
+
+
+@query("quality_summary_full")
+def quality_summary_full(spark, sf_dir):
+    return _summed_up(_measured(spark, sf_dir, compression=True))
 
 
 @query("compression_ratio")
