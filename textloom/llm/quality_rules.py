@@ -99,12 +99,12 @@ def _distance(params_prefix: str = "p") -> F.Column:
 
 
 def _solve(scale: float):
-    """Moments of each group -> centre and inverse covariance, for as many groups as there are."""
+    """Moments of each group and start -> centre, inverse covariance and log determinant, for as many as there are."""
     floors = np.array([floor for _, floor in VECTOR.values()])
 
     def solve(frames):
         for f in frames:
-            centres, inverses = [], []
+            centres, inverses, sizes = [], [], []
             for row in f.itertuples(index=False):
                 mean = np.array([getattr(row, f"s{i}") for i in range(DIM)]) / row.n
                 cov = np.empty((DIM, DIM))
@@ -113,21 +113,27 @@ def _solve(scale: float):
                         cov[i, j] = cov[j, i] = getattr(row, f"s{i}{j}") / row.n - mean[i] * mean[j]
                 cov = cov * scale + np.diag(floors**2)
                 inverse = np.linalg.inv(cov)
+                sizes.append(np.linalg.slogdet(cov)[1])
                 centres.append(mean.tolist())
                 inverses.append([inverse[i, j] for i in range(DIM) for j in range(i, DIM)])
-            yield pd.DataFrame({"g": f["g"], "m": centres, "w": inverses})
+            yield pd.DataFrame({"g": f["g"], "k": f["k"], "m": centres, "w": inverses, "size": sizes})
 
     return solve
 
 
-def robust_outliers(spark: SparkSession, stats: DataFrame, support: float = 0.75, quantile: float = 0.99999, least_rows: int = 100, steps: int = 4) -> DataFrame:
+def robust_outliers(spark: SparkSession, stats: DataFrame, support: float = 0.53, quantile: float = 0.99999, least_rows: int = 100, steps: int = 4, reweighted: float = 0.975) -> DataFrame:
     """``stats`` with d2 (null where no estimate was made) and outlier.
 
     Minimum-covariance-determinant estimates for each language and source.
-    From the coordinate-wise median and median deviation on, each
+    Three starts: the coordinate-wise median with the median deviation, or
+    with the least deviations, and the first quartile. From each on, a
     concentration step takes the ``support`` share of a group's rows that lie
     nearest and estimates anew; the determinant falls with each. A step is one
-    aggregation for the nearest rows' bound and one for the moments, over all rows.
+    aggregation for the nearest rows' bound and one for the moments, over all
+    rows. The start that ends with the lowest determinant counts; all rows within its
+    ``reweighted`` quantile make the last estimate. ``support`` is
+    at least (n + dimensions + 1) / 2n from 100 rows on, so nearly half a
+    group's rows may be junk.
     Groups of under ``least_rows`` rows are pooled by language, and what is
     then still small in one rest; where even that is smaller, nothing is an outlier.
     """
@@ -151,20 +157,28 @@ def robust_outliers(spark: SparkSession, stats: DataFrame, support: float = 0.75
 
     names = list(VECTOR)
     floors = [floor for _, floor in VECTOR.values()]
-    median = x.groupBy("g").agg(F.count("*").alias("n"), F.array(*[F.percentile_approx(c, 0.5) for c in names]).alias("m")).filter(F.col("n") >= least_rows)
-    median = scratch.keep(median.drop("n"))
-    spread = x.join(few(median), "g").groupBy("g", "m").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col("m")[i]), 0.5).alias(f"d{i}") for i, c in enumerate(names)])
-    diagonal = [(1 / (F.pow(F.col(f"d{i}") * 1.4826, 2) + floors[i] ** 2)) if i == j else F.lit(0.0) for i in range(DIM) for j in range(i, DIM)]
-    params = scratch.keep(spread.select("g", "m", F.array(*diagonal).alias("w")))
-
-    # For normal data the nearest rows' covariance is too small by this factor.
-    scale = support / chi2_cdf(chi2_quantile(support, DIM), DIM + 2)
+    quartile = lambda p: F.array(*[F.percentile_approx(c, p) for c in names])
+    middle = x.groupBy("g").agg(F.count("*").alias("n"), quartile(0.5).alias("m2"), quartile(0.25).alias("m1")).filter(F.col("n") >= least_rows)
+    start = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(m).alias("m")) for k, m in enumerate(("m2", "m2", "m1"))]))
+    starts = scratch.keep(middle.select("g", start.alias("start")).select("g", "start.*"))
+    spread = x.join(few(starts), "g").groupBy("g", "k", "m").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col("m")[i]), 0.5).alias(f"d{i}") for i, c in enumerate(names)])
+    deviation = lambda i: F.when(F.col("k") == 1, 0.0).otherwise(F.col(f"d{i}") * 1.4826)
+    diagonal = [(1 / (F.pow(deviation(i), 2) + floors[i] ** 2)) if i == j else F.lit(0.0) for i in range(DIM) for j in range(i, DIM)]
+    params = scratch.keep(spread.select("g", "k", "m", F.array(*diagonal).alias("w")))
+
+    def estimate(near: DataFrame, share: float) -> DataFrame:
+        """For normal data the nearest rows' covariance is too small by the factor ``scale``."""
+        scale = share / chi2_cdf(chi2_quantile(share, DIM), DIM + 2)
+        moments = near.groupBy("g", "k").agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}{j}") for i in range(DIM) for j in range(i, DIM)])
+        return scratch.keep(moments.mapInPandas(_solve(scale), "g string, k int, m array<double>, w array<double>, size double"))
+
     for _ in range(steps):
         d = x.join(few(params), "g").withColumn("d2", _distance())
-        bound = d.groupBy("g").agg(F.percentile_approx("d2", support).alias("bound"))
-        near = d.join(few(scratch.keep(bound)), "g").filter("d2 <= bound")
-        moments = near.groupBy("g").agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}{j}") for i in range(DIM) for j in range(i, DIM)])
-        params = scratch.keep(moments.mapInPandas(_solve(scale), "g string, m array<double>, w array<double>"))
+        bound = d.groupBy("g", "k").agg(F.percentile_approx("d2", support).alias("bound"))
+        params = estimate(d.join(few(scratch.keep(bound)), ["g", "k"]).filter("d2 <= bound"), support)
+    best = scratch.keep(params.groupBy("g").agg(F.min(F.struct("size", "k", "m", "w")).alias("b")).select("g", "b.k", "b.m", "b.w"))
+    within = x.join(few(best), "g").withColumn("d2", _distance()).filter(F.col("d2") <= chi2_quantile(reweighted, DIM))
+    params = estimate(within, reweighted).drop("k", "size")
     out = x.join(few(params), "g", "left").withColumn("d2", _distance())
     return out.withColumn("outlier", F.coalesce(F.col("d2") > chi2_quantile(quantile, DIM), F.lit(False)))
 
