@@ -22,6 +22,25 @@ def passage_key(text: Column) -> Column:
     return F.when(plain != "", F.md5(plain))
 
 
+def line_keys(text: Column) -> Column:
+    """The passage keys of the lines that have any."""
+    return F.filter(F.transform(F.split(text, "\n"), passage_key), lambda k: k.isNotNull())
+
+
+def excerpts(quotes: DataFrame, messages: DataFrame) -> DataFrame:
+    """k, conv_id, turn: runs of two lines or more that are successive own lines of a message.
+
+    They meet by their first two lines, each distinct run and each distinct own text once.
+    """
+    runs = quotes.filter(F.size("l") > 1).select("k", "l").distinct().withColumn("p", F.concat(F.get("l", F.lit(0)), F.get("l", F.lit(1))))
+    own = messages.select("conv_id", "turn", line_keys(F.col("own_text")).alias("own")).filter(F.size("own") > 1).withColumn("text", F.md5(F.array_join("own", "")))
+    texts = own.select("text", "own").dropDuplicates(["text"])
+    pairs = F.transform(F.sequence(F.lit(1), F.size("own") - 1), lambda i: F.struct(i.alias("i"), F.concat(F.element_at("own", i), F.element_at("own", i + 1)).alias("p")))
+    met = texts.select("text", F.explode(pairs).alias("at")).select("text", "at.*").join(runs, "p").join(texts, "text")
+    held = met.filter(F.slice("own", F.col("i"), F.size("l")) == F.col("l")).select("k", "text").distinct()
+    return held.join(own.select("conv_id", "turn", "text"), "text").select("k", "conv_id", "turn")
+
+
 def let(value: Column, f) -> Column:
     """f of the value, computed once however often f, or a lambda in it, uses it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
@@ -59,7 +78,8 @@ def link_quotations(spark: SparkSession, messages: DataFrame) -> DataFrame:
 
     * A quoted passage is looked up by the hash of its normalised text among the
       messages' own texts: whole ones, paragraphs (runs without an empty line)
-      and single lines. If several earlier messages hold it, the
+      and single lines; one of several lines also among successive own lines, so
+      that excerpts and answers between quotes are found. If several earlier messages hold it, the
       first of the same conversation is meant, else the first of all.
       Earlier means a smaller (conv_id, turn).
     * The parent is the origin of the first linked passage of the lowest level;
@@ -77,7 +97,7 @@ def link_quotations(spark: SparkSession, messages: DataFrame) -> DataFrame:
     m = pick(messages, conv_id="long", turn="long", role="string", text="string")
     m = m.withColumn("parts", passages(F.coalesce("text", F.lit(""))))
     own = F.array_join(F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["body"]), "\n")
-    quoted = F.filter(F.transform("parts", lambda p, i: F.struct(p["level"].alias("level"), i.alias("i"), passage_key(p["body"]).alias("k"))), lambda q: (q["level"] > 0) & q["k"].isNotNull())
+    quoted = F.filter(F.transform("parts", lambda p, i: F.struct(p["level"].alias("level"), i.alias("i"), passage_key(p["body"]).alias("k"), line_keys(p["body"]).alias("l"))), lambda q: (q["level"] > 0) & q["k"].isNotNull())
     m = m.select("conv_id", "turn", "role", F.regexp_replace(own, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("own_text"), F.array_max(F.transform("parts", lambda p: p["level"])).alias("quote_depth"), quoted.alias("quotes"))
     m = scratch.keep(m.withColumn("row", F.monotonically_increasing_id()))
 
@@ -85,7 +105,7 @@ def link_quotations(spark: SparkSession, messages: DataFrame) -> DataFrame:
     quotes = scratch.keep(m.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND size(quotes) > 0").select("row", "conv_id", "turn", F.explode("quotes").alias("q")).select("row", "conv_id", "turn", "q.*"))
     units = F.array_union(F.array(F.col("own_text")), F.array_union(F.split("own_text", r"\n[\x20\x09-\x0D]*\n"), F.split("own_text", "\n")))
     said = m.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(units, passage_key))).alias("k"))
-    said = said.join(quotes.select("k").distinct(), "k", "left_semi").groupBy("k", "conv_id").agg(F.min("turn").alias("turn"))
+    said = said.join(quotes.select("k").distinct(), "k", "left_semi").unionByName(excerpts(quotes, m.filter("conv_id IS NOT NULL AND turn IS NOT NULL"))).groupBy("k", "conv_id").agg(F.min("turn").alias("turn"))
     said = scratch.keep(said)
     here = said.select("k", "conv_id", F.col("turn").alias("here_turn"))
     first = said.groupBy("k").agg(F.min(F.struct("conv_id", "turn")).alias("there"))
