@@ -491,6 +491,26 @@ def test_packing_round_trip(spark, sf_dir):
     assert check_packed(packing.pack_documents(spark, docs, length=64, most_open=3, with_ids=False).collect(), texts, 64)[0] == tokens
 
 
+def test_ids_are_the_tokenizer_files(spark):
+    """On every text of a table, and where the ranks' pattern would give up."""
+    import pyarrow.parquet as pq
+
+    encoder = packing.Encoder()
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    for text, wanted in zip(texts, encoder.full.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encoder(text).tolist() == [*wanted.ids, packing.END]
+    for run in ("a" + " " * 1_000_000 + "b", "a" + "\n" * 1_000_000 + "b", "a" * 1_000_000, "x" + "\u3000" * 300_000, (" " * 9_000 + "x") * 20):
+        assert encoder(run).tolist() == [*encoder.full.encode(run, add_special_tokens=False).ids, packing.END]
+    # Half a run decides; shorter ones may stay with the ranks.
+    assert packing.has_long_run("a" * 3 + " " * packing.LONG_RUN + "b") and not packing.has_long_run("a " * 1000)
+
+
+def test_packing_long_white_space(spark):
+    texts = {1: "a" + " " * 1_000_000 + "b", 2: "a" + "\n" * 1_000_000 + "b", 3: "a" * 1_000_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check_packed(packing.pack_documents(spark, docs).collect(), texts, 1024)
+
+
 def test_packing_awkward_rows(spark):
     df, rows = awkward(spark)
     unique = df.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])

@@ -17,14 +17,25 @@ from .common import Scratch, lean, pick, raw_bytes
 END = 0
 #: Beyond these code points (and in the rarer controls) libraries may differ in their Unicode tables.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ]")
+#: White space in a row, at which the ranks' pattern grows slow and, far beyond, runs out of stack.
+LONG_RUN = 500
 SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, leftover boolean"
 
 
+def has_long_run(text: str) -> bool:
+    """True if ``LONG_RUN`` characters of white space follow each other: then they fill a block of half that length."""
+    half = LONG_RUN // 2
+    return any(text[i : i + half].isspace() for i in range(0, len(text) - half + 1, half))
+
+
 class Encoder:
-    """Token ids of a byte-level BPE vocabulary that is on hand as ranks and as a tokenizer file.
+    """Token ids as ``tokenizers`` gives them for the tokenizer file, without added special tokens.
 
-    The ranks give the same ids several times faster; texts with unusual
-    characters go to the tokenizer file itself. The tests hold both against each other.
+    The file is what decides. Its vocabulary is also on hand as ranks, which
+    give the same ids several times faster; they are used for texts of common
+    characters only (the tests hold both against each other over a whole
+    table). All others, texts with long runs of white space and whatever the
+    ranks fail on go to the file itself.
     """
 
     def __init__(self, tokenizer_file: str | None = None, ranks_file: str | None = None):
@@ -44,13 +55,21 @@ class Encoder:
             self.loaded = Tokenizer.from_file(self.tokenizer_file)
         return self.loaded
 
+    def _by_file(self, text: str) -> np.ndarray:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _by_ranks(self, text: str) -> np.ndarray | None:
+        if UNUSUAL.search(text) or "<|" in text or has_long_run(text):
+            return None
+        try:
+            return self.fast.encode_to_numpy(text)
+        except ValueError:  # the pattern's engine gave up
+            return None
+
     def __call__(self, text: str) -> np.ndarray:
         """The ids, and then the id that ends a document."""
-        if UNUSUAL.search(text) or "<|" in text:
-            ids = np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        else:
-            ids = self.fast.encode_to_numpy(text)
-        return np.append(ids, END).astype("<u4", copy=False)
+        ids = self._by_ranks(text)
+        return np.append(self._by_file(text) if ids is None else ids, END).astype("<u4", copy=False)
 
 
 class Windows:
