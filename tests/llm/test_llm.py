@@ -411,13 +411,60 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(pairs, total)
 
 
+def test_gradient_against_enumeration():
+    """The loss by all paths of all lines, its derivatives by differences."""
+    import itertools
+
+    from textloom.llm.line_quality import PICKS, Chain
+
+    rng = np.random.default_rng(1)
+    counts, y = np.array([3, 1, 4, 2]), np.array([1, 0, 0, 1])
+    x, lengths, w = rng.normal(size=(counts.sum(), 3)), rng.uniform(1, 5, size=counts.sum()), rng.normal(size=7)
+
+    def loss(w):
+        total, at = 0.0, 0
+        for n, label in zip(counts, y):
+            z = mean = 0.0
+            for path in itertools.product((0, 1), repeat=int(n)):
+                p = np.exp(sum(x[at + t] @ w[:3] for t in range(n) if path[t]) + sum(w[3 + 2 * a + b] for a, b in zip(path, path[1:])))
+                z += p
+                mean += p * (lengths[at : at + n] @ np.array(path)) / lengths[at : at + n].sum()
+            good = (mean / z) ** PICKS
+            total -= np.log(good if label else 1 - good)
+            at += n
+        return total / len(y)
+
+    step = 1e-6 * np.eye(7)
+    wanted = [(loss(w + s) - loss(w - s)) / 2e-6 for s in step]
+    assert np.allclose(Chain.gradient(w, x, lengths, counts, y), wanted, atol=1e-5)
+
+
+def test_bad_lines_within_good_documents(spark):
+    """Lines of one document bear different labels: junk put into good documents is found, the lines around it stay good."""
+    from textloom.llm.line_quality import fit_quality
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = fit_quality(spark, docs, labels)
+    good = [r.text for r in docs.join(labels.filter("quality = 1"), "doc_id").select("text").collect() if r.text and r.text.count("\n") > 5]
+    assert len(good) > 50
+    junk = "Thnd*** iner*** ther*** ththsh$$$ ountin$$$ ntnd*** that*** a,%%% erat$$$ ddff*** one### two%%%"
+    found = n = 0
+    for text in good:
+        lines = [x for x in text.split("\n") if x.split()]
+        p, _ = model.lines(["\n".join([*lines[:3], junk, *lines[3:]]).encode()])
+        assert p[3] < 0.5
+        found, n = found + (np.delete(p, 3) >= 0.5).sum(), n + len(lines)
+    assert found >= 0.95 * n
+
+
 def test_line_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     found = queries.op6_line_quality(spark, sf).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
     held = [(r.predicted, labels[r.doc_id]) for r in found if r.held_out and r.doc_id in labels]
-    assert sum(p == q for p, q in held) >= 0.95 * len(held)
+    assert sum(p == q for p, q in held) >= 0.98 * len(held)
 
 
 def test_line_quality_of_awkward_rows(spark):
