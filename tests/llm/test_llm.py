@@ -91,23 +91,80 @@ def test_exact_dedup_rows(spark):
     assert exact_dedup(spark, nothing(spark)).count() == 0
 
 
-def test_digest_index_remembers(spark):
+TWO = "doc_id long, text string"
+
+
+@pytest.fixture
+def index(spark):
     from textloom.llm.exact_dedup import DigestIndex
 
-    index = DigestIndex(spark, "textloom_test_digests", buckets=3)
+    index = DigestIndex(spark, "textloom_test_digests", buckets=5)
+    yield index
     index.drop()
-    try:
-        def batch(*rows):
-            return {r.doc_id: (r.keep_id, r.kept) for r in index.append(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-
-        assert batch((1, "a"), (2, "A"), (3, "b")) == {1: (2, False), 2: (2, True), 3: (3, True)}
-        assert batch((9, "a"), (8, "c"), (7, "c")) == {9: (2, False), 8: (8, True), 7: (8, False)}
-        assert index.append(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-        assert index.read().count() == 3
-        plan = index.read().join(spark.range(9).selectExpr("sha2(string(id), 256) s").selectExpr("unhex(s) digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
-        assert "SelectedBucketsCount" in plan or "Bucketed: true" in plan
-    finally:
-        index.drop()
+
+
+def decisions(found):
+    return {r.doc_id: (r.keep_id, r.kept) for r in found.collect()}
+
+
+def test_digest_index_remembers(spark, index):
+    def batch(*rows):
+        return decisions(index.append(spark.createDataFrame(rows, TWO)))
+
+    assert batch((1, "a"), (2, "A"), (3, "b")) == {1: (2, False), 2: (2, True), 3: (3, True)}
+    assert batch((9, "a"), (8, "c"), (7, "c")) == {9: (2, False), 8: (8, True), 7: (8, False)}
+    assert index.append(spark.createDataFrame([], TWO)).count() == 0
+    assert index.read().count() == 3
+
+
+def test_digest_index_isnt_shuffled(spark, index):
+    """The anti-join is a sort-merge join; only the new digests are exchanged."""
+    index.append(spark.createDataFrame([(1, "a")], TWO))
+    groups = spark.range(9).selectExpr("unhex(sha2(string(id), 256)) digest", "id keep_id")
+    plan = index.unseen(groups)._jdf.queryExecution().sparkPlan().toString() + index.unseen(groups)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [digest" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning(digest") == 1
+
+
+def test_a_batch_may_be_repeated(spark, index):
+    """Appended again after a failure between the write and the result, or halfway through the write, it loses nothing."""
+    from textloom.llm.exact_dedup import digests
+
+    first, second = spark.createDataFrame([(1, "a"), (2, "b")], TWO), spark.createDataFrame([(3, "b"), (4, "c"), (5, "C"), (6, "d"), (None, "e")], TWO)
+    index.append(first, "one")
+    index.add(digests(second.filter("doc_id < 6")), "two")  # some of it was written before all was lost
+    wanted = {3: (2, False), 4: (5, False), 5: (5, True), 6: (6, True), None: (None, True)}
+    assert decisions(index.append(second, "two")) == wanted
+    assert decisions(index.append(second, "two")) == wanted  # written, but the result was lost
+    assert index.read().count() == index.read().select("digest").distinct().count() == 5
+    assert decisions(index.append(first, "one")) == {1: (1, True), 2: (2, True)}
+    assert not any(kept for _, kept in decisions(index.append(second, "three")).values())
+
+
+def test_compaction(spark, index):
+    from textloom.llm.exact_dedup import DigestIndex
+
+    for k in range(3):
+        index.append(spark.range(20).selectExpr("id doc_id", f"concat('{k}', id) text"), str(k))
+    before = sorted(index.read().collect())
+    files = len(index.read().inputFiles())
+    index.compact()
+    assert sorted(index.read().collect()) == before and len(index.read().inputFiles()) == 5 < files
+    # Cut short before the old table goes, and after.
+    index._create(index.fresh)
+    again = DigestIndex(spark, index.table)
+    assert sorted(again.read().collect()) == before and again.buckets == 5
+    spark.sql(f"ALTER TABLE {index.table} RENAME TO {index.fresh}")
+    assert sorted(DigestIndex(spark, index.table).read().collect()) == before
+
+
+def test_dropped_ids_by_shuffle(spark, monkeypatch):
+    from textloom.llm import exact_dedup
+
+    df, rows = awkward(spark)
+    wanted = sorted(map(repr, exact_dedup.keep_one_of_each_text(spark, df).collect()))
+    monkeypatch.setattr(exact_dedup, "DROP_BY_BROADCAST", 0)
+    assert sorted(map(repr, exact_dedup.keep_one_of_each_text(spark, df).collect())) == wanted
 
 
 def test_a_group_of_a_third_of_all_rows(spark):
