@@ -11,13 +11,25 @@ from .common import WordHashes, hashed_words, lean, pick, raw_bytes, window_hash
 
 #: {0, 1, 3} is a difference cover modulo 7: for any i and j there is a d < 7 with i+d and j+d both in it.
 PERIOD, COVER = 7, (0, 1, 3)
-#: Words, and documents, that a task gathers before it sorts them; its memory is a few arrays of this length.
-CHUNK_WORDS, CHUNK_DOCS = 1_000_000, 60_000
+#: Words of a chunk: of what a task gathers before it sorts them; its memory is a few arrays of this length. The
+#: more buckets there are, the longer chunks get, up to the larger number, so that a bucket's share of one doesn't vanish.
+CHUNK_WORDS = (1_000_000, 8_000_000)
+#: Documents of a chunk; their numbers in it take two bytes.
+CHUNK_DOCS = 60_000
+#: Bytes of text for each bucket, which is settled in memory, and for each task.
+BUCKET_BYTES, TASK_BYTES = 64 << 20, 16 << 20
+MOST_TASKS = 100_000
 #: Rows from a chunk: entries for a bucket (hashes, and which document of the chunk holds each), or,
 #: without hashes, the chunk's own row with its documents' keys and the hits found inside it.
 ENTRIES = "bucket int, chunk long, hashes binary, holders binary, ids binary, keys binary, found binary"
 #: Hits go back to the chunk: hashes, and which document holds each.
 HITS = "chunk long, hashes binary, holders binary, keys binary"
+#: Anchors: the low half of a hash whose high half decides the bucket. Two that are taken for equal cost work, not words.
+ANCHOR = np.dtype("<u4")
+#: Windows: two hashes; of the second, the low half decides the bucket and the high 16 bits are sent with the first.
+WINDOW, SENT = np.dtype([("a", "<u8"), ("b", "<u8")]), np.dtype([("a", "<u8"), ("b", "<u2")])
+#: Makes other word hashes of word hashes.
+OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
 def in_cover(n: int) -> np.ndarray:
@@ -25,13 +37,22 @@ def in_cover(n: int) -> np.ndarray:
     return positions[np.isin(positions % PERIOD, COVER)]
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Rising two-byte numbers as differences, low bytes before high ones: nearly all of it zeros and small numbers."""
+    return np.diff(numbers, prepend=np.uint16(0)).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(2, -1).T.copy().view("<u2").ravel(), dtype=np.uint16)
+
+
 class Chunk:
     """(hash, document) of some documents, and what can be told from them alone."""
 
-    def __init__(self, buckets: int, most_words: int):
+    def __init__(self, buckets: int, most_words: int, earlier_only: bool):
         from pyspark import TaskContext
 
-        self.most_words = most_words
+        self.most_words, self.earlier_only = most_words, earlier_only
         self.buckets, self.number = buckets, TaskContext.get().partitionId() << 32
         self.clear()
 
@@ -42,7 +63,6 @@ class Chunk:
     def add(self, key: int, doc_id: int, h: np.ndarray, words: int) -> None:
         self.words += words
         if len(h):
-            h = np.unique(h)
             self.hashes.append(h)
             self.sizes.append(len(h))
             self.keys.append(key)
@@ -51,20 +71,27 @@ class Chunk:
     def full(self) -> bool:
         return self.words >= self.most_words or len(self.sizes) >= CHUNK_DOCS
 
-    def flush(self, earlier_only: bool) -> pa.RecordBatch:
+    def flush(self) -> pa.RecordBatch:
         """Rows of ENTRIES, with one entry for each hash on behalf of all documents that hold it here.
 
-        Without ``earlier_only``, all holders of a hash that several documents
-        hold are hits. With it, the holders with the smallest id are entries
-        and those with a larger one are hits. So however many documents share a
-        passage, each chunk sends one entry for it.
+        For anchors, all holders of a hash that several documents hold are
+        hits. With ``earlier_only``, for windows, the holders with the smallest
+        id are entries and those with a larger one are hits. So however many
+        documents share a passage, each chunk sends one entry for it.
         """
-        number, keys, ids = self.number, np.array(self.keys, dtype=np.int64), np.array(self.ids, dtype=np.int64)
-        h = np.concatenate([np.empty(0, dtype=np.uint64), *self.hashes])
+        number, keys, ids, earlier_only = self.number, np.array(self.keys, dtype=np.int64), np.array(self.ids, dtype=np.int64), self.earlier_only
+        kind = WINDOW if earlier_only else np.dtype(np.uint64)
+        h = np.concatenate([np.empty(0, dtype=kind), *self.hashes])
         doc = np.repeat(np.arange(len(self.sizes), dtype=np.uint16), self.sizes)
         self.clear()
-        order = np.lexsort((ids[doc], h)) if earlier_only else np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
+        if earlier_only:
+            order = np.lexsort((doc, ids[doc], h["b"], h["a"]))
+            h, doc = h[order], doc[order]
+            once = starts(h) | starts(doc)  # a document may hold a window several times
+            h, doc = h[once], doc[once]
+        else:
+            order = np.argsort(h, kind="stable")
+            h, doc = h[order], doc[order]
         new = starts(h)
         group = np.cumsum(new) - 1
         if earlier_only:
@@ -73,15 +100,23 @@ class Chunk:
         else:
             send = new
             hit = (np.bincount(group) > 1)[group]
-        rows = [(number % self.buckets, number, None, doc[hit].tobytes(), None, keys.tobytes(), h[hit].tobytes())]
+        back = (h["a"] if earlier_only else h.astype(ANCHOR))[hit]
+        by_doc = np.argsort(doc[hit], kind="stable")
+        rows = [(number % self.buckets, number, None, packed(doc[hit][by_doc]), None, keys.tobytes(), back[by_doc].tobytes())]
         h, doc = h[send], doc[send]
-        bucket = (h % np.uint64(self.buckets)).astype(np.int32)
+        decides = h["b"] & np.uint64(0xFFFFFFFF) if earlier_only else h >> np.uint64(32)
+        bucket = (decides % np.uint64(self.buckets)).astype(np.int32)
+        if earlier_only:
+            sent = np.empty(len(h), dtype=SENT)
+            sent["a"], sent["b"] = h["a"], h["b"] >> np.uint64(48)
+        else:
+            sent = h.astype(ANCHOR)
         order = np.lexsort((doc, bucket))
-        h, doc, bucket = h[order], doc[order], bucket[order]
+        sent, doc, bucket = sent[order], doc[order], bucket[order]
         edges = [*np.flatnonzero(starts(bucket)), len(bucket)]
         for a, b in zip(edges[:-1], edges[1:]):
-            first = ids[doc[a:b][starts(doc[a:b])]].tobytes() if earlier_only else None
-            rows.append((int(bucket[a]), number, h[a:b].tobytes(), doc[a:b].tobytes(), first, None, None))
+            first_ids = ids[doc[a:b][starts(doc[a:b])]].tobytes() if earlier_only else None
+            rows.append((int(bucket[a]), number, sent[a:b].tobytes(), packed(doc[a:b]), first_ids, None, None))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names_of(ENTRIES))
 
@@ -100,26 +135,28 @@ def starts(values: np.ndarray) -> np.ndarray:
 def meet(earlier_only: bool):
     """For rows sorted by bucket: a chunk's own row passes, entries of one hash are held together."""
 
+    kind = SENT if earlier_only else ANCHOR
+
     def settle(rows):
-        h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-        docs = [np.frombuffer(r["holders"], np.uint16) for r in rows]
-        row = np.repeat(np.arange(len(rows)), [len(d) for d in docs])
-        doc = np.concatenate(docs)
+        h = np.concatenate([np.frombuffer(r["hashes"], kind) for r in rows])
+        docs = [unpacked(r["holders"]) for r in rows]
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(d) for d in docs])
         if earlier_only:
             ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[np.cumsum(starts(d)) - 1] for r, d in zip(rows, docs)])
-            order = np.lexsort((ids, h))
+            order = np.lexsort((ids, h["b"], h["a"]))
             ids = ids[order]
         else:
             order = np.argsort(h, kind="stable")
+        doc = np.concatenate(docs)
         h, row, doc = h[order], row[order], doc[order]
         new = starts(h)
         group = np.cumsum(new) - 1
         hit = ids > ids[new][group] if earlier_only else (np.bincount(group) > 1)[group]
-        h, row, doc = h[hit], row[hit], doc[hit]
-        order = np.argsort(row, kind="stable")
+        h, row, doc = (h["a"] if earlier_only else h)[hit], row[hit], doc[hit]
+        order = np.lexsort((doc, row))
         h, row, doc = h[order], row[order], doc[order]
         edges = [*np.flatnonzero(starts(row)), len(row)]
-        return [(rows[row[a]]["chunk"], h[a:b].tobytes(), doc[a:b].tobytes(), None) for a, b in zip(edges[:-1], edges[1:])]
+        return [(rows[row[a]]["chunk"], h[a:b].tobytes(), packed(doc[a:b]), None) for a, b in zip(edges[:-1], edges[1:])]
 
     def run(batches):
         bucket, rows = None, []
@@ -145,31 +182,34 @@ def meet(earlier_only: bool):
     return run
 
 
-def deal(batches):
+def deal(kind):
     """For rows sorted by chunk: the hits of each document, by its key."""
 
     def settle(rows):
         keys = np.frombuffer(next(r["keys"] for r in rows if r["keys"] is not None), np.int64)
-        h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-        doc = np.concatenate([np.frombuffer(r["holders"], np.uint16) for r in rows])
+        h = np.concatenate([np.frombuffer(r["hashes"], kind) for r in rows])
+        doc = np.concatenate([unpacked(r["holders"]) for r in rows])
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
         edges = [*np.flatnonzero(starts(doc)), len(doc)]
         return pa.record_batch([pa.array(keys[doc[edges[:-1]]]), pa.array([h[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], names=["key", "found"])
 
-    chunk, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if rows and row["chunk"] != chunk:
-                yield settle(rows)
-                rows = []
-            chunk = row["chunk"]
-            rows.append(row)
-    if rows:
-        yield settle(rows)
+    def run(batches):
+        chunk, rows = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if rows and row["chunk"] != chunk:
+                    yield settle(rows)
+                    rows = []
+                chunk = row["chunk"]
+                rows.append(row)
+        if rows:
+            yield settle(rows)
+
+    return run
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13, chunk_words: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text for each row of ``docs``.
 
     A window is ``window`` (8 or more) consecutive words of one document; words
@@ -180,33 +220,40 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13, chun
        positions are enough. Anchors are spread by hash; those that several
        documents hold go back to these documents.
     2. Only windows around shared anchors are then hashed (the extension) and
-       spread by hash; the smallest id of each decides.
+       spread by hash; the smallest id of each decides. Windows are taken for
+       equal by 80 bits and what decides their bucket.
     3. Each document drops the words of its hit windows.
 
-    Documents travel once, by their key, for steps 2 and 3. A passage common
-    to many documents costs one entry per ``chunk_words`` words of input.
+    The numbers of buckets and tasks follow from the bytes of all texts, so that neither
+    a bucket, which is settled in memory, nor a task grows with the input. Documents
+    travel once, by their key, for steps 2 and 3. A passage common
+    to many documents costs one entry per chunk (``CHUNK_WORDS``, unless ``chunk_words`` is given).
     Null texts have no words. Rows with a null id keep all words and take none
     from others. Rows with one id are one document's: they take nothing from
     each other. An empty table gives no rows.
     """
     span = window - PERIOD + 1
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pick(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id", "text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = min(max(1, -(-size // TASK_BYTES)), MOST_TASKS)
+    buckets = max(2 * tasks, -(-size // BUCKET_BYTES)) if tasks == MOST_TASKS else 2 * tasks
+    words = chunk_words or min(max(CHUNK_WORDS[0], buckets * 1_000), CHUNK_WORDS[1])
+    by_key = rows.repartition(tasks, "key")
 
     def anchors(batches):
-        table, chunk = WordHashes(), Chunk(buckets, chunk_words)
+        table, chunk = WordHashes(), Chunk(buckets, words, False)
         for b in batches:
             for key, doc_id, text in zip(b.column("key").to_pylist(), b.column("doc_id").to_pylist(), raw_bytes(b.column("text"))):
-                words = (text or b"").split()
-                if doc_id is not None and len(words) >= window:
-                    h = window_hashes(hashed_words(words, table), span)
-                    chunk.add(key, doc_id, h[in_cover(len(h))], len(words))
+                found = (text or b"").split()
+                if doc_id is not None and len(found) >= window:
+                    h = window_hashes(hashed_words(found, table), span)
+                    chunk.add(key, doc_id, np.unique(h[in_cover(len(h))]), len(found))
                     if chunk.full():
-                        yield chunk.flush(False)
-        yield chunk.flush(False)
+                        yield chunk.flush()
+        yield chunk.flush()
 
     def windows(batches):
-        table, chunk = WordHashes(), Chunk(buckets, chunk_words)
+        table, chunk = WordHashes(), Chunk(buckets, words, True)
         for b in batches:
             for key, doc_id, text, found in zip(b.column("key").to_pylist(), b.column("doc_id").to_pylist(), raw_bytes(b.column("text")), b.column("found").to_pylist()):
                 if found is None:
@@ -214,15 +261,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13, chun
                 h = hashed_words((text or b"").split(), table)
                 a = window_hashes(h, span)
                 at = in_cover(len(a))
-                at = at[np.isin(a[at], np.frombuffer(found, np.uint64))]
+                at = at[np.isin(a[at].astype(ANCHOR), np.frombuffer(found, ANCHOR))]
                 near = np.zeros(len(h) + PERIOD, dtype=bool)
                 for shift in range(PERIOD):
                     near[at - shift + PERIOD - 1] = True  # a window that starts before the text is cut off here
-                w = window_hashes(h, window)
-                chunk.add(key, doc_id, w[near[PERIOD - 1 :][: len(w)]], len(h))
+                near = near[PERIOD - 1 :][: len(h) - window + 1]
+                w = np.empty(int(near.sum()), dtype=WINDOW)
+                w["a"] = window_hashes(h, window)[near]
+                w["b"] = window_hashes(h * OTHER, window)[near]
+                chunk.add(key, doc_id, w, len(h))
                 if chunk.full():
-                    yield chunk.flush(True)
-        yield chunk.flush(True)
+                    yield chunk.flush()
+        yield chunk.flush()
 
     def cut(batches):
         table = WordHashes()
@@ -242,9 +292,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 13, chun
             yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     def with_hits(entries: DataFrame, earlier_only: bool) -> DataFrame:
-        met = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet(earlier_only)), HITS)
-        found = met.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lean(deal), "key long, found binary")
-        return rows.join(found.dropDuplicates(["key"]), "key", "left")
+        met = entries.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet(earlier_only)), HITS)
+        found = met.repartition(tasks, "chunk").sortWithinPartitions("chunk").mapInArrow(lean(deal("<u8" if earlier_only else ANCHOR)), "key long, found binary")
+        return by_key.join(found.repartition(tasks, "key").dropDuplicates(["key"]).hint("merge"), "key", "left")
 
     shared = with_hits(rows.mapInArrow(lean(anchors), ENTRIES), False)
     earlier = with_hits(shared.mapInArrow(lean(windows), ENTRIES), True)
