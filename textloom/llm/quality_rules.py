@@ -121,17 +121,67 @@ def _solve(scale: float):
     return solve
 
 
-def robust_outliers(spark: SparkSession, stats: DataFrame, support: float = 0.53, quantile: float = 0.99999, least_rows: int = 100, steps: int = 4, reweighted: float = 0.975) -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
+    """A table of a row per group, to be broadcast if its rows are as few as they should be."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _estimate(scratch: Scratch, near: DataFrame, share: float) -> DataFrame:
+    """g, k, m, w, size from the rows nearest; for normal data their covariance is too small by the factor ``scale``."""
+    names = list(VECTOR)
+    scale = share / chi2_cdf(chi2_quantile(share, DIM), DIM + 2)
+    moments = near.groupBy("g", "k").agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}{j}") for i in range(DIM) for j in range(i, DIM)])
+    return scratch.keep(moments.mapInPandas(_solve(scale), "g string, k int, m array<double>, w array<double>, size double"))
+
+
+def mcd_estimates(scratch: Scratch, x: DataFrame, support: float, least_rows: int, first_steps: int = 2, most_steps: int = 20, least_fall: float = 1e-4) -> DataFrame:
+    """g, k (start), m (centre), w (inverse covariance), size (log determinant) for each group of written rows ``x`` (g, x0 ...).
+
+    Four starts: the coordinate-wise median with the median deviations, or with
+    the least deviations, and the first and the third quartile with the median deviations from them. A concentration
+    step takes the ``support`` share of a group's rows that lie nearest and
+    estimates anew, by one aggregation for those rows' bound and one for the moments,
+    over all rows. After ``first_steps`` the start with the lowest determinant goes
+    on for each group, until no group's falls by ``least_fall`` (in the logarithm) any more;
+    ``most_steps`` bounds the time, steps being few as a rule. Of a group's estimates the one with the lowest
+    determinant is given.
+    """
+    names = list(VECTOR)
+    floors = [floor for _, floor in VECTOR.values()]
+    quartile = lambda p: F.array(*[F.percentile_approx(c, p) for c in names])
+    middle = x.groupBy("g").agg(F.count("*").alias("n"), *[quartile(p).alias(f"m{i}") for i, p in enumerate((0.5, 0.25, 0.75))]).filter(F.col("n") >= least_rows)
+    start = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(m).alias("m")) for k, m in enumerate(("m0", "m0", "m1", "m2"))]))
+    starts = scratch.keep(middle.select("g", start.alias("start")).select("g", "start.*"))
+    spread = x.join(few(starts), "g").groupBy("g", "k", "m").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col("m")[i]), 0.5).alias(f"d{i}") for i, c in enumerate(names)])
+    deviation = lambda i: F.when(F.col("k") == 1, 0.0).otherwise(F.col(f"d{i}") * 1.4826)
+    diagonal = [(1 / (F.pow(deviation(i), 2) + floors[i] ** 2)) if i == j else F.lit(0.0) for i in range(DIM) for j in range(i, DIM)]
+    params = scratch.keep(spread.select("g", "k", "m", F.array(*diagonal).alias("w")))
+
+    def step(params: DataFrame) -> DataFrame:
+        d = x.join(few(params.select("g", "k", "m", "w")), "g").withColumn("d2", _distance())
+        bound = scratch.keep(d.groupBy("g", "k").agg(F.percentile_approx("d2", support).alias("bound")))
+        return _estimate(scratch, d.join(few(bound), ["g", "k"]).filter("d2 <= bound"), support)
+
+    def least(params: DataFrame) -> DataFrame:
+        return scratch.keep(params.groupBy("g").agg(F.min(F.struct("size", "k", "m", "w")).alias("b")).select("g", "b.k", "b.m", "b.w", "b.size"))
+
+    for _ in range(first_steps):
+        params = step(params)
+    best = least(params)
+    for _ in range(most_steps):
+        better = least(best.unionByName(step(best)))
+        fell = better.join(best.select("g", F.col("size").alias("was")), "g").agg(F.max(F.col("was") - F.col("size"))).first()[0]
+        best = better
+        if fell is None or fell < least_fall:
+            break
+    return best
+
+
+def robust_outliers(spark: SparkSession, stats: DataFrame, support: float = 0.53, quantile: float = 0.99999, least_rows: int = 100, reweighted: float = 0.975, **steps) -> DataFrame:
     """``stats`` with d2 (null where no estimate was made) and outlier.
 
-    Minimum-covariance-determinant estimates for each language and source.
-    Three starts: the coordinate-wise median with the median deviation, or
-    with the least deviations, and the first quartile. From each on, a
-    concentration step takes the ``support`` share of a group's rows that lie
-    nearest and estimates anew; the determinant falls with each. A step is one
-    aggregation for the nearest rows' bound and one for the moments, over all
-    rows. The start that ends with the lowest determinant counts; all rows within its
-    ``reweighted`` quantile make the last estimate. ``support`` is
+    Minimum-covariance-determinant estimates for each language and source (see
+    ``mcd_estimates``); all rows within an estimate's ``reweighted`` quantile make the last one. ``support`` is
     at least (n + dimensions + 1) / 2n from 100 rows on, so nearly half a
     group's rows may be junk.
     Groups of under ``least_rows`` rows are pooled by language, and what is
@@ -152,33 +202,10 @@ def robust_outliers(spark: SparkSession, stats: DataFrame, support: float = 0.53
         F.when(~F.col("small"), F.to_json(F.struct(text("lang").alias("l"), text("source").alias("s")))).when(F.col("n_pool") >= least_rows, F.to_json(F.struct(text("lang").alias("l")))).otherwise("rest").alias("g"),
     )
     named = scratch.keep(named)
-    few = lambda df: F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
     x = scratch.keep(x.join(few(named), x["lang"].eqNullSafe(F.col("_l")) & x["source"].eqNullSafe(F.col("_s"))).drop("_l", "_s"))
-
-    names = list(VECTOR)
-    floors = [floor for _, floor in VECTOR.values()]
-    quartile = lambda p: F.array(*[F.percentile_approx(c, p) for c in names])
-    middle = x.groupBy("g").agg(F.count("*").alias("n"), quartile(0.5).alias("m2"), quartile(0.25).alias("m1")).filter(F.col("n") >= least_rows)
-    start = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(m).alias("m")) for k, m in enumerate(("m2", "m2", "m1"))]))
-    starts = scratch.keep(middle.select("g", start.alias("start")).select("g", "start.*"))
-    spread = x.join(few(starts), "g").groupBy("g", "k", "m").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col("m")[i]), 0.5).alias(f"d{i}") for i, c in enumerate(names)])
-    deviation = lambda i: F.when(F.col("k") == 1, 0.0).otherwise(F.col(f"d{i}") * 1.4826)
-    diagonal = [(1 / (F.pow(deviation(i), 2) + floors[i] ** 2)) if i == j else F.lit(0.0) for i in range(DIM) for j in range(i, DIM)]
-    params = scratch.keep(spread.select("g", "k", "m", F.array(*diagonal).alias("w")))
-
-    def estimate(near: DataFrame, share: float) -> DataFrame:
-        """For normal data the nearest rows' covariance is too small by the factor ``scale``."""
-        scale = share / chi2_cdf(chi2_quantile(share, DIM), DIM + 2)
-        moments = near.groupBy("g", "k").agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}{j}") for i in range(DIM) for j in range(i, DIM)])
-        return scratch.keep(moments.mapInPandas(_solve(scale), "g string, k int, m array<double>, w array<double>, size double"))
-
-    for _ in range(steps):
-        d = x.join(few(params), "g").withColumn("d2", _distance())
-        bound = d.groupBy("g", "k").agg(F.percentile_approx("d2", support).alias("bound"))
-        params = estimate(d.join(few(scratch.keep(bound)), ["g", "k"]).filter("d2 <= bound"), support)
-    best = scratch.keep(params.groupBy("g").agg(F.min(F.struct("size", "k", "m", "w")).alias("b")).select("g", "b.k", "b.m", "b.w"))
-    within = x.join(few(best), "g").withColumn("d2", _distance()).filter(F.col("d2") <= chi2_quantile(reweighted, DIM))
-    params = estimate(within, reweighted).drop("k", "size")
+    best = mcd_estimates(scratch, x, support, least_rows, **steps)
+    within = x.join(few(best.drop("size")), "g").withColumn("d2", _distance()).filter(F.col("d2") <= chi2_quantile(reweighted, DIM))
+    params = _estimate(scratch, within, reweighted).drop("k", "size")
     out = x.join(few(params), "g", "left").withColumn("d2", _distance())
     return out.withColumn("outlier", F.coalesce(F.col("d2") > chi2_quantile(quantile, DIM), F.lit(False)))
 
