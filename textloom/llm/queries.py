@@ -80,7 +80,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(spark, documents(spark, sf_dir), labels(spark, sf_dir))
-    return found.select("doc_id", "p_low_quality", "p_toxic", "p_toxic_low_quality", (~F.col("rejected")).alias("kept"))
+    return found.select("doc_id", "p_low_quality", "p_toxic", (~F.col("rejected")).alias("kept"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -7,15 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Whole, lean, pick, raw_bytes
+from .common import Scratch, Whole, lean, pick, raw_bytes
 from .learning import labelled_sample, logistic, sigmoid
 
 #: Lower-cases A-Z; all other ASCII that is neither letter nor digit becomes a space.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 STEMS = (5, 6, 7)
 
-#: The chain's categories in order, as conditions on the label columns; labels come as two columns.
-CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 AND quality = 0"}
+#: The chain's categories in order, as conditions on the label columns. The labels at hand have one category of
+#: toxicity; the one before it is what they tell of quality, which says something about toxicity, not the same. Labels
+#: with more categories go here in the order in which they are to be predicted.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
 def text_features(text: bytes | None) -> set:
@@ -70,12 +72,13 @@ class ToxicityChain:
         return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, sample: int = 6000, features: int = 600, least_docs: int = 5, least_apart: float = 3.5) -> ToxicityChain:
+def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, sample: int = 6000, features: int = 600, least_docs: int = 5, least_apart: float = 3.5) -> ToxicityChain:
     """A chain from at most ``sample`` labelled documents.
 
-    For each category, the ``features`` that set its documents most apart (by
+    Their features are written once. For each category, the ``features`` that set its documents most apart (by
     ``least_apart`` standard deviations or more) are chosen by counts over the sample; the driver gets those and, for each
-    document, which of them it has.
+    document, which of them it has. Labels that repeat or disagree are averaged, null ones don't count; without any,
+    or with a category that all or none have, the weights for it say just that.
     """
     columns = ["quality", "toxic"]
     schema = f"doc_id long, features array<binary>, {', '.join(f'c{j} int' for j in range(len(categories)))}"
@@ -87,7 +90,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str]
 
     rows = labelled_sample(docs, labels, columns, sample)
     rows = rows.select("doc_id", "text", *[F.expr(f"CAST({sql} AS int)").alias(f"c{j}") for j, sql in enumerate(categories.values())])
-    rows = rows.mapInArrow(extract, schema)
+    scratch = Scratch(spark)
+    rows = scratch.keep(rows.mapInArrow(extract, schema))
     js = range(len(categories))
     total = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"c{j}"), F.lit(0)).alias(f"p{j}") for j in js]).first()
     counts = rows.select(F.explode("features").alias("w"), *[f"c{j}" for j in js]).groupBy("w").agg(F.count("*").alias("df"), *[F.sum(f"c{j}").alias(f"p{j}") for j in js]).filter(F.col("df") >= least_docs)
@@ -107,6 +111,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str]
             yield pa.record_batch([b.column(0), pa.array([[index[w] for w in f if w in index] for f in b.column(1).to_pylist()], pa.list_(pa.int32())), *b.columns[2:]], names=["doc_id", "present", *[f"c{j}" for j in js]])
 
     data = rows.mapInArrow(look_up, schema.replace("features array<binary>", "present array<int>")).collect()
+    scratch.drop(rows)
     data.sort(key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64), r.present))
     y = np.array([[r[f"c{j}"] for j in js] for r in data]).reshape(-1, len(categories))
     return ToxicityChain.fit(list(categories), vocabulary, [r.present for r in data], y)
@@ -118,9 +123,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
     One row for each row of ``docs``, from whole texts. Null and empty texts
     have no features and get the intercepts. Ids may be null or repeat.
     Without labels nothing is learned: every probability is one half and no
-    document is rejected.
+    document is rejected. The threshold is below one half since a toxic document that
+    stays does more harm than a clean one that goes; the README has what it means on held-out labels.
+    An empty table gives no rows.
     """
-    chain = fit_toxicity(docs, labels, **fit)
+    chain = fit_toxicity(spark, docs, labels, **fit)
     learned = any(abs(w).sum() for w in chain.weights)
     schema = "doc_id long, " + ", ".join(f"p_{n} double" for n in chain.names)
 
@@ -134,8 +141,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.4, **fit) -> DataFrame:
-    """The rows of ``docs`` that ``toxicity`` doesn't reject, with all their columns; each is judged where it lies."""
-    chain = fit_toxicity(docs, labels, **fit)
+    """The rows of ``docs`` that ``toxicity`` doesn't reject, with all their columns; each is judged where it lies.
+
+    Nulls, repeats and empty tables as there: each row is judged by its own text, whatever its id, and without
+    labels all rows stay.
+    """
+    chain = fit_toxicity(spark, docs, labels, **fit)
     if not any(abs(w).sum() for w in chain.weights):
         return docs
     place = chain.names.index("toxic")
