@@ -58,9 +58,11 @@ class Whole:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is set, as in tests."""
+    """The folder that the cluster shares; one of our own only where none is set and all runs on one machine, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
         spark.conf.set("spark.checkpoint.dir", given)
         atexit.register(_forget, spark, given)
