@@ -14,7 +14,7 @@ SKETCH = 64  # minwise tokens of each document
 TREES = 12
 BRANCH = 2
 SMALL_NODE = 4000
-MOST_DEPTH = 3
+MOST_DEPTH = 2
 #: Documents whose texts are fetched by broadcasting their ids; beyond this number the texts are shuffled instead.
 FETCH_BY_BROADCAST = 1_000_000
 SIGNATURE = "row long, doc_id long, n_shingles long, set_key binary, sketch array<int>"
@@ -56,7 +56,7 @@ class NearDuplicates:
     """Links between documents of Jaccard similarity ``least``/100 or more, and their components.
 
     Documents of equal sets are one document to the join. Each of ``TREES``
-    independent trees starts with one minwise token: documents with the same
+    independent trees has minwise tokens of its own and starts with one of them: documents with the same
     value share a node. In nodes of up to ``SMALL_NODE`` documents all are
     compared; larger ones branch by ``BRANCH`` further tokens chosen by the
     node, and so on. A pair at the threshold (0.75) passes a tree with
@@ -73,7 +73,7 @@ class NearDuplicates:
     has a likely partner there, and what a node finds is a forest of links.
 
     Comparing goes by sketches first: pairs that agree in fewer than 32 of
-    ``SKETCH`` tokens (a pair at the threshold does with probability 1e-6) or
+    ``SKETCH`` tokens (a pair at the threshold does with probability 4.6e-6) or
     differ too much in size are ruled out. All links are confirmed on full sets.
     Copies that are alike in nearly everything don't part by branching: a node
     that is still large after ``MOST_DEPTH`` levels is compared in blocks, the
@@ -112,15 +112,17 @@ class NearDuplicates:
     def _roots(self) -> DataFrame:
         """(node, rep) of the trees' first level, where a node has several documents."""
         all_ = self.reps.select("rep", F.posexplode(F.slice("sketch", 1, TREES)).alias("tree", "token"))
-        return all_.select(F.xxhash64("tree", "token").alias("node"), "rep")
+        # The last four bits of a node's name are its tree.
+        return all_.select(F.shiftleft(F.xxhash64("tree", "token"), 4).bitwiseOR(F.col("tree")).alias("node"), "rep")
 
     def _children(self, members: DataFrame, depth: int) -> DataFrame:
-        """The next level: ``BRANCH`` tokens, the same ones for all documents of a node."""
+        """The next level: ``BRANCH`` further tokens, the same ones for all documents of a node, and of its tree alone."""
         with_sketch = members.select("node", "rep").join(self.reps.select("rep", "sketch"), "rep")
         split = with_sketch.select("node", "rep", "sketch", F.explode(F.array(*[F.lit(i) for i in range(BRANCH)])).alias("i"))
-        # Tokens beyond the first TREES, which the roots have used.
-        place = F.lit(TREES) + F.pmod(F.xxhash64("node", F.lit(depth)) + F.col("i") * (SKETCH // BRANCH - TREES // BRANCH), F.lit(SKETCH - TREES)).cast("int")
-        return split.select(F.xxhash64("node", "i", F.element_at("sketch", place + 1)).alias("node"), "rep")
+        # Beyond the first TREES, which the roots have used, each tree owns BRANCH * MOST_DEPTH tokens.
+        tree = F.col("node").bitwiseAND(F.lit(15))
+        place = (TREES + tree * BRANCH * MOST_DEPTH + BRANCH * (depth - 1) + F.col("i")).cast("int")
+        return split.select(F.shiftleft(F.xxhash64("node", "i", F.element_at("sketch", place + 1)), 4).bitwiseOR(tree).alias("node"), "rep")
 
     def _occupied(self, members: DataFrame, component: DataFrame | None) -> DataFrame:
         """node, rep, component, n_members of the nodes with several documents (of several components, where known)."""
