@@ -17,7 +17,7 @@ CHUNK_WORDS = (1_000_000, 8_000_000)
 #: Documents of a chunk; their numbers in it take two bytes.
 CHUNK_DOCS = 60_000
 #: Bytes of text for each bucket, which is settled in memory, and for each task.
-BUCKET_BYTES, TASK_BYTES = 64 << 20, 16 << 20
+BUCKET_BYTES, TASK_BYTES = 64 << 20, 10 << 20
 MOST_TASKS = 100_000
 #: Rows from a chunk: entries for a bucket (hashes, and which document of the chunk holds each), or,
 #: without hashes, the chunk's own row with its documents' keys and the hits found inside it.
