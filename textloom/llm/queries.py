@@ -163,7 +163,13 @@ ORACLE: dict[str, str] = {
         ), quote AS (
             SELECT conv_id, turn, r, level, k
             FROM (SELECT *, trim(regexp_replace(lower(body), '[\x20\x09-\x0D]+', ' ', 'g')) AS k FROM part WHERE level > 0) WHERE k <> ''
+        ), held AS (
+            SELECT o.conv_id, o.turn, q.k
+            FROM (SELECT DISTINCT k FROM quote WHERE len(string_split(k, ' ')) >= 4) q
+            JOIN (SELECT conv_id, turn, trim(regexp_replace(lower(own_text), '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM own) o
+              ON contains(' ' || o.t || ' ', ' ' || q.k || ' ')
         ), said AS (
+            SELECT conv_id, turn, k FROM held UNION
             SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(u), '[\x20\x09-\x0D]+', ' ', 'g')) AS k
             FROM (SELECT conv_id, turn, unnest([own_text] || regexp_split_to_array(own_text, '\n[\x20\x09-\x0D]*\n') || string_split(own_text, chr(10))) AS u FROM own)
         ), found AS (
