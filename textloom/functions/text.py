@@ -36,31 +36,6 @@ def n_chars_of(text: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{chars}]", ""))
 
 
-def mode_count(items: Column) -> Column:
-    """How often the most frequent item occurs: runs of the sorted array, in one pass over it."""
-    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-
-    def step(a: Column, x: Column) -> Column:
-        run = F.when(x.eqNullSafe(a["last"]), a["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
-
-    return F.aggregate(F.array_sort(items), zero, step)["most"]
-
-
-def entropy(items: Column) -> Column:
-    """Shannon entropy in bits, from the runs of the sorted array: log2(n) - sum(c log2 c) / n."""
-    n = F.size(items)
-    part = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
-    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-
-    def step(a: Column, x: Column) -> Column:
-        same = x.eqNullSafe(a["last"])
-        return F.struct(x.alias("last"), F.when(same, a["run"] + 1).otherwise(1.0).alias("run"), F.when(same, a["sum"]).otherwise(a["sum"] + part(a["run"])).alias("sum"))
-
-    total = F.aggregate(F.array_sort(items), zero, step, lambda a: a["sum"] + part(a["run"]))
-    return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(0.0)
-
-
 def let(value: Column, f) -> Column:
     """f of the value, which is computed once however often f (or a lambda in it) uses it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))

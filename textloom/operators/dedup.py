@@ -10,29 +10,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..storage import Tables
+from ..storage import Tables, by_size
+from .keys import first_by_key, first_of_keys, scoped
 from .normalize import ascii_dedup_text, dedup_text
 
 
-def first_by_key(df: DataFrame, key: Column, *scope: str) -> DataFrame:
-    """``df`` with ``duplicate``: an earlier row (by seq) of the same scope has the key.
+def two_tier(df: DataFrame) -> DataFrame:
+    """``reason``: exact (same text), normalized (same in a-z, 0-9 and white space as an earlier one that isn't an exact copy), or null.
 
-    The first of each key comes from an aggregation and joins back, so a key
-    that half the rows share costs no task more than its part.
+    Both keys are made in one scan; texts take no part in the joins of keys.
     """
-    keyed = df.withColumn("_key", key)
-    first = keyed.groupBy(*scope, "_key").agg(F.min("seq").alias("_first"))
-    same = functools.reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*scope, "_key")])
-    joined = keyed.alias("a").join(first.alias("b"), same)
-    return joined.select("a.*", (F.col("a.seq") != F.col("b._first")).alias("duplicate")).drop("_key")
-
-
-def two_tier(df: DataFrame) -> DataFrame:
-    """``reason``: exact (same text), normalized (same in a-z, 0-9 and white space as an earlier one that isn't an exact copy), or null."""
-    exact = first_by_key(df, F.sha2("text", 256)).withColumnRenamed("duplicate", "_exact")
-    first = exact.withColumn("_norm", F.when(~F.col("_exact"), F.sha2(ascii_dedup_text(F.col("text")), 256)))
-    second = first_by_key(first, F.coalesce("_norm", F.concat(F.lit("row"), F.col("seq"))))
-    return second.withColumn("reason", F.when(F.col("_exact"), "exact").when(F.col("duplicate"), "normalized")).drop("_exact", "_norm", "duplicate")
+    spark, tables = df.sparkSession, Tables(df.sparkSession)
+    keys = tables.keep(df.select("seq", F.sha2("text", 256).alias("k"), F.sha2(ascii_dedup_text(F.col("text")), 256).alias("norm")))
+    exact = tables.keep(first_of_keys(spark, keys))
+    first = keys.join(exact.filter("not duplicate"), "seq").select("seq", F.col("norm").alias("k"))
+    norm = first_of_keys(spark, first).filter("duplicate").select("seq", F.lit("normalized").alias("reason"))
+    gone = exact.filter("duplicate").select("seq", F.lit("exact").alias("reason")).unionByName(norm)
+    return df.join(gone, "seq", "left")
 
 
 def quota(df: DataFrame, n: int, *scope: str) -> DataFrame:
@@ -128,34 +122,83 @@ def minhash_dedup(spark: SparkSession, df: DataFrame, hashes: int = 128, bands:
 # Similarity joins
 
 
-def jaccard_pairs(df: DataFrame, k: int, least: float, *scope: str) -> DataFrame:
-    """earlier, later, similarity of all pairs within a scope whose k-shingle sets are similar enough.
+def shingle_sets(df: DataFrame, k: int, *scope: str) -> DataFrame:
+    """seq, scope, set_key, n, items: the sorted 64-bit hashes of the distinct k-word shingles (of fewer words: the words)."""
+    import xxhash
+
+    def hashed(batches):
+        for b in batches:
+            out, keys = [], []
+            for scope_, text in zip(b.column("scope").to_pylist(), b.column("norm").to_pylist()):
+                words = text.split(" ") if text else []
+                grams = {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else set(words)
+                h = np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), dtype=np.uint64, count=len(grams)).view(np.int64)
+                h.sort()
+                out.append(h)
+                keys.append(xxhash.xxh3_128_digest(scope_.encode() + h.tobytes()))
+            sizes = pa.array([len(h) for h in out], pa.int32())
+            offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))]).astype(np.int32) if out else np.zeros(1, np.int32)
+            items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+            yield pa.record_batch([b.column("seq"), b.column("scope"), pa.array(keys, pa.binary()), sizes, items], names=["seq", "scope", "set_key", "n", "items"])
+
+    rows = df.select(F.col("seq").cast("long").alias("seq"), scoped(F.lit(""), *scope).alias("scope"), ascii_dedup_text(F.col("text")).alias("norm"))
+    return rows.mapInArrow(hashed, "seq long, scope string, set_key binary, n int, items array<long>").filter("n > 0")
+
+
+def similar_sets(spark: SparkSession, df: DataFrame, k: int, least: float, *scope: str) -> tuple[DataFrame, DataFrame]:
+    """Members (seq, rep) and links (earlier, later, similarity) between different sets of one scope, by their first rows.
+
+    Rows of one scope with equal sets are one to the join, so copies make no pairs.
 
     A prefix join: with the shingles of a set in one global order, rarest
     first, two sets that are similar enough share one of the first
     n - ceil(least n) + 1; so the pairs to verify come from rare shingles only, and
     common ones never meet.
     """
-    tokens = tx.words(ascii_dedup_text(F.col("text")))
-    sets = df.select("seq", *scope, tx.shingles(tokens, k).alias("items")).filter(F.size("items") > 0)
-    items = sets.select("seq", *scope, F.size("items").alias("n"), F.explode("items").alias("item"))
-    rare = items.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
-    ordered = items.join(rare, "item").groupBy("seq", "n", *scope).agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("item").alias("h")))).alias("shared"))
+    tables = Tables(spark)
+    every = tables.keep(shingle_sets(df, k, *scope))
+    groups = tables.keep(every.groupBy("set_key").agg(F.min("seq").alias("rep"), F.count("*").alias("rows")))
+    members = tables.keep(by_size(every.select("seq", "set_key"), groups, "set_key", "rows").select("seq", "rep"))
+    sets = tables.keep(every.drop("set_key").join(groups.select(F.col("rep").alias("seq")), "seq"))
+    items = sets.select("seq", "scope", "n", F.explode("items").alias("h"))
+    rare = items.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    ordered = items.join(rare, "h").groupBy("seq", "n", "scope").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
     single = F.col("n") - F.size("shared")
     prefix = F.greatest(F.lit(0), (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1 - single).cast("int"))
-    heads = ordered.select("seq", "n", *scope, "shared", F.explode(F.slice("shared", F.lit(1), prefix)).alias("head")).select("seq", "n", *scope, F.col("head.h").alias("head"))
+    heads = tables.keep(ordered.select("seq", "n", "scope", F.explode(F.slice("shared", F.lit(1), prefix)).alias("head")).select("seq", "n", "scope", F.col("head.h").alias("h")))
     one, two = heads.alias("a"), heads.alias("b")
-    same = functools.reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("head", *scope)])
-    fits = (F.col("a.seq") < F.col("b.seq")) & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n"))
-    pairs = one.join(two, same & fits).select(F.col("a.seq").alias("earlier"), F.col("b.seq").alias("later")).distinct()
+    fits = (F.col("a.h") == F.col("b.h")) & (F.col("a.scope") == F.col("b.scope")) & (F.col("a.seq") < F.col("b.seq")) & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n"))
+    pairs = one.join(two, fits).select(F.col("a.seq").alias("earlier"), F.col("b.seq").alias("later")).distinct()
     left = sets.select(F.col("seq").alias("earlier"), F.col("items").alias("x"))
     right = sets.select(F.col("seq").alias("later"), F.col("items").alias("y"))
-    return pairs.join(left, "earlier").join(right, "later").withColumn("similarity", tx.jaccard(F.col("x"), F.col("y"))).filter(F.col("similarity") >= least).select("earlier", "later", "similarity")
+    links = pairs.join(left, "earlier").join(right, "later").withColumn("similarity", tx.jaccard(F.col("x"), F.col("y"))).filter(F.col("similarity") >= least)
+    return members, tables.keep(links.select("earlier", "later", "similarity"))
+
+
+def jaccard_pairs(spark: SparkSession, df: DataFrame, k: int, least: float, *scope: str) -> DataFrame:
+    """earlier, later, similarity of all pairs within a scope whose k-shingle sets are similar enough.
+
+    All pairs are what is asked for, those of copies too, and their number grows with the square of a
+    group; ``near_dedup`` needs none of them.
+    """
+    members, links = similar_sets(spark, df, k, least, *scope)
+    ends = lambda name: members.select(F.col("rep").alias(name), F.col("seq").alias(f"{name}_seq"))
+    between = links.join(ends("earlier"), "earlier").join(ends("later"), "later").select("earlier_seq", "later_seq", "similarity")
+    within = members.alias("a").join(members.alias("b"), (F.col("a.rep") == F.col("b.rep")) & (F.col("a.seq") < F.col("b.seq"))).select(F.col("a.seq").alias("earlier_seq"), F.col("b.seq").alias("later_seq"), F.lit(1.0).alias("similarity"))
+    both = between.unionByName(within)
+    return both.select(F.least("earlier_seq", "later_seq").alias("earlier"), F.greatest("earlier_seq", "later_seq").alias("later"), "similarity")
 
 
 def near_dedup(spark: SparkSession, df: DataFrame, k: int = 5, least: float = 0.85, *scope: str) -> DataFrame:
-    stays = greedy_over_links(spark, df, jaccard_pairs(df, k, least, *scope))
-    return df.select("seq").join(stays.withColumn("kept", F.lit(True)), "seq", "left").select("seq", F.coalesce("kept", F.lit(False)).alias("kept"))
+    """seq and kept: a text goes when one that came before it and stayed is similar enough.
+
+    Of equal sets the first stays or goes for all; the others go either way.
+    """
+    members, links = similar_sets(spark, df, k, least, *scope)
+    reps = members.filter("seq = rep").select("seq")
+    stays = greedy_over_links(spark, reps, links)
+    gone = members.select("seq").join(stays, "seq", "left_anti").withColumn("gone", F.lit(True))
+    return df.select("seq").join(gone, "seq", "left").select("seq", F.col("gone").isNull().alias("kept"))
 
 
 def tfidf_vectors(df: DataFrame, most_features: int = 20_000) -> DataFrame:

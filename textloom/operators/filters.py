@@ -7,19 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import counting
 from ..functions import lexicons as lex
 from ..functions import text as tx
 
 
 def measures() -> tuple[Column, Column, Column, Column]:
-    """Text, length, words and number of words: the columns of ``measured``."""
-    return F.col("text"), F.col("_l"), F.col("_words"), F.col("_n")
+    """Text, length, counts (see ``counting``) and number of words: the columns of ``measured``."""
+    return F.col("text"), F.col("_l"), F.col("_c"), F.col("_c.n_words")
 
 
 def measured(df: DataFrame) -> DataFrame:
-    """The columns that most filters need, computed once: length, words, number of words."""
+    """The columns that most filters need, computed once: length, and counts of words, characters, lines and sentences."""
     df = df.withColumn("text", F.coalesce("text", F.lit("")))
-    return df.withColumn("_l", F.length("text")).withColumn("_words", tx.words(F.col("text"))).withColumn("_n", F.size("_words"))
+    return df.withColumn("_l", F.length("text")).withColumn("_c", counting.text_counts(F.col("text")))
 
 
 def nsfw() -> Column:
@@ -34,12 +35,10 @@ def gambling() -> Column:
 
 
 def seo_spam() -> Column:
-    T, L, W, N = measures()
-    long = F.transform(F.filter(W, lambda w: F.length(w) > 3), lambda w: F.lower(w))
-    caps = F.size(F.filter(W, lambda w: (F.length(w) > 1) & w.rlike(r"\p{Lu}") & (w == F.upper(w))))
+    T, L, C, N = measures()
     return (
-        F.when((L < 30) | (N < 5), None).when(tx.count(T, lex.URL) / N > 0.1, "url_density").when(tx.mode_count(long) / N > 0.08, "keyword_stuffing")
-        .when(tx.count(T, lex.LINK_FARM) > 3, "link_farm").when((N > 10) & (caps / N > 0.3), "caps_ratio")
+        F.when((L < 30) | (N < 5), None).when(tx.count(T, lex.URL) / N > 0.1, "url_density").when(C["most_long_word"] / N > 0.08, "keyword_stuffing")
+        .when(tx.count(T, lex.LINK_FARM) > 3, "link_farm").when((N > 10) & (C["n_capitals"] / N > 0.3), "caps_ratio")
     )
 
 
@@ -56,21 +55,19 @@ def html_code() -> Column:
 
 
 def repeated_content() -> Column:
-    T, L, _, _ = measures()
-    lines = F.filter(F.transform(F.split(T, "\n"), tx.strip), lambda x: x != "")
+    T, L, C, _ = measures()
     return (
         F.when(L < 10, None).when(T.rlike(r"([^\n])\1{5,}"), "repeated_char").when(T.rlike(r"(?iuU)\b(\w+)(\s+\1){3,}\b"), "repeated_word")
-        .when((F.size(lines) > 3) & (tx.mode_count(lines) / F.size(lines) > 0.3), "repeated_line")
+        .when((C["n_lines"] > 3) & (C["most_line"] / C["n_lines"] > 0.3), "repeated_line")
     )
 
 
 def language_quality() -> Column:
-    T, L, _, N = measures()
+    T, L, C, N = measures()
     punct = tx.n_chars_of(T, r".,!?;:()\-\[\]{}\"'")
-    chars = F.split(T, "")
     return (
         F.when(L < 20, None).when(tx.n_chars_of(T, r"\p{L}") / L < 0.5, "low_alpha_ratio").when((N > 0) & (tx.count(T, lex.URL) / N > 0.15), "high_url_density")
-        .when(punct / L > 0.4, "high_punct_ratio").when(tx.entropy(chars) < 3.0, "low_entropy").when(tx.count(T, r"[^\x00-\x7F]{10,}") > 5, "ocr_garbage").when(T.rlike(lex.MOJIBAKE), "mojibake")
+        .when(punct / L > 0.4, "high_punct_ratio").when(C["char_entropy"] < 3.0, "low_entropy").when(tx.count(T, r"[^\x00-\x7F]{10,}") > 5, "ocr_garbage").when(T.rlike(lex.MOJIBAKE), "mojibake")
     )
 
 
@@ -91,10 +88,8 @@ def unicode_quality() -> Column:
 
 
 def language() -> Column:
-    T, L, W, N = measures()
-    stop = F.array(*[F.lit(w) for w in lex.ENGLISH])
-    known = F.size(F.filter(W, lambda w: F.array_contains(stop, F.regexp_replace(F.lower(w), r"^[.,!?;:()]+|[.,!?;:()]+\z", ""))))
-    return F.when((L < 50) | (N < 10), None).when(known / N < 0.15, "non_english").when(tx.n_chars_of(T, "a-zA-Z") / L < 0.5, "non_latin")
+    T, L, C, N = measures()
+    return F.when((L < 50) | (N < 10), None).when(C["n_known"] / N < 0.15, "non_english").when(tx.n_chars_of(T, "a-zA-Z") / L < 0.5, "non_latin")
 
 
 def code_quality() -> Column:
@@ -111,7 +106,7 @@ FILTERS: dict[str, Callable[[], Column]] = {
 
 
 def register_filter(name: str, rule: Callable[[], Column]) -> None:
-    """A filter is a builder of a Column over text, _l, _words and _n that is null for what stays."""
+    """A filter is a builder of a Column over text, _l (its length) and _c (its counts) that is null for what stays."""
     FILTERS[name] = rule
 
 
@@ -124,4 +119,4 @@ def apply_filter(df: DataFrame, name: str) -> DataFrame:
 def chain(df: DataFrame, names: list[str]) -> DataFrame:
     """``stage`` and ``rule`` of the first filter that a text breaks; later ones aren't evaluated for it."""
     df = measured(df).withColumn("_hit", F.coalesce(*[F.concat(F.lit(f"{n}:"), FILTERS[n]()) for n in names]))
-    return df.withColumns({"stage": F.split_part("_hit", F.lit(":"), F.lit(1)), "rule": F.split_part("_hit", F.lit(":"), F.lit(2))}).drop("_hit", "_l", "_words", "_n")
+    return df.withColumns({"stage": F.split_part("_hit", F.lit(":"), F.lit(1)), "rule": F.split_part("_hit", F.lit(":"), F.lit(2))}).drop("_hit", "_l", "_c")

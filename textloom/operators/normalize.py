@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions import text as tx
+from .keys import first_by_key
 
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 ALL_CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9f}]"
@@ -67,9 +68,9 @@ def preprocess(df: DataFrame, min_length: int = 0, max_length: int | None = None
     if max_length is not None and truncate:
         df = df.withColumn("clean", F.substring("clean", 1, max_length))
     if deduplicate:
+        # Rows that go already have no key: they are no one's duplicates and meet nowhere.
         key = F.when(F.col("reason").isNull(), F.sha2("clean", 256))
-        first = F.min(F.when(F.col("reason").isNull(), F.col("seq"))).over(Window.partitionBy("source", "_key"))
-        df = df.withColumn("_key", key).withColumn("reason", F.coalesce("reason", F.when(F.col("seq") != first, "duplicate"))).drop("_key")
+        df = first_by_key(df, key, "source").withColumn("reason", F.coalesce("reason", F.when(F.col("duplicate"), "duplicate"))).drop("duplicate")
     if languages:
         df = df.withColumn("reason", F.coalesce("reason", F.when(~F.coalesce(F.col("lang").isin(languages), F.lit(False)), "language")))
     return df

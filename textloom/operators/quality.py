@@ -22,32 +22,30 @@ BOUNDS = (
 
 def metrics(df: DataFrame, compression: bool = False) -> DataFrame:
     """``df`` with a column for each metric; compression is the one that needs Python."""
-    T, L, W, N = measures()
-    df = measured(df).withColumn("_lower", F.transform(W, lambda w: F.lower(w))).withColumn("_lines", F.split(tx.strip(T), "\n"))
-    df = df.withColumn("_sentences", F.split(tx.strip(T), "[.!?]+"))
+    T, L, C, N = measures()
+    df = measured(df).withColumn("_lines", F.split(tx.strip(T), "\n"))
     most = F.greatest(L, F.lit(1))
-    urls = F.regexp_extract_all(T, F.lit(lex.PLAIN_URL), F.lit(0))
-    spoken = F.filter("_sentences", lambda s: tx.strip(s) != "")
-    some = lambda c: F.when(N > 0, c).otherwise(0.0)
+    urls = F.length(T) - F.length(F.regexp_replace(T, lex.PLAIN_URL, ""))
+    some = lambda c: F.when(N > 0, c / N).otherwise(0.0)
     columns: dict[str, Column] = {
-        "url_ratio": F.aggregate(urls, F.lit(0), lambda a, u: a + F.length(u)) / most,
+        "url_ratio": urls / most,
         "digit_ratio": tx.n_chars_of(T, r"\p{Nd}\x{b2}\x{b3}\x{b9}") / most,
         "symbol_ratio": F.length(F.regexp_replace(T, rf"[\p{{L}}\p{{N}}{lex.WS[1:-1]}]", "")) / most,
         "duplicate_line_ratio": F.when(F.size("_lines") < 2, 0.0).otherwise(1 - F.size(F.array_distinct("_lines")) / F.size("_lines")),
-        "average_word_length": some(F.aggregate(W, F.lit(0), lambda a, w: a + F.length(w)) / N),
-        "max_repeated_token_frequency": some(tx.mode_count(F.col("_lower")) / N),
-        "character_entropy": F.when(L > 0, tx.entropy(F.split(T, ""))).otherwise(0.0),
-        "word_entropy": tx.entropy(F.col("_lower")),
-        "type_token_ratio": some(F.size(F.array_distinct("_lower")) / N),
-        "sentence_count": F.size("_sentences"),
-        "average_sentence_length": F.when(F.size(spoken) > 0, F.aggregate(spoken, F.lit(0), lambda a, s: a + F.size(tx.words(s))) / F.size(spoken)).otherwise(0.0),
-        "paragraph_count": F.size(F.filter(F.split(T, "\n\n"), lambda p: tx.strip(p) != "")),
+        "average_word_length": some(C["word_letters"]),
+        "max_repeated_token_frequency": some(C["most_word"]),
+        "character_entropy": C["char_entropy"],
+        "word_entropy": C["word_entropy"],
+        "type_token_ratio": some(C["n_distinct"]),
+        "sentence_count": C["n_sentences"],
+        "average_sentence_length": F.when(C["n_spoken"] > 0, C["spoken_words"] / C["n_spoken"]).otherwise(0.0),
+        "paragraph_count": C["n_paragraphs"],
         "char_count": L,
         "word_count": N,
     }
     if compression:
         columns["compression_ratio"] = tx.zlib_ratio(T)
-    return df.withColumns(columns).drop("_lower", "_lines", "_sentences", "_l", "_words", "_n")
+    return df.withColumns(columns).drop("_lines", "_l", "_c")
 
 
 def quality_filter(measured_df: DataFrame, min_words: int = 10, min_sentences: int = 1) -> DataFrame:
@@ -63,5 +61,6 @@ def quality_filter(measured_df: DataFrame, min_words: int = 10, min_sentences: i
 def summary(measured_df: DataFrame) -> DataFrame:
     """metric, mean, least, most over all rows, in one aggregation."""
     names = [n for n in ALL_METRICS if n in measured_df.columns]
-    long = measured_df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select("m.*")
-    return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    value = lambda n: F.col(n).cast("double")
+    row = measured_df.agg(*[F.struct(F.lit(n).alias("metric"), F.avg(value(n)).alias("mean"), F.min(value(n)).alias("least"), F.max(value(n)).alias("most")).alias(n) for n in names])
+    return row.select(F.explode(F.array(*names)).alias("m")).select("m.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import counting
 from ..functions import lexicons as lex
 from ..functions import text as tx
 
@@ -66,9 +67,8 @@ def confidence(logprobs: Column) -> Column:
 
 def heuristic_quality(text: Column) -> Column:
     """struct(n_words, max_word_freq, score, verdict)."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    n = F.size(tx.words(text))
-    share = F.when(F.size(w) > 0, tx.mode_count(w) / F.size(w)).otherwise(0.0)
+    n = F.size(F.split(tx.strip(text), rf"{lex.WS}+", -1)) - (tx.strip(text) == "").cast("int")
+    share = counting.most_frequent_share(text, r"\w+")
     artifact = F.exists(F.array(*[F.lit(p) for p in lex.TEACHER_PHRASES]), lambda p: F.contains(F.lower(text), p))
     short, repetitive = n < 30, (share > 0.06) & (n > 100)
     point = lambda c, v: F.when(c, v).otherwise(0.0)

@@ -324,7 +324,7 @@ SHINGLED = f"""
 
 @query("jaccard_pairs", SHINGLED + "SELECT earlier, later, round(similarity, 6) AS similarity FROM j")
 def jaccard_pairs(spark, sf_dir):
-    return dedup.jaccard_pairs(docs(spark, sf_dir), 5, 0.85, "lang").withColumn("similarity", F.round("similarity", 6))
+    return dedup.jaccard_pairs(spark, docs(spark, sf_dir), 5, 0.85, "lang").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("neardup_by_lang")
