@@ -12,6 +12,10 @@ from ..functions import lexicons as lex
 from ..functions import text as tx
 
 
+#: One of these is part of any address that ``lex.URL`` matches.
+URL_PARTS = ("://", "www.", "@")
+
+
 def measures() -> tuple[Column, Column, Column, Column]:
     """Text, length, counts (see ``counting``) and number of words: the columns of ``measured``."""
     return F.col("text"), F.col("_l"), F.col("_c"), F.col("_c.n_words")
@@ -37,7 +41,7 @@ def gambling() -> Column:
 def seo_spam() -> Column:
     T, L, C, N = measures()
     return (
-        F.when((L < 30) | (N < 5), None).when(tx.count(T, lex.URL) / N > 0.1, "url_density").when(C["most_long_word"] / N > 0.08, "keyword_stuffing")
+        F.when((L < 30) | (N < 5), None).when(tx.count(T, lex.URL, *URL_PARTS) / N > 0.1, "url_density").when(C["most_long_word"] / N > 0.08, "keyword_stuffing")
         .when(tx.count(T, lex.LINK_FARM) > 3, "link_farm").when((N > 10) & (C["n_capitals"] / N > 0.3), "caps_ratio")
     )
 
@@ -49,7 +53,7 @@ def html_code() -> Column:
     return (
         F.when(L < 10, None).when(T.rlike("^(?:" + lex.XML_DECLARATION + ")"), "xml_declaration")
         .when((F.length(bare) > 100) & bare.rlike(r"(?s)^[{\[].*[}\]]\z"), "json_blob").when(T.rlike(lex.BASE64), "base64_blob")
-        .when((N > 0) & (tx.count(T, lex.TAG) / N > 0.3), "html_density").when(tx.count(T, lex.BLOCK) > 5, "css_blocks")
+        .when((N > 0) & (tx.count(T, lex.TAG, "<") / N > 0.3), "html_density").when(tx.count(T, lex.BLOCK, "{") > 5, "css_blocks")
         .when(tx.count(T, lex.SCRIPT) > 3, "script_blocks").when(long_line, "minified")
     )
 
@@ -66,8 +70,8 @@ def language_quality() -> Column:
     T, L, C, N = measures()
     punct = tx.n_chars_of(T, r".,!?;:()\-\[\]{}\"'")
     return (
-        F.when(L < 20, None).when(tx.n_chars_of(T, r"\p{L}") / L < 0.5, "low_alpha_ratio").when((N > 0) & (tx.count(T, lex.URL) / N > 0.15), "high_url_density")
-        .when(punct / L > 0.4, "high_punct_ratio").when(C["char_entropy"] < 3.0, "low_entropy").when(tx.count(T, r"[^\x00-\x7F]{10,}") > 5, "ocr_garbage").when(T.rlike(lex.MOJIBAKE), "mojibake")
+        F.when(L < 20, None).when(tx.n_chars_of(T, r"\p{L}") / L < 0.5, "low_alpha_ratio").when((N > 0) & (tx.count(T, lex.URL, *URL_PARTS) / N > 0.15), "high_url_density")
+        .when(punct / L > 0.4, "high_punct_ratio").when(C["char_entropy"] < 3.0, "low_entropy").when(tx.count(T, r"[^\x00-\x7F]{10,}") > 5, "ocr_garbage").when(tx.holds(T, "Ã") & T.rlike(lex.MOJIBAKE), "mojibake")
     )
 
 

@@ -25,12 +25,12 @@ def metrics(df: DataFrame, compression: bool = False) -> DataFrame:
     T, L, C, N = measures()
     df = measured(df).withColumn("_lines", F.split(tx.strip(T), "\n"))
     most = F.greatest(L, F.lit(1))
-    urls = F.length(T) - F.length(F.regexp_replace(T, lex.PLAIN_URL, ""))
+    urls = F.when(tx.holds(T, "://", "www."), F.length(T) - F.length(F.regexp_replace(T, lex.PLAIN_URL, ""))).otherwise(0)
     some = lambda c: F.when(N > 0, c / N).otherwise(0.0)
     columns: dict[str, Column] = {
         "url_ratio": urls / most,
         "digit_ratio": tx.n_chars_of(T, r"\p{Nd}\x{b2}\x{b3}\x{b9}") / most,
-        "symbol_ratio": F.length(F.regexp_replace(T, rf"[\p{{L}}\p{{N}}{lex.WS[1:-1]}]", "")) / most,
+        "symbol_ratio": F.length(F.regexp_replace(T, rf"[\p{{L}}\p{{N}}{lex.WS[1:-1]}]+", "")) / most,
         "duplicate_line_ratio": F.when(F.size("_lines") < 2, 0.0).otherwise(1 - F.size(F.array_distinct("_lines")) / F.size("_lines")),
         "average_word_length": some(C["word_letters"]),
         "max_repeated_token_frequency": some(C["most_word"]),
