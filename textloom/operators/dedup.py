@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..storage import Tables, by_size
 from .keys import first_by_key, first_of_keys, scoped
 from .normalize import ascii_dedup_text, dedup_text
+from .tokens import offsets
 
 
 def two_tier(df: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def shingle_sets(df: DataFrame, k: int, *scope: str) -> DataFrame:
     return rows.mapInArrow(hashed, "seq long, scope string, set_key binary, n int, items array<long>").filter("n > 0")
 
 
-def similar_sets(spark: SparkSession, df: DataFrame, k: int, least: float, *scope: str) -> tuple[DataFrame, DataFrame]:
+def similar_sets(spark: SparkSession, df: DataFrame, k: int, least: float, *scope: str, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Members (seq, rep) and links (earlier, later, similarity) between different sets of one scope, by their first rows.
 
     Rows of one scope with equal sets are one to the join, so copies make no pairs.
@@ -156,7 +157,7 @@ def similar_sets(spark: SparkSession, df: DataFrame, k: int, least: float, *scop
     common ones never meet.
     """
     tables = Tables(spark)
-    every = tables.keep(shingle_sets(df, k, *scope))
+    every = tables.keep(shingle_sets(df, k, *scope) if sets is None else sets)
     groups = tables.keep(every.groupBy("set_key").agg(F.min("seq").alias("rep"), F.count("*").alias("rows")))
     members = tables.keep(by_size(every.select("seq", "set_key"), groups, "set_key", "rows").select("seq", "rep"))
     sets = tables.keep(every.drop("set_key").join(groups.select(F.col("rep").alias("seq")), "seq"))
@@ -228,3 +229,83 @@ def tfidf_pairs(df: DataFrame, least: float = 0.92, most_features: int = 20_000)
     left = pairs.join(v.select(F.col("seq").alias("earlier"), "term", F.col("weight").alias("x")), "earlier")
     both = left.join(v.select(F.col("seq").alias("later"), "term", F.col("weight").alias("y")), ["later", "term"])
     return both.groupBy("earlier", "later").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+# Tiers and windows
+
+
+def word_sets(df: DataFrame) -> DataFrame:
+    """seq, scope, set_key, n, items for the sets of word tokens, as ``shingle_sets`` gives them."""
+    spaced = F.regexp_replace(F.coalesce(F.lower("text"), F.lit("")), r"(?U)[^\w]+", " ")
+    return shingle_sets(df.withColumn("text", spaced), 1)
+
+
+def within_window(spark: SparkSession, rows: DataFrame, links: DataFrame, window: int) -> DataFrame:
+    """seq of the rows (seq) that stay when each goes that is linked to one of the last ``window`` rows that stayed.
+
+    Which links lie within the window depends on what stays between their ends. So the
+    rows are decided with all links, links that then span too many kept rows are left out, and
+    so on until nothing changes: what stays up to any row is right once all before it is, so
+    each round fixes more of the beginning, and a state that stands still is that of the loop.
+    """
+    tables = Tables(spark)
+    active, kept = links, None
+    while True:
+        stays = tables.keep(greedy_over_links(spark, rows, active))
+        state = stays.agg(F.count("*"), F.sum(F.xxhash64("seq").cast("decimal(38,0)"))).first()
+        if state == kept or state[0] <= window:
+            return stays
+        kept = state
+        before = offsets(rows.join(stays.withColumn("one", F.lit(1)), "seq", "left").withColumn("one", F.coalesce("one", F.lit(0))), "one").select("seq", F.col("start").alias("before"))
+        before = tables.keep(before)
+        ends = links.join(before.toDF("earlier", "b_earlier"), "earlier").join(before.toDF("later", "b_later"), "later")
+        active = tables.keep(ends.filter(F.col("b_later") - F.col("b_earlier") <= window).select("earlier", "later"))
+
+
+def sliding_near_dedup(spark: SparkSession, df: DataFrame, k: int = 3, least: float = 0.8, window: int = 10_000) -> DataFrame:
+    """seq and kept: a text goes when one of the last ``window`` that stayed before it is similar enough.
+
+    Similarity is that of k-word shingle sets (of fewer words: word sets); two empty texts are equal. While
+    no more than ``window`` rows stay, the window holds all, and copies are one to the join; beyond that all pairs of
+    similar rows are needed, those of copies too.
+    """
+    rows = df.select("seq")
+    empty = df.filter(ascii_dedup_text(F.coalesce("text", F.lit(""))) == "").select("seq")
+    first = empty.agg(F.min("seq").alias("first"))
+    blank = empty.join(F.broadcast(first)).filter("seq > first").select(F.col("first").alias("earlier"), F.col("seq").alias("later"))
+    if rows.count() <= window:
+        near = near_dedup(spark, df, k, least)
+        return near.join(blank.select(F.col("later").alias("seq"), F.lit(True).alias("gone")), "seq", "left").select("seq", (F.col("kept") & F.col("gone").isNull()).alias("kept"))
+    links = Tables(spark).keep(jaccard_pairs(spark, df, k, least).select("earlier", "later").unionByName(blank))
+    stays = within_window(spark, rows, links, window)
+    return rows.join(stays.withColumn("kept", F.lit(True)), "seq", "left").select("seq", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def tiers(spark: SparkSession, df: DataFrame, exact: bool = True, minhash: bool = True, sliding: bool = True, **window) -> DataFrame:
+    """seq and reason (exact, minhash, sliding, or null: kept). Each tier, unless left out, sees what the one before left."""
+    tables = Tables(spark)
+    left, gone = tables.keep(df.select("seq", "text")), []
+
+    def drop(name: str, kept: DataFrame) -> None:
+        nonlocal left
+        kept = tables.keep(kept)
+        gone.append(kept.filter("not kept").select("seq", F.lit(name).alias("reason")))
+        left = left.join(kept.filter("kept").select("seq"), "seq", "left_semi")
+
+    if exact:
+        found = first_by_key(left.select("seq", F.sha2(dedup_text(F.coalesce("text", F.lit(""))), 256).alias("h")), F.col("h"))
+        drop("exact", found.select("seq", (~F.col("duplicate")).alias("kept")))
+    if minhash:
+        drop("minhash", minhash_dedup(spark, left))
+    if sliding:
+        drop("sliding", sliding_near_dedup(spark, left, **window))
+    reasons = functools.reduce(lambda a, b: a.unionByName(b), gone) if gone else df.select("seq", F.lit(None).cast("string").alias("reason")).limit(0)
+    return df.select("seq").join(reasons, "seq", "left")
+
+
+def sample_near_dedup(spark: SparkSession, df: DataFrame, least: float = 0.9) -> DataFrame:
+    """seq and kept of (seq, text): sets of word tokens; texts without any stay and are held against none."""
+    members, links = similar_sets(spark, df, 1, least, sets=word_sets(df))
+    stays = greedy_over_links(spark, members.filter("seq = rep").select("seq"), links)
+    gone = members.select("seq").join(stays, "seq", "left_anti").withColumn("gone", F.lit(True))
+    return df.select("seq").join(gone, "seq", "left").select("seq", F.col("gone").isNull().alias("kept"))

@@ -22,10 +22,14 @@ def calibration_bins(scored: DataFrame, n_bins: int = 20) -> DataFrame:
     total = scored.count()
     size = max(1, total // n_bins)
     # Ranks in two phases: confidence cells first, so that no task sorts everything.
+    # Many rows may have one confidence; seq, which orders those, makes cells of them.
+    most = max(1, (scored.agg(F.max("seq")).first()[0] or 0) // 256 + 1)
     cells = scored.withColumn("_cell", F.floor(F.col("confidence") * 64))
-    base = cells.groupBy("_cell").agg(F.count("*").alias("_n")).select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_base"))
-    place = F.row_number().over(Window.partitionBy("_cell").orderBy("confidence", "seq")) - 1
-    ranked = cells.withColumn("_place", place).join(F.broadcast(base), "_cell")
+    whole = F.col("confidence") == 1.0
+    cells = cells.withColumn("_sub", F.when(whole, F.floor(F.col("seq") / most)).otherwise(-1))
+    base = cells.groupBy("_cell", "_sub").agg(F.count("*").alias("_n")).select("_cell", "_sub", (F.sum("_n").over(Window.orderBy("_cell", "_sub")) - F.col("_n")).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_cell", "_sub").orderBy("confidence", "seq")) - 1
+    ranked = cells.withColumn("_place", place).join(F.broadcast(base), ["_cell", "_sub"])
     ranked = ranked.withColumn("bin", F.least(F.floor((F.col("_base") + F.col("_place")) / size), F.lit(n_bins - 1)))
     return ranked.groupBy("bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
 
@@ -40,14 +44,32 @@ def loss_spikes(series: DataFrame, window: int = 100, threshold: float = 2.0) ->
     return series.withColumn("mean", F.avg("value").over(w)).withColumn("spike", (F.count("*").over(w) == window) & (F.col("value") > threshold * F.col("mean")))
 
 
-def early_stopping(series: DataFrame, patience: int) -> DataFrame:
-    """bad: evaluations since the last improvement; stop: it has reached ``patience``."""
+def early_stopping(series: DataFrame, patience: int, min_delta: float = 0.0) -> DataFrame:
+    """bad: evaluations since the last improvement, which is a value under the best by more than ``min_delta``; stop: it has reached ``patience``.
+
+    Without a delta the best is a running minimum. With one it depends on the way there, and each series,
+    a run's evaluations, is folded in order.
+    """
     order = Window.partitionBy("series").orderBy("step")
-    best = F.min("value").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    better = series.withColumn("better", F.coalesce(F.col("value") < best, F.lit(True)))
-    run = better.withColumn("run", F.sum(F.col("better").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    bad = F.row_number().over(Window.partitionBy("series", "run").orderBy("step")) - 1
-    return run.withColumn("bad", bad).withColumn("stop", F.col("bad") >= patience).drop("run")
+    if not min_delta:
+        best = F.min("value").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        better = series.withColumn("better", F.coalesce(F.col("value") < best, F.lit(True)))
+        run = better.withColumn("run", F.sum(F.col("better").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        bad = F.row_number().over(Window.partitionBy("series", "run").orderBy("step")) - 1
+        return run.withColumn("bad", bad).withColumn("stop", F.col("bad") >= patience).drop("run")
+
+    def fold(frame):
+        frame = frame.sort_values("step", kind="stable")
+        best, bad, out, better = float("inf"), 0, [], []
+        for value in frame["value"]:
+            improved = value < best - min_delta
+            best, bad = (value, 0) if improved else (best, bad + 1)
+            out.append(bad)
+            better.append(improved)
+        return frame.assign(better=better, bad=out, stop=[n >= patience for n in out])
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in series.dtypes) + ", better boolean, bad int, stop boolean"
+    return series.groupBy("series").applyInPandas(fold, schema)
 
 
 def growth(series: DataFrame) -> DataFrame:

@@ -739,3 +739,6 @@ def tail_split(spark, sf_dir):
 def names() -> list[str]:
     return list(QUERIES)
 
+
+from . import records  # noqa: E402, F401 - adds its queries
+

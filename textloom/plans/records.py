@@ -1,0 +1,296 @@
+"""Queries of token streams, corpus merges, reports and distilled records."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import lexicons as lex
+from ..functions import text as tx
+from ..operators import corpora, dedup, distill, evaluation, mixture, token_stream
+from ..storage import Tables
+from .queries import IDS, L, N, _ids, collapsed_sql, docs, n_of, q, query, strip_sql, table
+
+END = 1 << 16  # beyond the ids of words
+
+# Token streams
+
+STREAM = f"""
+    WITH s AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS p, t FROM (
+        SELECT doc_id, unnest(list_append({IDS}, {END})) AS t, generate_subscripts(list_append({IDS}, {END}), 1) AS i FROM documents))
+"""
+
+
+@query("token_stream_blocks", STREAM + "SELECT CAST(p // 1000 * 1000 AS BIGINT) AS start, count(*) AS n, md5(string_agg(CAST(t AS VARCHAR), ',' ORDER BY p)) AS ids FROM s GROUP BY p // 1000")
+def token_stream_blocks(spark, sf_dir):
+    """All documents written as one stream with an end id, and read back in blocks."""
+    path = f"{Tables(spark).root}/stream"
+    token_stream.write_stream(_ids(spark, sf_dir), path, END + 1, END)
+    read = token_stream.read_stream(spark, path, 1000)
+    return read.select("start", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
+
+
+@query("token_stream_totals", STREAM + f"SELECT count(*) AS tokens, count(*) FILTER (t = {END}) AS docs FROM s")
+def token_stream_totals(spark, sf_dir):
+    made = token_stream.write_stream(_ids(spark, sf_dir), f"{Tables(spark).root}/stream", END + 1, END)
+    return spark.createDataFrame([(made["tokens"], made["docs"])], "tokens long, docs long")
+
+
+@query("token_statistics", f"""
+    WITH t AS (SELECT text, {IDS} AS ids FROM documents ORDER BY doc_id LIMIT 10000)
+    SELECT round(sum(len(ids)) / count(*), 6) AS avg_tokens, round(sum({L}) / sum(len(ids)), 6) AS chars_per_token, round(sum(len(list_filter(ids, lambda i: i < 16))) / sum(len(ids)), 6) AS unknown_rate,
+           round((SELECT count(DISTINCT i) FROM (SELECT unnest(ids) AS i FROM t)) / 65536, 6) AS coverage FROM t""")
+def token_statistics(spark, sf_dir):
+    """Over the first 10,000 lines, as the report is defined; ids under 16 stand for unknown words."""
+    ids = _ids(spark, sf_dir).join(docs(spark, sf_dir).select("seq", "text"), "seq")
+    marked = ids.withColumn("ids", F.transform("ids", lambda i: F.when(i < 16, F.lit(-1)).otherwise(i)))
+    found = token_stream.tokenizer_statistics(marked, -1, 65536)
+    true = token_stream.tokenizer_statistics(ids, -1, 65536)
+    return found.drop("coverage").join(F.broadcast(true.select("coverage"))).select(*[F.round(c, 6).alias(c) for c in ("avg_tokens", "chars_per_token", "unknown_rate", "coverage")])
+
+
+@query("packed_batches", f"SELECT doc_id AS pack, list_resize(({IDS})[1:64], 64, 0) AS ids, list_resize(list_transform(({IDS})[1:64], lambda x: 0), 64, -1) AS segments FROM documents")
+def packed_batches(spark, sf_dir):
+    """A pack of one document's first 64 ids each, padded to a batch."""
+    ids = _ids(spark, sf_dir).select(F.lit(0).alias("scope"), F.col("seq").alias("pack"), F.slice("ids", 1, 64).alias("ids"))
+    packs = ids.select("*", F.col("ids").alias("labels"), F.transform("ids", lambda x: F.lit(0)).alias("segment_ids"), F.transform("ids", lambda x, i: i).alias("position_ids"))
+    return token_stream.collate_packed(packs, 64).select("pack", "ids", F.col("segment_ids").alias("segments"))
+
+
+# Corpora
+
+
+@query("shared_quota", "SELECT config, doc_id FROM (SELECT 'b' AS config, 0 AS r, doc_id FROM documents WHERE source = 'src2' UNION ALL SELECT 'd', 1, doc_id FROM documents WHERE lang = 'de' UNION ALL SELECT 'e', 2, doc_id FROM documents) ORDER BY r, doc_id LIMIT 300")
+def shared_quota(spark, sf_dir):
+    """Three configurations that can be read and one that can't, 300 rows in all."""
+    d = docs(spark, sf_dir).select("seq", "source", "lang")
+    missing = lambda: spark.read.parquet(f"{sf_dir}/nowhere.parquet")
+    parts = {"b": lambda: d.filter("source = 'src2'"), "c": missing, "d": lambda: d.filter("lang = 'de'"), "e": lambda: d}
+    return corpora.shared_quota(parts, 300).select("config", F.col("seq").alias("doc_id"))
+
+
+CORPUS = "SELECT 'documents' AS source, doc_id AS seq, text FROM documents WHERE lang = 'en'"
+PLACED = f"SELECT *, row_number() OVER (ORDER BY md5('42:' || source || ':' || seq), source, seq) - 1 AS pos FROM ({CORPUS})"
+
+
+def _corpus(spark, sf_dir):
+    return docs(spark, sf_dir).filter("lang = 'en'").select(F.lit("documents").alias("source"), "seq", "text")
+
+
+@query("anchor_appended", f"WITH c AS ({PLACED}) SELECT source, seq, pos FROM c UNION ALL SELECT 'anchor', item_id, (SELECT count(*) FROM c) + row_number() OVER (ORDER BY item_id) - 1 FROM benchmark")
+def anchor_appended(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    placed = mixture.numbered(corpus, corpora.cells_for(corpus), 42, "source", "seq")
+    anchor = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), "text")
+    return corpora.with_anchor(placed, anchor, "anchor").select("source", "seq", "pos")
+
+
+@query("merged_reshuffled", f"SELECT source, seq, row_number() OVER (ORDER BY md5('9:' || source || ':' || seq), source, seq) - 1 AS pos FROM ({CORPUS} UNION ALL SELECT 'benchmark', item_id, text FROM benchmark)")
+def merged_reshuffled(spark, sf_dir):
+    more = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("source"), F.col("item_id").alias("seq"), "text")
+    return corpora.merged_and_reshuffled(_corpus(spark, sf_dir), more, 9).select("source", "seq", "pos")
+
+
+@query("registry_override", """
+    WITH c AS (SELECT source AS name, min(doc_id) AS documents, min(lang) AS languages FROM documents GROUP BY source),
+    o AS (SELECT source AS name, count(*) AS documents FROM documents WHERE lang = 'de' GROUP BY source)
+    SELECT name, CAST(coalesce(o.documents, c.documents) AS BIGINT) AS documents, languages FROM c LEFT JOIN o USING (name) WHERE name IN ('src3', 'src1', 'src2')""")
+def registry_override(spark, sf_dir):
+    """A catalog of sources, of which another table overrides one column."""
+    d = table(spark, sf_dir, "documents")
+    catalog = d.groupBy(F.col("source").alias("name")).agg(F.min("doc_id").alias("documents"), F.min("lang").alias("languages"))
+    overrides = d.filter("lang = 'de'").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("documents"))
+    return corpora.resolved(catalog, overrides, ["src3", "src1", "src2"]).select("name", "documents", "languages")
+
+
+@query("report_merge", f"""
+    WITH r AS (SELECT source, CASE WHEN {L} < 50 THEN 'too_short' WHEN lang <> 'en' THEN 'language' END AS reason FROM documents),
+    c AS (SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason)
+    SELECT count(*) AS total, count(*) FILTER (reason IS NULL) AS kept, count(reason) AS removed, round_even(100 * count(reason) / count(*), 2) AS removed_pct,
+           (SELECT string_agg(reason || '=' || n, ',' ORDER BY n DESC, reason) FROM c) AS reasons FROM r""")
+def report_merge(spark, sf_dir):
+    """A report for each source, merged into one."""
+    reason = F.when(F.length("text") < 50, "too_short").when(F.col("lang") != "en", "language")
+    rows = table(spark, sf_dir, "documents").select("source", reason.alias("reason")).groupBy("source", "reason").agg(F.count("*").alias("n"))
+    some = F.when(F.col("reason").isNotNull(), F.struct("reason", "n"))
+    reports = rows.groupBy("source").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("n"))), F.lit(0)).alias("kept"), F.map_from_entries(F.collect_list(some)).alias("reasons"))
+    return corpora.merged_reports(reports).withColumn("reasons", F.array_join(F.transform("reasons", lambda r: F.concat_ws("=", r["reason"], r["n"])), ","))
+
+
+@query("statistics_merge", f"SELECT count(*) AS docs, CAST(sum({L}) AS BIGINT) AS chars, count(*) FILTER (lang = 'en') AS english FROM documents")
+def statistics_merge(spark, sf_dir):
+    parts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("lang") == "en").alias("english"))
+    return corpora.merged_statistics(parts)
+
+
+@query("source_counts", "SELECT event_type AS source, count(*) AS got, count(*) FILTER (value >= 100) AS kept, round(max(epoch(CAST(ts AS TIMESTAMP))) - min(epoch(CAST(ts AS TIMESTAMP))), 3) AS seconds FROM events GROUP BY event_type")
+def source_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    return corpora.by_source(e, F.col("value") >= 100).withColumn("seconds", F.round("seconds", 3))
+
+
+@query("validation_loss", "SELECT round(sum(value / 100 * (user_id % 50)) / sum(user_id % 50), 6) AS loss, round(sum(user_id % 7) / sum(user_id % 50), 6) AS accuracy, round(exp(least(sum(value / 100 * (user_id % 50)) / sum(user_id % 50), 20)), 4) AS perplexity FROM events")
+def validation_loss(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("value") / 100).alias("loss"), (F.col("user_id") % 50).alias("n_valid"), (F.col("user_id") % 7).alias("n_correct"))
+    return corpora.validation(e).select(F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"), F.round("perplexity", 4).alias("perplexity"))
+
+
+# Near-duplicates in windows and tiers: rows only here, loops in the tests
+
+
+@query("sliding_near_dedup")
+def sliding_near_dedup(spark, sf_dir):
+    return dedup.sliding_near_dedup(spark, docs(spark, sf_dir)).withColumnRenamed("seq", "doc_id")
+
+
+@query("dedup_tiers")
+def dedup_tiers(spark, sf_dir):
+    return dedup.tiers(spark, docs(spark, sf_dir)).select(F.col("seq").alias("doc_id"), F.coalesce("reason", F.lit("kept")).alias("reason"))
+
+
+@query("sample_near_dedup")
+def sample_near_dedup(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("seq", F.col("conv_id") * 1000 + F.col("turn"))
+    return dedup.sample_near_dedup(spark, rows.select("seq", "text"))
+
+
+# Distilled records
+
+R = strip_sql("text")
+
+
+@query("sample_chain", f"""
+    WITH r AS (SELECT doc_id, lang, text, {collapsed_sql('text')} AS k, {R} AS r, least(1.0, ({n_of(lex.HARMFUL[0])} + {n_of(lex.HARMFUL[1])}) / 5) > 0.5 AS toxic FROM documents),
+    x AS (SELECT *, CASE WHEN length(r) < 30 THEN 'too_short' WHEN length(r) > 8000 THEN 'too_long' END AS rule FROM r),
+    d AS (SELECT *, doc_id <> min(CASE WHEN rule IS NULL THEN doc_id END) OVER (PARTITION BY rule IS NULL, k) AS dup FROM x)
+    SELECT doc_id, CASE WHEN rule IS NOT NULL THEN 'quality:' || rule WHEN dup THEN 'duplicate' WHEN lang NOT IN ('en', 'de') THEN 'language' WHEN toxic THEN 'toxicity' ELSE 'keep' END AS reason
+    FROM d WHERE NOT regexp_matches(r, '[(){{}}`<>#|]') AND length(r) <= 120""")
+def sample_chain(spark, sf_dir):
+    """Short plain documents as responses, for which the quality rules come down to lengths; the other rules have queries of their own."""
+    rows = docs(spark, sf_dir).withColumn("response", F.col("text")).withColumn("task_type", F.lit("chat"))
+    bare = tx.strip(F.col("response"))
+    found = distill.sample_chain(rows.select("seq", "response", "task_type", "lang"), ("en", "de"))
+    return found.filter(~bare.rlike(r"[(){}`<>#|]") & (F.length(bare) <= 120)).select(F.col("seq").alias("doc_id"), F.coalesce("reason", F.lit("keep")).alias("reason"))
+
+
+@query("score_gate", "SELECT vec_id, coalesce(CASE WHEN label % 3 > 0 THEN abs(CAST(embedding[1] AS DOUBLE)) END, 1.0) >= 0.5 AS passes FROM embeddings")
+def score_gate(spark, sf_dir):
+    """A coordinate stands for the score; every third row has none."""
+    score = F.when(F.col("label") % 3 > 0, F.abs(F.element_at("embedding", 1).cast("double")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", distill.passes(score, 0.5).alias("passes"))
+
+
+@query("ensemble_plan", """
+    SELECT doc_id, lang AS first, CASE WHEN lang <> 'en' THEN 'en' ELSE 'de' END AS second, lang || '+' || CASE WHEN lang <> 'en' THEN 'en' ELSE 'de' END AS teachers FROM documents WHERE length(text) > 2000 AND source IN ('src1', 'src2')""")
+def ensemble_plan(spark, sf_dir):
+    """Languages stand for teachers, long texts for hard items, sources for tasks."""
+    d = table(spark, sf_dir, "documents").withColumn("difficulty", F.when(F.length("text") > 2000, "hard").otherwise("easy"))
+    second = distill.second_teacher(F.array(F.lit("en"), F.lit("de"), F.lit("fr")), F.col("lang"))
+    rows = d.filter(distill.is_ensemble(F.col("difficulty"), F.col("source"), tasks=("src1", "src2"))).withColumn("second", second)
+    return rows.select("doc_id", F.col("lang").alias("first"), "second", distill.joined_teachers(F.array("lang", "second")).alias("teachers"))
+
+
+@query("done_and_retried", f"SELECT doc_id, {R} <> '' AND length(text) >= 60 AS done FROM documents")
+def done_and_retried(spark, sf_dir):
+    """Texts under 60 characters stand for outputs that stayed empty."""
+    d = table(spark, sf_dir, "documents").withColumn("output", F.when(F.length("text") >= 60, F.col("text")))
+    _, done = distill.finished(d, "doc_id")
+    return d.select("doc_id").join(done.withColumn("done", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("done", F.lit(False)).alias("done"))
+
+
+@query("request_cache", "SELECT d.doc_id, l.toxic AS response FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)")
+def request_cache(spark, sf_dir):
+    """Labels stand for cached responses; what the cache lacks is a request still to be made."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    held = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("response"))
+    cache = held.select(F.sha2(F.to_json(F.struct("doc_id")), 256).alias("request"), "response")
+    hit, miss = distill.cache_lookup(d, cache, "doc_id")
+    return hit.select("doc_id", "response").unionByName(miss.select("doc_id", F.lit(None).cast("int").alias("response")))
+
+
+VERIFIED = f"""
+    WITH h AS (SELECT doc_id, n, f, len(list_filter([{', '.join(map(q, lex.TEACHER_PHRASES))}], lambda p: contains(lower(text), p))) > 0 AS x, doc_id % 5 AS v
+          FROM (SELECT doc_id, text, CAST({N} AS BIGINT) AS n, coalesce(list_max(map_values(list_aggregate(ws, 'histogram'))), 0) / greatest(1, len(ws)) AS f
+                FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_\\p{{M}}]+') AS ws FROM documents))),
+    s AS (SELECT *, CASE WHEN x OR n < 30 THEN 'REJECT' WHEN f > 0.06 AND n > 100 THEN 'REVIEW' ELSE 'KEEP' END AS hv,
+          least(1, greatest(0, 0.5 + least(0.25, n / 4000) + CASE WHEN x OR n < 30 OR (f > 0.06 AND n > 100) THEN 0 ELSE 0.1 END - CASE WHEN x THEN 0.3 ELSE 0 END - CASE WHEN n < 30 THEN 0.2 ELSE 0 END - CASE WHEN f > 0.06 AND n > 100 THEN 0.15 ELSE 0 END)) AS hs FROM h)
+    SELECT doc_id, CASE WHEN hv = 'REJECT' OR v = 4 THEN 'REJECT' WHEN v = 1 THEN 'KEEP' WHEN v = 2 THEN 'REJECT' ELSE hv END AS decision,
+           ((e // 100000) + CASE WHEN e % 100000 > 50000 OR (e % 100000 = 50000 AND (e // 100000) % 2 = 1) THEN 1 ELSE 0 END) / 1000 AS quality
+    FROM (SELECT *, CAST(round(1e8 * least(1, greatest(0, hs + CASE v WHEN 1 THEN 0.2 WHEN 2 THEN -0.3 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 0.05 ELSE 0 END))) AS BIGINT) AS e FROM s)
+"""
+
+
+@query("verified", VERIFIED)
+def verified(spark, sf_dir):
+    """The second opinion, whether code runs, and facts come from the id."""
+    v = F.col("doc_id") % 5
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(v == 1, "KEEP").when(v == 2, "REJECT").alias("verdict"), F.when(v == 4, False).alias("code_runs"), F.when(F.col("doc_id") % 3 == 0, True).alias("factual"))
+    return distill.verified(d).select("doc_id", "decision", "quality")
+
+
+SCORES = "SELECT event_type AS category, 'm' || (user_id % 3) AS model, value / 500 AS score FROM events"
+
+
+def _scores(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("category"), F.format_string("m%d", F.col("user_id") % 3).alias("model"), (F.col("value") / 500).alias("score"))
+
+
+@query("teacher_scores", f"SELECT model, category, round_even(avg(score), 3) AS mean, count(*) AS n FROM ({SCORES}) GROUP BY GROUPING SETS ((model, category), (model))")
+def teacher_scores(spark, sf_dir):
+    return distill.teacher_scores(_scores(spark, sf_dir))
+
+
+@query("teacher_routes", f"SELECT category, arg_max(model, mean * 1000 - CAST(model[2:] AS INT) * 0.001) AS model FROM (SELECT model, category, round_even(avg(score), 3) AS mean FROM ({SCORES}) GROUP BY ALL) GROUP BY category")
+def teacher_routes(spark, sf_dir):
+    return distill.routes(distill.teacher_scores(_scores(spark, sf_dir)), ["m0", "m1", "m2"])
+
+
+@query("call_costs", "SELECT count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS tokens_in, CAST(sum(user_id % 100) AS BIGINT) AS tokens_out, round((sum(user_id) * 0.5 + sum(user_id % 100) * 1.5) / 1e6, 6) AS cost FROM events")
+def call_costs(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("tokens_in"), (F.col("user_id") % 100).alias("tokens_out"))
+    return distill.costs(calls, 0.5, 1.5).withColumn("cost", F.round("cost", 6))
+
+
+@query("filter_counts", f"""
+    WITH r AS (SELECT CASE WHEN {L} < 50 THEN 'too_short' WHEN lang <> 'en' THEN 'language' END AS reason FROM documents)
+    SELECT count(*) AS attempted, count(*) - count(reason) AS accepted, count(reason) AS rejected, (count(*) - count(reason)) < 0.9 * count(*) AS warned, count(*) FILTER (reason = 'language') AS language FROM r""")
+def filter_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.when(F.length("text") < 50, "too_short").when(F.col("lang") != "en", "language").alias("reason"))
+    return distill.filter_counts(d, 0.9).select("attempted", "accepted", "rejected", "warned", F.coalesce(F.try_element_at("reasons", F.lit("language")), F.lit(0)).alias("language"))
+
+
+@query("instruction_projection", "SELECT conv_id * 1000 + turn AS id, '' AS instruction, '' AS input, text AS response, role AS task_type, 'medium' AS difficulty, 'en' AS language, 'unknown' AS generator, 0.0 AS quality_score, 0.0 AS confidence FROM conversations")
+def instruction_projection(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("response"), F.col("role").alias("task_type"), *[none.alias(n) for n in ("instruction", "input", "difficulty", "language", "generator", "quality_score", "confidence")])
+    return distill.instruction(c)
+
+
+@query("provenance", "SELECT CAST(doc_id AS VARCHAR) AS id, source AS task_type, lang AS domain, CAST(NULL AS VARCHAR) AS difficulty, lang || '+' || source AS teachers, CAST(NULL AS VARCHAR) AS verdict, CAST(n_chars AS VARCHAR) AS quality, CAST(NULL AS VARCHAR) AS prompt_hash, CAST(NULL AS VARCHAR) AS created, CAST(NULL AS VARCHAR) AS license FROM documents")
+def provenance(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("task_type"), F.col("lang").alias("domain"), F.array("lang", "source").alias("teachers"), F.col("n_chars").alias("quality"))
+    return distill.provenance(d)
+
+
+@query("quality_order", "SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50")
+def quality_order(spark, sf_dir):
+    """Lengths stand for qualities; the report shows the first 50."""
+    from pyspark.sql import Window
+
+    best = distill.by_quality(docs(spark, sf_dir).select("seq", F.col("n_chars").alias("quality"))).limit(50)
+    return best.select(F.col("seq").alias("doc_id"), F.row_number().over(Window.orderBy(F.desc("quality"), "seq")).cast("long").alias("place"))
+
+
+@query("assembled_samples", "SELECT doc_id, text AS instruction, '' AS input, lang AS response FROM documents WHERE source IN ('src1', 'src2') AND lang IS NOT NULL AND text IS NOT NULL")
+def assembled_samples(spark, sf_dir):
+    """Replies as JSON with other keys for each task."""
+    keys = {"src1": {"instruction": "question", "response": "answer"}, "src2": {"instruction": "prompt", "response": "completion"}}
+    d = table(spark, sf_dir, "documents").withColumn("task_type", F.col("source"))
+    one, two = F.struct(F.col("text").alias("question"), F.col("lang").alias("answer")), F.struct(F.col("text").alias("prompt"), F.col("lang").alias("completion"))
+    replies = d.withColumn("reply", F.when(F.col("source") == "src1", F.to_json(one)).when(F.col("source") == "src2", F.to_json(two)).otherwise("no JSON"))
+    return distill.assembled(replies, keys).select("doc_id", "instruction", "input", "response")
+
+
+@query("early_stop_delta")
+def early_stop_delta(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("event_id").alias("step"), "value")
+    return evaluation.early_stopping(e, 5, 1.0).select("step", F.col("bad").cast("long").alias("bad"), "stop")
