@@ -121,7 +121,7 @@ def by_hot_and_cold(rows: DataFrame, groups: DataFrame, key: str, size: str, sha
     should be written tables.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
-    least = max(1000, total // share)
+    least = max(100, total // share)
     hot = F.broadcast(groups.filter(F.col(size) > least))
     cold = rows.join(hot.select(key), key, "left_anti")
     return cold.join(groups.filter(F.col(size) <= least).hint("merge"), key).unionByName(rows.join(hot, key))
