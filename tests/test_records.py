@@ -6,15 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import corpora, dedup, distill, evaluation, token_stream
-from textloom.plans import queries as plans
-from textloom.plans import records
-
-PLAIN = [n for n in plans.QUERIES if getattr(plans.QUERIES[n], "__module__", "") == records.__name__ and n in plans.ORACLE]
-
-
-@pytest.mark.parametrize("name", PLAIN)
-def test_records_say_what_sql_says(spark, sf_dir, duck, same_rows, name):
-    same_rows(plans.QUERIES[name](spark, sf_dir), duck, plans.ORACLE[name])
 
 
 def test_stream_round_trip(spark, tmp_path):

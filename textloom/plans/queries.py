@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions import text as tx
-from ..operators import cleaning, dedup, documents, evaluation, filters, generate, mixture, normalize, quality, samples, tokens
+from ..operators import cleaning, corpora, dedup, documents, evaluation, filters, generate, mixture, normalize, quality, samples, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -313,21 +313,30 @@ def minhash_dedup(spark, sf_dir):
     return dedup.minhash_dedup(spark, docs(spark, sf_dir))
 
 
-SHINGLED = f"""
-    WITH t AS (SELECT doc_id, lang, list_filter(string_split({KEY_B}, ' '), lambda w: w <> '') AS ws FROM documents),
-    s AS (SELECT DISTINCT doc_id, lang, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) ELSE ws END) AS k FROM t),
+def similar_sql(k: int, least: float, scope: str = "0", key: str = KEY_B, rows: str = "SELECT doc_id, lang, source, text FROM documents") -> str:
+    """CTEs up to j (earlier, later, similarity): pairs of one scope whose sets of k-word shingles are similar enough."""
+    return f"""
+    t AS (SELECT doc_id, {scope} AS scope, list_filter(string_split({key}, ' '), lambda w: w <> '') AS ws FROM ({rows})),
+    s AS (SELECT DISTINCT doc_id, scope, unnest(CASE WHEN len(ws) >= {k} THEN list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' ')) ELSE ws END) AS k FROM t),
     c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-    p AS (SELECT a.doc_id AS earlier, b.doc_id AS later, count(*) AS m FROM s a JOIN s b ON a.k = b.k AND a.lang = b.lang AND a.doc_id < b.doc_id GROUP BY 1, 2),
-    j AS (SELECT earlier, later, m / (x.n + y.n - m) AS similarity FROM p JOIN c x ON x.doc_id = earlier JOIN c y ON y.doc_id = later WHERE m / (x.n + y.n - m) >= 0.85)
-"""
+    p AS (SELECT a.doc_id AS earlier, b.doc_id AS later, count(*) AS m FROM s a JOIN s b ON a.k = b.k AND a.scope = b.scope AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    j AS (SELECT earlier, later, m / (x.n + y.n - m) AS similarity FROM p JOIN c x ON x.doc_id = earlier JOIN c y ON y.doc_id = later WHERE m / (x.n + y.n - m) >= {least})"""
+
 
+#: The rows that the loop drops, one after another: those with an earlier similar one that isn't dropped.
+GREEDY = """
+    e AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM (SELECT later AS id, list(earlier) AS before FROM j GROUP BY later)),
+    g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone
+          UNION ALL SELECT e.i, CASE WHEN len(list_filter(e.before, lambda x: NOT list_contains(g.gone, x))) > 0 THEN list_append(g.gone, e.id) ELSE g.gone END FROM g JOIN e ON e.i = g.i + 1),
+    dropped AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM g ORDER BY i DESC LIMIT 1))"""
 
-@query("jaccard_pairs", SHINGLED + "SELECT earlier, later, round(similarity, 6) AS similarity FROM j")
+
+@query("jaccard_pairs", f"WITH {similar_sql(5, 0.85, 'lang')} SELECT earlier, later, round(similarity, 6) AS similarity FROM j")
 def jaccard_pairs(spark, sf_dir):
     return dedup.jaccard_pairs(spark, docs(spark, sf_dir), 5, 0.85, "lang").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("neardup_by_lang")
+@query("neardup_by_lang", f"WITH RECURSIVE {similar_sql(5, 0.85, 'lang')}, {GREEDY} SELECT doc_id, doc_id NOT IN (SELECT id FROM dropped) AS kept FROM documents")
 def neardup_by_lang(spark, sf_dir):
     return dedup.near_dedup(spark, docs(spark, sf_dir), 5, 0.85, "lang").withColumnRenamed("seq", "doc_id")
 
@@ -351,18 +360,23 @@ def _mixture(spark, sf_dir):
     return mixture.union(frames, {"documents": 500, "benchmark": 30})
 
 
+def _placed(spark, sf_dir):
+    rows = _mixture(spark, sf_dir)
+    return mixture.numbered(rows, corpora.cells_for(rows), 42, "source", "seq")
+
+
 MIXED = "SELECT 'documents' AS source, doc_id AS seq, text FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500) UNION ALL SELECT 'benchmark', item_id, text FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 30)"
 SHUFFLED = f"SELECT *, row_number() OVER (ORDER BY md5('42:' || source || ':' || seq), source, seq) - 1 AS pos FROM ({MIXED})"
 
 
 @query("mixture_build", f"SELECT source, seq, pos, md5(text) AS text_md5 FROM ({SHUFFLED})")
 def mixture_build(spark, sf_dir):
-    return mixture.numbered(_mixture(spark, sf_dir), 16, 42, "source", "seq").select("source", "seq", "pos", F.md5("text").alias("text_md5"))
+    return _placed(spark, sf_dir).select("source", "seq", "pos", F.md5("text").alias("text_md5"))
 
 
 @query("mixture_shards", f"WITH s AS ({SHUFFLED}) SELECT CAST(pos // greatest(1, (SELECT count(*) FROM s) // 10) AS BIGINT) AS shard, count(*) AS n FROM s GROUP BY 1")
 def mixture_shards(spark, sf_dir):
-    placed = mixture.numbered(_mixture(spark, sf_dir), 16, 42, "source", "seq")
+    placed = _placed(spark, sf_dir)
     return mixture.shards(placed, _mixture(spark, sf_dir).count()).groupBy(F.col("shard").cast("bigint").alias("shard")).agg(F.count("*").alias("n"))
 
 
@@ -425,7 +439,7 @@ def systematic_sample(spark, sf_dir):
 @query("train_val_split", "SELECT CASE WHEN p < floor((SELECT count(*) FROM documents) * 0.05) THEN 'val' ELSE 'train' END AS split, doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('3:' || doc_id), doc_id) - 1 AS p FROM documents)")
 def train_val_split(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id")
-    return mixture.split_train_validation(mixture.numbered(rows, 16, 3, "doc_id"), rows.count(), 0.05).select("split", "doc_id")
+    return mixture.split_train_validation(mixture.numbered(rows, corpora.cells_for(rows), 3, "doc_id"), rows.count(), 0.05).select("split", "doc_id")
 
 
 @query("plan_items")
@@ -532,15 +546,27 @@ def truncate_tokens(spark, sf_dir):
     return _ids(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.slice("ids", 1, 64).alias("ids"))
 
 
-@query("pack_next_fit")
+#: Documents of a shard, which is packed in order by one task.
+SHARD = 200
+
+
+@query("pack_next_fit", f"""
+    WITH RECURSIVE r AS (SELECT doc_id // {SHARD} AS scope, doc_id AS seq, {N} AS n, row_number() OVER (PARTITION BY doc_id // {SHARD} ORDER BY doc_id) AS i FROM documents WHERE {N} <= 1024),
+    a AS (SELECT scope, seq, i, 0 AS pack, 0 AS segment, CAST(0 AS BIGINT) AS start, n AS filled FROM r WHERE i = 1
+          UNION ALL SELECT r.scope, r.seq, r.i, CASE WHEN a.filled + r.n > 1024 THEN a.pack + 1 ELSE a.pack END, CASE WHEN a.filled + r.n > 1024 THEN 0 ELSE a.segment + 1 END,
+                 CASE WHEN a.filled + r.n > 1024 THEN 0 ELSE a.filled END, CASE WHEN a.filled + r.n > 1024 THEN r.n ELSE a.filled + r.n END
+          FROM a JOIN r ON r.scope = a.scope AND r.i = a.i + 1)
+    SELECT CAST(scope AS BIGINT) AS scope, seq, CAST(pack AS BIGINT) AS pack, CAST(segment AS BIGINT) AS segment, CAST(start AS BIGINT) AS start FROM a""")
 def pack_next_fit(spark, sf_dir):
-    return tokens.next_fit(_ids(spark, sf_dir).select("seq", F.size("ids").alias("n")), 1024)
+    ids = _ids(spark, sf_dir).select("seq", F.floor(F.col("seq") / SHARD).alias("shard"), F.size("ids").alias("n"))
+    return tokens.next_fit(ids, 1024, "shard")
 
 
 @query("pack_sequences")
 def pack_sequences(spark, sf_dir):
     ids = _ids(spark, sf_dir)
-    return tokens.packed(ids, tokens.next_fit(ids.select("seq", F.size("ids").alias("n")), 1024))
+    lengths = ids.select("seq", F.floor(F.col("seq") / SHARD).alias("shard"), F.size("ids").alias("n"))
+    return tokens.packed(ids, tokens.next_fit(lengths, 1024, "shard"))
 
 
 @query("collate_pad", f"""

@@ -8,7 +8,7 @@ from ..functions import lexicons as lex
 from ..functions import text as tx
 from ..operators import corpora, dedup, distill, evaluation, mixture, token_stream
 from ..storage import Tables
-from .queries import IDS, L, N, _ids, collapsed_sql, docs, n_of, q, query, strip_sql, table
+from .queries import GREEDY, IDS, KEY_B, L, N, _ids, collapsed_sql, docs, n_of, q, query, similar_sql, strip_sql, table
 
 END = 1 << 16  # beyond the ids of words
 
@@ -134,11 +134,15 @@ def validation_loss(spark, sf_dir):
     return corpora.validation(e).select(F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"), F.round("perplexity", 4).alias("perplexity"))
 
 
-# Near-duplicates in windows and tiers: rows only here, loops in the tests
+# Near-duplicates in windows and tiers
 
+#: Empty texts are equal to each other.
+EMPTY = f"SELECT a.doc_id AS earlier, b.doc_id AS later, 1.0 AS similarity FROM documents a JOIN documents b ON a.doc_id < b.doc_id AND {KEY_B.replace('text', 'a.text')} = '' AND {KEY_B.replace('text', 'b.text')} = ''"
 
-@query("sliding_near_dedup")
+
+@query("sliding_near_dedup", f"WITH RECURSIVE {similar_sql(3, 0.8).replace('j AS (', 'j AS (' + EMPTY + ' UNION ALL ')}, {GREEDY} SELECT doc_id, doc_id NOT IN (SELECT id FROM dropped) AS kept FROM documents")
 def sliding_near_dedup(spark, sf_dir):
+    """Up to the window's 10,000 rows, which SQL's small tables don't reach, it holds all that stayed."""
     return dedup.sliding_near_dedup(spark, docs(spark, sf_dir)).withColumnRenamed("seq", "doc_id")
 
 
@@ -147,7 +151,11 @@ def dedup_tiers(spark, sf_dir):
     return dedup.tiers(spark, docs(spark, sf_dir)).select(F.col("seq").alias("doc_id"), F.coalesce("reason", F.lit("kept")).alias("reason"))
 
 
-@query("sample_near_dedup")
+TURNS = "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations"
+TOKENS = r"regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_]+', ' ', 'g')"
+
+
+@query("sample_near_dedup", f"WITH RECURSIVE {similar_sql(1, 0.9, key=KEY_B.replace('lower(text)', TOKENS), rows=TURNS)}, {GREEDY} SELECT doc_id AS seq, doc_id NOT IN (SELECT id FROM dropped) AS kept FROM ({TURNS})")
 def sample_near_dedup(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("seq", F.col("conv_id") * 1000 + F.col("turn"))
     return dedup.sample_near_dedup(spark, rows.select("seq", "text"))
