@@ -145,6 +145,34 @@ ORACLE: dict[str, str] = {
                doc_id <= coalesce(m, doc_id) AS kept
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
     """,
+    # Lines one edit apart share a half, or one is the other with a character more: so pairs to compare come from
+    # equal beginnings and ends, and each is held against the other character by character.
+    "op9_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, i, raw, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
+            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+        ), d AS (
+            SELECT line, length(line) AS n, min(doc_id * 1000000 + i) AS pos FROM l WHERE line <> '' GROUP BY line
+        ), h AS (
+            SELECT line, n, pos, unnest([n, n - 1]) AS m FROM d
+        ), k AS (
+            SELECT line, n, pos, m, 'a' || m || substr(line, 1, m // 2) AS half FROM h UNION ALL
+            SELECT line, n, pos, m, 'b' || m || right(line, m - m // 2) FROM h
+        ), pair AS (
+            SELECT DISTINCT x.line AS a, x.n AS na, x.pos AS at_a, y.line AS b, y.n AS nb, y.pos AS at_b
+            FROM k x JOIN k y ON x.half = y.half AND x.m = least(x.n, y.n) AND (x.n = y.n OR x.n + 1 = y.n) AND x.line <> y.line
+        ), near AS (
+            SELECT a, at_a, b, at_b FROM pair
+            WHERE len(list_filter(range(0, nb), lambda p: substr(a, 1, p) = substr(b, 1, p) AND substr(a, CAST(p + 1 + CASE WHEN na = nb THEN 1 ELSE 0 END AS BIGINT)) = substr(b, CAST(p + 2 AS BIGINT)))) > 0
+        ), first AS (
+            SELECT line, min(pos) AS pos FROM (SELECT line, pos FROM d UNION ALL SELECT a, at_b FROM near UNION ALL SELECT b, at_a FROM near) GROUP BY line
+        ), judged AS (
+            SELECT l.doc_id, l.i, l.raw, l.line <> '' AS worded, coalesce(f.pos < l.doc_id * 1000000 + l.i, false) AS gone FROM l LEFT JOIN first f ON f.line = l.line AND l.line <> ''
+        )
+        SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (gone) AS n_removed,
+               sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id
+    """,
     "op4_quotations": r"""
         WITH RECURSIVE line AS (
             SELECT conv_id, turn, i, l, len(regexp_replace(regexp_extract(l, '^((?:[ \t]*>)+) ?', 1), '[^>]', '', 'g')) AS level,
