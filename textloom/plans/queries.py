@@ -671,33 +671,6 @@ def leaderboard(spark, sf_dir):
     return evaluation.leaderboard(board, "score").select("name", F.col("rank").cast("bigint").alias("rank"))
 
 
-# Plain SQL shapes: the same text runs in both engines
-
-SHAPES = {
-    "filter_count": "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 25",
-    "aggregates": "SELECT round(avg(l_quantity), 6) AS mean, min(l_quantity) AS least, max(l_quantity) AS most, round(sum(l_quantity), 2) AS total FROM lineitem",
-    "group_by": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus",
-    "having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
-    "join_group": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
-    "top_group": "SELECT l_suppkey, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY l_suppkey ORDER BY qty DESC, l_suppkey LIMIT 1",
-    "recursive": "WITH RECURSIVE t(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 20) SELECT n, total FROM t",
-}
-
-
-def _shape(sql: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for name in ("lineitem", "orders", "customer", "nation"):
-            if name in sql:
-                table(spark, sf_dir, name).createOrReplaceTempView(name)
-        return spark.sql(sql)
-
-    return run
-
-
-for _name, _sql in SHAPES.items():
-    query(f"sql_shape_{_name}", _sql)(_shape(_sql))
-
-
 # Records, generators, scoring
 
 

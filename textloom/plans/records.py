@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions import text as tx
-from ..operators import corpora, dedup, distill, evaluation, mixture, token_stream
+from ..operators import corpora, dedup, distill, evaluation, mixture, tasks, token_stream
 from ..storage import Tables
 from .queries import GREEDY, IDS, KEY_B, L, N, _ids, collapsed_sql, docs, n_of, q, query, similar_sql, strip_sql, table
 
@@ -302,3 +302,36 @@ def assembled_samples(spark, sf_dir):
 def early_stop_delta(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("event_id").alias("step"), "value")
     return evaluation.early_stopping(e, 5, 1.0).select("step", F.col("bad").cast("long").alias("bad"), "stop")
+
+
+# Generated samples; the tests run the code and work the answers out again
+
+for _name, _make in {
+    "code_samples": tasks.code_samples, "debugging_samples": tasks.debugging_samples, "reasoning_samples": tasks.reasoning_samples, "instruction_samples": tasks.instruction_samples,
+    "passage_samples": tasks.passage_samples, "translation_samples": tasks.translation_samples, "tool_samples": tasks.tool_samples, "sql_task_samples": tasks.sql_task_samples,
+}.items():
+    query(_name)(lambda spark, sf_dir, make=_make: make(spark, 500))
+
+#: What each generated statement is to give over lineitem, said in other words.
+ANSWERS = {
+    "filter_count": "SELECT sum(CASE WHEN l_quantity > 20 THEN 1 ELSE 0 END)::BIGINT AS n FROM lineitem",
+    "average": "SELECT round(sum(l_quantity) / count(l_quantity), 6) AS mean FROM lineitem",
+    "extremes": "SELECT (SELECT l_quantity FROM lineitem ORDER BY l_quantity LIMIT 1) AS least, (SELECT l_quantity FROM lineitem ORDER BY l_quantity DESC LIMIT 1) AS most",
+    "total": "SELECT round(sum(q), 2) AS total FROM (SELECT l_returnflag, sum(l_quantity) AS q FROM lineitem GROUP BY 1)",
+    "group_by": "SELECT DISTINCT l_returnflag AS g, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem",
+    "having": "SELECT g FROM (SELECT l_returnflag AS g, count(*) AS n FROM lineitem GROUP BY 1) WHERE n > 20",
+    "top_group": "SELECT g, total FROM (SELECT l_returnflag AS g, round(sum(l_quantity), 2) AS total, row_number() OVER (ORDER BY round(sum(l_quantity), 2) DESC, l_returnflag) AS r FROM lineitem GROUP BY 1) WHERE r = 1",
+    "running": "SELECT CAST(n AS INT) AS n, CAST(n * (n + 1) / 2 AS INT) AS total FROM range(1, 21) t(n)",
+}
+
+
+def _task(shape: str):
+    def run(spark, sf_dir):
+        statement = next(t["statement"] for t in tasks.sql_tasks() if t["shape"] == shape and t["table"] == "lineitem")
+        return tasks.run_task(spark, statement, {"lineitem": table(spark, sf_dir, "lineitem")})
+
+    return run
+
+
+for _name, _sql in ANSWERS.items():
+    query(f"sql_task_{_name}", _sql)(_task(_name))
