@@ -22,13 +22,14 @@ SEXUAL = r"(?i)escort|incall|outcall|brothel|hookup|hook up|one night stand|fuck
 SERVICE = r"(?i)available for (?:incall|outcall)|call(?:s)? (?:now|me)|discreet (?:encounter|meeting|service)|no strings attached|personal (?:ads?|services?)|body rub|happy ending|fully nude|full service"
 GAMBLING = r"(?i)casino|poker|blackjack|roulette|slots|jackpot|bet(?:ting|s)?|wager|gambl|online casino|live casino|mobile casino|free spins|bonus code|deposit bonus|play (?:now|free|for real)|real money (?:casino|slots|poker)|win (?:big|real|cash|money)"
 OCR = r"[|}{][\x09-\x0d\x20]*[|}{]|(?:^|[\x09-\x0d\x20])[Il1|](?:$|[\x09-\x0d\x20])|â€™|Ã©|Ã¨|Ã¡|Ã ','Ã¶|Ã¼|Ã®|Ã«|Ã£|Ãµ|â€[cx]|â€œ|â€?"
-ENGLISH = (
-    "the be to of and a in that have i it for not on with he as you do at this but his by from they we say her she "
-    "or an will my one all would there their what so up out if about who get which go me when make can like time no "
-    "just him know take people into year your good some could them see other than then now look only come its over "
-    "think also back after use two how our work first well way even new want because any these give day most us is "
-    "are was were been being"
-).split()
+ENGLISH = (  # the stop words of the language filter
+    "the", "be", "to", "of", "and", "a", "in", "that", "have", "i", "it", "for", "not", "on", "with", "he", "as", "you", "do", "at", "this", "but",
+    "his", "by", "from", "they", "we", "say", "her", "she", "or", "an", "will", "my", "one", "all", "would", "there", "their", "what", "so", "up", "out",
+    "if", "about", "who", "get", "which", "go", "me", "when", "make", "can", "like", "time", "no", "just", "him", "know", "take", "people", "into",
+    "year", "your", "good", "some", "could", "them", "see", "other", "than", "then", "now", "look", "only", "come", "its", "over", "think", "also",
+    "back", "after", "use", "two", "how", "our", "work", "first", "well", "way", "even", "new", "want", "because", "any", "these", "give", "day", "most",
+    "us", "is", "are", "was", "were", "been", "being",
+)
 LEAKED_FORMAT = r"(?i)\{\{|\}\}|<<<|>>>|\[INST\]|\[/INST\]|###[\x09-\x0d\x20]*instruction|<\|.*?\|>|human:|assistant:"
 DANGLING = r"\b(and|or|because|so|then|thus|therefore|,|;|:|\-)$"
 HARMFUL = (r"(?i)\b(hate|racist|slur|nazi|kill|murder|suicide|bomb|terrorist)\w*", r"(?i)\b(porn|rape|abuse|pedophil)\w*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import pyarrow as pa
@@ -9,25 +11,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def split_text(text: str, most: int) -> list[str]:
-    """Paragraphs, merged while they fit; what is too long still goes by sentences, merged while they fit."""
-
-    def merged(parts: list[str], gap: str) -> list[str]:
-        out, now = [], ""
-        for p in parts:
-            if now and len(now) + len(p) + len(gap) > most:
-                out.append(now.strip())
-                now = p
-            else:
-                now = f"{now}{gap}{p}" if now else p
-        return [x for x in [*out, now.strip()] if x]
+def packed_runs(parts: list[str], gap: str, most: int) -> list[str]:
+    """The longest runs of parts that, with gaps between them, fit into ``most`` characters; a part that doesn't is a run by itself.
+
+    Where each run ends is looked up among the running lengths. Empty parts at a run's beginning take no room.
+    """
+    ends = [0, *itertools.accumulate(len(p) + len(gap) for p in parts)]
+    out, start = [], 0
+    while start < len(parts):
+        if parts[start]:
+            end = max(start + 1, bisect.bisect_right(ends, ends[start] + most + len(gap)) - 1)
+            out.append(gap.join(parts[start:end]).strip())
+        else:
+            end = start + 1
+        start = end
+    return [x for x in out if x]
 
+
+def split_text(text: str, most: int) -> list[str]:
+    """Runs of paragraphs; what is too long still in runs of sentences."""
     if len(text) <= most:
         return [text]
-    out: list[str] = []
-    for chunk in merged(text.split("\n\n"), "\n\n"):
-        out += [chunk] if len(chunk) <= most else merged(re.split(r"(?<=[.!?])\s+", chunk), " ")
-    return out or [text]
+    runs = packed_runs(text.split("\n\n"), "\n\n", most)
+    pieces = [[run] if len(run) <= most else packed_runs(re.split(r"(?<=[.!?])\s+", run), " ", most) for run in runs]
+    return list(itertools.chain.from_iterable(pieces)) or [text]
 
 
 def split_documents(df: DataFrame, most: int) -> DataFrame:

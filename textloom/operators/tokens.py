@@ -17,15 +17,20 @@ def offsets(df: DataFrame, length: str, cell_rows: int = 20_000) -> DataFrame:
 
 
 def chunks(tokens: DataFrame, size: int) -> DataFrame:
-    """chunk, ids, labels: the stream of (seq, ids) cut by ``size``; labels are one token ahead; the last token only labels."""
-    placed = offsets(tokens.withColumn("n", F.size("ids")), "n")
-    each = placed.select(F.posexplode("ids").alias("i", "id"), "start").select((F.col("start") + F.col("i")).alias("p"), "id")
-    total = F.broadcast(tokens.agg(F.sum(F.size("ids")).alias("total")))
-    inputs = each.select(F.floor(F.col("p") / size).alias("chunk"), F.struct("p", "id").alias("t"), F.lit(0).alias("side"))
-    labels = each.filter("p > 0").select(F.floor((F.col("p") - 1) / size).alias("chunk"), F.struct("p", "id").alias("t"), F.lit(1).alias("side"))
-    pick = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("t")))), lambda t: t["id"])
-    out = inputs.unionByName(labels).groupBy("chunk").agg(pick(0).alias("ids"), pick(1).alias("labels"))
-    return out.join(total).filter(F.col("chunk") < F.floor((F.col("total") - 1) / size)).drop("total")
+    """chunk, ids, labels: the stream of (seq, ids) cut by ``size``; labels are one token ahead; the last token only labels.
+
+    A chunk and the token after it come from slices of the documents that it meets: a row for each of those, not for each token.
+    """
+    placed = offsets(tokens.withColumn("n", F.size("ids")), "n").filter("n > 0")
+    first, last = F.greatest(F.ceil(F.col("start") / size) - 1, F.lit(0)), F.floor((F.col("start") + F.col("n") - 1) / size)
+    each = placed.select("ids", "start", "n", F.explode(F.sequence(first, last)).alias("chunk"))
+    begin = F.greatest(F.col("start"), F.col("chunk") * size)
+    end = F.least(F.col("start") + F.col("n"), (F.col("chunk") + 1) * size + 1)
+    part = F.slice("ids", (begin - F.col("start") + 1).cast("int"), (end - begin).cast("int"))
+    whole = each.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct(begin.alias("p"), part.alias("part")))).alias("parts"))
+    ids = F.flatten(F.transform("parts", lambda x: x["part"]))
+    # Only the last chunk can lack a token.
+    return whole.withColumn("all", ids).filter(F.size("all") == size + 1).select("chunk", F.slice("all", 1, size).alias("ids"), F.slice("all", 2, size).alias("labels"))
 
 
 def next_fit(lengths: DataFrame, size: int, scope: str | None = None) -> DataFrame:

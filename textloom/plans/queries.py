@@ -140,7 +140,7 @@ RULES = {
     "ocr_garbage": f"CASE WHEN {L} < 20 OR {N} = 0 THEN NULL WHEN {n_of('(?m)' + lex.OCR)} / {N} > 0.05 THEN 'ocr_density' END",
     "document_length": f"CASE WHEN {L} = 0 THEN 'empty_document' WHEN {L} < 50 THEN 'too_short' END",
     "unicode_quality": f"CASE WHEN regexp_matches(text, {q(normalize.ALL_CONTROLS)}) THEN 'control_chars' WHEN regexp_matches(text, '\\x{{fffd}}') THEN 'replacement_chars' WHEN {n_of('[\\x{10000}-\\x{10FFFF}]')} > 10 THEN 'non_bmp' END",
-    "language": f"CASE WHEN {L} < 50 OR {N} < 10 THEN NULL WHEN len(list_filter({W}, lambda w: list_contains({lex.ENGLISH!r}, regexp_replace(lower(w), '^[.,!?;:()]+|[.,!?;:()]+$', '', 'g')))) / {N} < 0.15 THEN 'non_english' WHEN {chars_sql('a-zA-Z')} / {L} < 0.5 THEN 'non_latin' END",
+    "language": f"CASE WHEN {L} < 50 OR {N} < 10 THEN NULL WHEN len(list_filter({W}, lambda w: list_contains({list(lex.ENGLISH)!r}, regexp_replace(lower(w), '^[.,!?;:()]+|[.,!?;:()]+$', '', 'g')))) / {N} < 0.15 THEN 'non_english' WHEN {chars_sql('a-zA-Z')} / {L} < 0.5 THEN 'non_latin' END",
 }
 
 
