@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor kept, with the columns of documents,
 and gives the same columns; the last gives packed pieces with their token ids.
+
+Null and empty texts are clean, equal to each other (one stays), near to nothing,
+and have no words to mix, so none of them is packed unless it comes to the last stage alone.
+Null ids, languages and sources are values like others. Rows that repeat are judged by their texts
+until exact deduplication leaves one. Ties go to ids, then to hashes of texts. An empty
+table passes through all stages as one.
 """
 
 from __future__ import annotations
