@@ -149,3 +149,10 @@ def test_early_stopping_with_a_delta(spark):
 def test_evaluation_items_are_marked(spark):
     rows = distill.evaluation_items(spark, [{"category": "math", "prompt": "1+1", "kind": "num", "gold": ["2"]}]).collect()
     assert rows[0].eval_only and not rows[0].train and rows[0].gold == ["2"]
+
+
+def test_semantic_duplicates_by_quality(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta"
+    texts = [(1, base, 0.5), (2, base, 0.5), (3, base, 0.9), (4, base, 0.7), (5, "other words that nobody else has", 0.1), (6, base, None), (7, "other words that nobody else has", None)]
+    df = spark.createDataFrame(texts, "seq long, text string, quality double")
+    assert {r.seq for r in dedup.semantic_dedup(spark, df).collect() if r.kept} == {1, 3, 5}

@@ -231,6 +231,18 @@ def tfidf_pairs(df: DataFrame, least: float = 0.92, most_features: int = 20_000)
     return both.groupBy("earlier", "later").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
+def semantic_dedup(spark: SparkSession, df: DataFrame, least: float = 0.92, most_features: int = 20_000) -> DataFrame:
+    """seq and kept of (seq, text, quality): a text goes when an earlier one that stayed is similar and of no lower quality.
+
+    So a better text stays beside an earlier similar one. A null quality is the lowest.
+    """
+    quality = df.select("seq", F.coalesce(F.col("quality").cast("double"), F.lit(float("-inf"))).alias("q"))
+    pairs = tfidf_pairs(df.select("seq", "text"), least, most_features)
+    ends = pairs.join(quality.toDF("earlier", "q_earlier"), "earlier").join(quality.toDF("later", "q_later"), "later")
+    stays = greedy_over_links(spark, df, ends.filter("q_later <= q_earlier"))
+    return df.select("seq").join(stays.withColumn("kept", F.lit(True)), "seq", "left").select("seq", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 # Tiers and windows
 
 

@@ -146,6 +146,12 @@ def sliding_near_dedup(spark, sf_dir):
     return dedup.sliding_near_dedup(spark, docs(spark, sf_dir)).withColumnRenamed("seq", "doc_id")
 
 
+@query("semantic_dedup")
+def semantic_dedup(spark, sf_dir):
+    """The number of characters stands for quality."""
+    return dedup.semantic_dedup(spark, docs(spark, sf_dir).withColumn("quality", F.col("n_chars"))).withColumnRenamed("seq", "doc_id")
+
+
 @query("dedup_tiers")
 def dedup_tiers(spark, sf_dir):
     return dedup.tiers(spark, docs(spark, sf_dir)).select(F.col("seq").alias("doc_id"), F.coalesce("reason", F.lit("kept")).alias("reason"))
