@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
+from .divergence import source_divergence
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .line_quality import line_quality
@@ -19,6 +21,7 @@ from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .quotations import link_quotations, reply_ordered
+from .sharding import shard_rows
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 
@@ -83,6 +86,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "p_low_quality", "p_toxic", (~F.col("rejected")).alias("kept"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(spark, documents(spark, sf_dir))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(spark, documents(spark, sf_dir))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No groups are kept together and no key decides: the shuffle is uniform, so there is no ``grown_shard``."""
+    found = shard_rows(spark, documents(spark, sf_dir))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -94,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_alignment": op12_alignment,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE: dict[str, str] = {
@@ -173,6 +193,38 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id
     """,
+    "op11_source_divergence": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+            FROM documents
+        ), t AS (
+            SELECT i, lang, source, unnest(ts) AS term FROM d
+        ), kept AS (
+            SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 10
+        ), v AS (
+            SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+        ), c AS (
+            SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+        ), g AS (
+            SELECT lang, source, sum(n) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL
+        ), p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                   1 + (1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT) // (coalesce(g.total, 0) + 2 * v.v)::HUGEINT AS p,
+                   1 + (1000000000 * (k.n + 2)::HUGEINT) // (v.total + 2 * v.v)::HUGEINT AS q
+            FROM g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), pair AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), everything AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+        FROM everything QUALIFY part = 'pair' OR rank <= 10
+    """,
     "op4_quotations": r"""
         WITH RECURSIVE line AS (
             SELECT conv_id, turn, i, l, len(regexp_replace(regexp_extract(l, '^((?:[ \t]*>)+) ?', 1), '[^>]', '', 'g')) AS level,
