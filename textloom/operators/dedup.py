@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..storage import Tables, by_size
+from .graphs import greedy_over_buckets, greedy_over_links
 from .keys import first_by_key, first_of_keys, scoped
 from .normalize import ascii_dedup_text, dedup_text
 from .tokens import offsets
@@ -36,44 +37,6 @@ def quota(df: DataFrame, n: int, *scope: str) -> DataFrame:
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def greedy_over_buckets(spark: SparkSession, members: DataFrame) -> DataFrame:
-    """seq of the rows that stay when rows come in order and each goes that shares a bucket with one that stayed.
-
-    ``members``: seq, bucket. This is the lexicographically first maximal
-    independent set: a row stays once it is the least undecided one of all its
-    buckets; what shares a bucket with it goes. Rounds are few (logarithmic in
-    practice); each is two aggregations and a join.
-    """
-    tables = Tables(spark)
-    left = tables.keep(members.select("seq", "bucket").distinct())
-    kept = left.select("seq").limit(0)
-    while not left.isEmpty():
-        least = left.groupBy("bucket").agg(F.min("seq").alias("least"))
-        seen = left.join(least, "bucket")
-        now = tables.keep(seen.groupBy("seq").agg(F.bool_and(F.col("seq") == F.col("least")).alias("stays")).filter("stays").select("seq"))
-        hit = left.join(now, "seq", "left_semi").select("bucket").distinct()
-        gone = left.join(hit, "bucket", "left_semi").select("seq").distinct()
-        kept = kept.unionByName(now)
-        left = tables.keep(left.join(gone, "seq", "left_anti"))
-    return kept
-
-
-def greedy_over_links(spark: SparkSession, rows: DataFrame, links: DataFrame) -> DataFrame:
-    """seq of ``rows`` that stay when each goes that an earlier one that stayed is linked to (``links``: earlier, later)."""
-    tables = Tables(spark)
-    links = tables.keep(links.select("earlier", "later").distinct())
-    left = tables.keep(links.select(F.explode(F.array("earlier", "later")).alias("seq")).distinct())
-    kept = rows.select("seq").join(left, "seq", "left_anti")
-    while not left.isEmpty():
-        now = tables.keep(left.join(links.select(F.col("later").alias("seq")), "seq", "left_anti"))
-        gone = tables.keep(links.join(now.withColumnRenamed("seq", "earlier"), "earlier", "left_semi").select(F.col("later").alias("seq")).distinct())
-        kept = kept.unionByName(now)
-        done = now.unionByName(gone).distinct()
-        left = tables.keep(left.join(done, "seq", "left_anti"))
-        links = tables.keep(links.join(done.withColumnRenamed("seq", "earlier"), "earlier", "left_anti").join(done.withColumnRenamed("seq", "later"), "later", "left_anti"))
-    return kept
-
-
 # MinHash
 
 PRIME = (1 << 32) - 1
@@ -213,14 +176,15 @@ def tfidf_vectors(df: DataFrame, most_features: int = 20_000) -> DataFrame:
     return weighed.join(norm, "seq").select("seq", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def tfidf_pairs(df: DataFrame, least: float = 0.92, most_features: int = 20_000) -> DataFrame:
-    """earlier, later, similarity: cosine of TF-IDF rows.
+def tfidf_pairs(df: DataFrame, least: float = 0.92, most_features: int = 20_000, only: DataFrame | None = None) -> DataFrame:
+    """earlier, later, similarity: cosine of TF-IDF rows, of all of them or between those of ``only`` (seq).
 
     Terms in order from rare to common: a pair is only met on a term up to which
     a row's share of length leaves less than ``least`` behind; the rest of its terms can't
     make up a similar pair alone.
     """
     v = tfidf_vectors(df, most_features)
+    v = v if only is None else Tables(df.sparkSession).keep(v.join(only, "seq", "left_semi"))
     often = v.groupBy("term").agg(F.count("*").alias("df"))
     v = v.join(often, "term")
     behind = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("seq").orderBy(F.desc("df"), "term"))
@@ -231,15 +195,35 @@ def tfidf_pairs(df: DataFrame, least: float = 0.92, most_features: int = 20_000)
     return both.groupBy("earlier", "later").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
+def best_so_far(rows: DataFrame, cell_rows: int = 20_000) -> DataFrame:
+    """seq of the rows (seq, k, q) with a greater q than all earlier rows of their key; in two phases, by cells of the order."""
+    cells = rows.withColumn("cell", F.floor(F.col("seq") / cell_rows))
+    before = lambda *parts: Window.partitionBy(*parts[:-1]).orderBy(parts[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    tops = cells.groupBy("k", "cell").agg(F.max("q").alias("top")).withColumn("top", F.max("top").over(before("k", "cell")))
+    seen = cells.withColumn("own", F.max("q").over(before("k", "cell", "seq"))).join(tops, ["k", "cell"])
+    return seen.filter((F.col("q") > F.greatest("own", "top")) | (F.col("own").isNull() & F.col("top").isNull())).select("seq")
+
+
 def semantic_dedup(spark: SparkSession, df: DataFrame, least: float = 0.92, most_features: int = 20_000) -> DataFrame:
     """seq and kept of (seq, text, quality): a text goes when an earlier one that stayed is similar and of no lower quality.
 
     So a better text stays beside an earlier similar one. A null quality is the lowest.
+
+    Of equal texts, one that isn't better than all before it goes in any case: by an earlier copy that stayed, or by
+    what that copy went for. One that is better isn't touched by its earlier copies. So copies make no pairs with each other,
+    and only those that are better than all before them are held against other texts.
     """
-    quality = df.select("seq", F.coalesce(F.col("quality").cast("double"), F.lit(float("-inf"))).alias("q"))
-    pairs = tfidf_pairs(df.select("seq", "text"), least, most_features)
-    ends = pairs.join(quality.toDF("earlier", "q_earlier"), "earlier").join(quality.toDF("later", "q_later"), "later")
-    stays = greedy_over_links(spark, df, ends.filter("q_later <= q_earlier"))
+    tables = Tables(spark)
+    quality = tables.keep(df.select("seq", F.sha2("text", 256).alias("k"), F.coalesce(F.col("quality").cast("double"), F.lit(float("-inf"))).alias("q")))
+    worded = quality.filter("k IS NOT NULL")
+    better = tables.keep(best_so_far(worded))
+    pairs = tfidf_pairs(df.select("seq", "text"), least, most_features, better)
+    ends = pairs.join(quality.select(F.col("seq").alias("earlier"), F.col("k").alias("k_earlier"), F.col("q").alias("q_earlier")), "earlier")
+    ends = ends.join(quality.select(F.col("seq").alias("later"), F.col("k").alias("k_later"), F.col("q").alias("q_later")), "later")
+    # A text without any of the terms is similar to nothing, its copies too.
+    vectors = tables.keep(tfidf_vectors(df.select("seq", "text"), most_features).select("seq").distinct())
+    copies = worded.join(vectors, "seq", "left_semi").join(better, "seq", "left_anti").select("seq")
+    stays = greedy_over_links(spark, df.join(copies, "seq", "left_anti"), ends.filter("k_earlier <> k_later AND q_later <= q_earlier"))
     return df.select("seq").join(stays.withColumn("kept", F.lit(True)), "seq", "left").select("seq", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
@@ -252,45 +236,60 @@ def word_sets(df: DataFrame) -> DataFrame:
     return shingle_sets(df.withColumn("text", spaced), 1)
 
 
-def within_window(spark: SparkSession, rows: DataFrame, links: DataFrame, window: int) -> DataFrame:
-    """seq of the rows (seq) that stay when each goes that is linked to one of the last ``window`` rows that stayed.
+def within_window(spark: SparkSession, members: DataFrame, links: DataFrame, window: int, start: DataFrame) -> DataFrame:
+    """seq of the rows that stay when each goes that is similar to one of the last ``window`` rows that stayed.
+
+    ``members`` (seq, rep): all rows, with one that stands for each group of equal ones; ``links`` (u, v): similar groups; ``start``
+    (seq): a guess of what stays.
 
-    Which links lie within the window depends on what stays between their ends. So the
-    rows are decided with all links, links that then span too many kept rows are left out, and
-    so on until nothing changes: what stays up to any row is right once all before it is, so
-    each round fixes more of the beginning, and a state that stands still is that of the loop.
+    By the guess, each row has a place: the number of rows before it that stay. A row is linked to those rows that stay by the
+    guess, are of its own or a similar group and lie up to ``window`` places back: one or two for each such group,
+    however many copies it has. Deciding over these links gives the next guess. Once all rows before a row are right, so are its links,
+    so each round fixes more of the beginning, and a guess that stands still is what the loop gives. Where texts come back time
+    and again after more than ``window`` others, rounds can be as many as windows follow each other; a
+    table of that kind is better cleaned as a stream (``streaming.near``).
     """
     tables = Tables(spark)
-    active, kept = links, None
+    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    own = members.select(F.col("rep").alias("u"), F.col("rep").alias("v")).distinct()
+    near = tables.keep(both.unionByName(own).distinct())
+    stays, before = start, None
     while True:
-        stays = tables.keep(greedy_over_links(spark, rows, active))
+        stays = tables.keep(stays.select("seq"))
         state = stays.agg(F.count("*"), F.sum(F.xxhash64("seq").cast("decimal(38,0)"))).first()
-        if state == kept or state[0] <= window:
+        if state == before:
             return stays
-        kept = state
-        before = offsets(rows.join(stays.withColumn("one", F.lit(1)), "seq", "left").withColumn("one", F.coalesce("one", F.lit(0))), "one").select("seq", F.col("start").alias("before"))
-        before = tables.keep(before)
-        ends = links.join(before.toDF("earlier", "b_earlier"), "earlier").join(before.toDF("later", "b_later"), "later")
-        active = tables.keep(ends.filter(F.col("b_later") - F.col("b_earlier") <= window).select("earlier", "later"))
+        before = state
+        marked = members.join(stays.withColumn("one", F.lit(1)), "seq", "left").withColumn("one", F.coalesce("one", F.lit(0)))
+        placed = tables.keep(offsets(marked, "one").withColumn("cell", F.floor(F.col("start") / window)))
+        last = placed.filter("one = 1").groupBy(F.col("rep").alias("v"), "cell").agg(F.collect_list(F.struct("start", "seq")).alias("stood"))
+        # Only rows that some row of a similar group can meet: those whose group is looked for.
+        cells = F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell")
+        asked = tables.keep(placed.join(near.withColumnRenamed("u", "rep"), "rep").select("seq", "v", F.col("start").alias("at"), cells))
+        asked = asked.withColumn("key", F.struct("v", "cell"))
+        sizes = asked.groupBy("key").agg(F.count("*").alias("n"))
+        last = tables.keep(last.select(F.struct("v", "cell").alias("key"), "stood").join(sizes, "key"))
+        met = by_size(asked.select("seq", "at", "key"), last, "key", "n")
+        behind = F.filter("stood", lambda s: (s["start"] < F.col("at")) & (F.col("at") - s["start"] <= window))
+        active = met.select(F.col("seq").alias("later"), F.explode(behind).alias("s")).select(F.col("s.seq").alias("earlier"), "later")
+        stays = greedy_over_links(spark, members, tables.keep(active))
 
 
 def sliding_near_dedup(spark: SparkSession, df: DataFrame, k: int = 3, least: float = 0.8, window: int = 10_000) -> DataFrame:
     """seq and kept: a text goes when one of the last ``window`` that stayed before it is similar enough.
 
-    Similarity is that of k-word shingle sets (of fewer words: word sets); two empty texts are equal. While
-    no more than ``window`` rows stay, the window holds all, and copies are one to the join; beyond that all pairs of
-    similar rows are needed, those of copies too.
+    Similarity is that of k-word shingle sets (of fewer words: word sets); two empty texts are equal, null counts as empty. Copies are one
+    to the join, at any number of rows. While no more than ``window`` rows stay, the window holds all of them.
     """
-    rows = df.select("seq")
-    empty = df.filter(ascii_dedup_text(F.coalesce("text", F.lit(""))) == "").select("seq")
-    first = empty.agg(F.min("seq").alias("first"))
-    blank = empty.join(F.broadcast(first)).filter("seq > first").select(F.col("first").alias("earlier"), F.col("seq").alias("later"))
-    if rows.count() <= window:
-        near = near_dedup(spark, df, k, least)
-        return near.join(blank.select(F.col("later").alias("seq"), F.lit(True).alias("gone")), "seq", "left").select("seq", (F.col("kept") & F.col("gone").isNull()).alias("kept"))
-    links = Tables(spark).keep(jaccard_pairs(spark, df, k, least).select("earlier", "later").unionByName(blank))
-    stays = within_window(spark, rows, links, window)
-    return rows.join(stays.withColumn("kept", F.lit(True)), "seq", "left").select("seq", F.coalesce("kept", F.lit(False)).alias("kept"))
+    tables = Tables(spark)
+    df = df.select(F.col("seq").cast("long").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
+    found, links = similar_sets(spark, df, k, least)
+    blank = df.join(found, "seq", "left_anti").select("seq")
+    members = tables.keep(found.unionByName(blank.join(F.broadcast(blank.agg(F.min("seq").alias("rep"))))))
+    stays = tables.keep(greedy_over_links(spark, members.filter("seq = rep").select("seq"), links))
+    if stays.count() > window:
+        stays = within_window(spark, members, links.select(F.col("earlier").alias("u"), F.col("later").alias("v")), window, stays)
+    return members.select("seq").join(stays.withColumn("kept", F.lit(True)), "seq", "left").select("seq", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def tiers(spark: SparkSession, df: DataFrame, exact: bool = True, minhash: bool = True, sliding: bool = True, **window) -> DataFrame:
