@@ -14,7 +14,7 @@ from .common import ASCII_LOWER, BROADCAST_ROWS, Scratch, lean, pick, raw_bytes
 #: A term is a run of ASCII letters and of bytes beyond ASCII; here all else becomes a space, and A-Z lower case.
 TERMS = bytes(ASCII_LOWER[c] if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 #: Entries of the tables that a counting task holds before it hands them on.
-HELD = 250_000
+HELD = 500_000
 #: Buckets of counts to an octave.
 BUCKETS = 4
 #: The first wave of the term search takes k rows at least; the growth from wave to wave.
@@ -27,15 +27,16 @@ def count_terms(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), d (documents); and a row with a null term for each group seen."""
 
     def count(batches):
-        held: dict[tuple, list] = {}
+        held: dict[tuple, tuple] = {}
+        names = ["lang", "source", "term", "n", "d"]
 
         def rows():
-            out = [(lang, source, term, n, d[term]) for (lang, source), (ns, d) in held.items() for term, n in ns.items()]
-            out += [(*group, None, 0, 0) for group in held]
-            for start in range(0, len(out), 50_000):
-                columns = zip(*out[start : start + 50_000])
-                kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "source", "term", "n", "d"])
+            """A batch for each group: its terms, and one without a term."""
+            for (lang, source), (n, d) in held.items():
+                size = len(n) + 1
+                terms, docs = pa.array([*n, None], pa.binary()), pa.array([*map(d.__getitem__, n), 0], pa.int64())
+                columns = [pa.repeat(pa.scalar(x, pa.binary()), size) for x in (lang, source)]
+                yield pa.record_batch([*columns, terms, pa.array([*n.values(), 0], pa.int64()), docs], names=names)
             held.clear()
 
         size = 0
@@ -45,12 +46,10 @@ def count_terms(docs: DataFrame) -> DataFrame:
                 for text, lang, source in zip(*[raw_bytes(part.column(k)) for k in range(3)]):
                     group = held.get((lang, source))
                     if group is None:
-                        group = held[lang, source] = [collections.Counter(), collections.Counter()]
-                    own = collections.Counter((text or b"").translate(TERMS).split())
-                    before = len(group[0])
-                    for term, n in own.items():
-                        group[0][term] += n
-                    group[1].update(own.keys())
+                        group = held[lang, source] = (collections.Counter(), collections.Counter())
+                    terms, before = (text or b"").translate(TERMS).split(), len(group[0])
+                    group[0].update(terms)
+                    group[1].update(set(terms))
                     size += len(group[0]) - before
                     if size >= HELD:
                         yield from rows()
