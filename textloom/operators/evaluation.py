@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Tables
+from .series import in_cells, placed, running, with_neighbours
+
 
 def multiple_choice(choices: DataFrame) -> DataFrame:
     """accuracy, mean_loss, perplexity of (example, choice, loss, label): the least loss is chosen, the first of equals."""
@@ -39,50 +43,68 @@ def calibration_error(bins: DataFrame) -> DataFrame:
 
 
 def loss_spikes(series: DataFrame, window: int = 100, threshold: float = 2.0) -> DataFrame:
-    """spike: the value is over ``threshold`` times the mean of its last ``window`` values; false until there are as many."""
-    w = Window.partitionBy("series").orderBy("step").rowsBetween(-(window - 1), 0)
-    return series.withColumn("mean", F.avg("value").over(w)).withColumn("spike", (F.count("*").over(w) == window) & (F.col("value") > threshold * F.col("mean")))
+    """spike: the value is over ``threshold`` times the mean of its last ``window`` values; false until there are as many. Steps differ in a series."""
+    rows = with_neighbours(placed(series, "step"), window - 1)
+    w = Window.partitionBy("series", "_block").orderBy("step").rowsBetween(-(window - 1), 0)
+    found = rows.withColumn("mean", F.avg("value").over(w)).withColumn("spike", (F.count("*").over(w) == window) & (F.col("value") > threshold * F.col("mean")))
+    return found.filter("_own").select(*series.columns, "mean", "spike")
 
 
 def early_stopping(series: DataFrame, patience: int, min_delta: float = 0.0) -> DataFrame:
     """bad: evaluations since the last improvement, which is a value under the best by more than ``min_delta``; stop: it has reached ``patience``.
 
-    Without a delta the best is a running minimum. With one it depends on the way there, and each series,
-    a run's evaluations, is folded in order.
+    Without a delta the best is a running minimum, made in two phases. With one it depends on the way there, and each series
+    streams through one task, in order and in constant memory. Steps differ in a series.
     """
-    order = Window.partitionBy("series").orderBy("step")
     if not min_delta:
-        best = F.min("value").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        better = series.withColumn("better", F.coalesce(F.col("value") < best, F.lit(True)))
-        run = better.withColumn("run", F.sum(F.col("better").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        bad = F.row_number().over(Window.partitionBy("series", "run").orderBy("step")) - 1
-        return run.withColumn("bad", bad).withColumn("stop", F.col("bad") >= patience).drop("run")
-
-    def fold(frame):
-        frame = frame.sort_values("step", kind="stable")
-        best, bad, out, better = float("inf"), 0, [], []
-        for value in frame["value"]:
-            improved = value < best - min_delta
-            best, bad = (value, 0) if improved else (best, bad + 1)
-            out.append(bad)
-            better.append(improved)
-        return frame.assign(better=better, bad=out, stop=[n >= patience for n in out])
+        best = running(placed(series, "step"), F.col("value"), "_best", F.min, "step")
+        better = best.withColumn("better", F.coalesce(F.col("value") < F.col("_best"), F.lit(True)))
+        last = running(better, F.when(F.col("better"), F.col("_at")), "_last", F.max, "step")
+        bad = F.when(F.col("better"), 0).otherwise(F.col("_at") - F.col("_last")).cast("int")
+        return last.withColumn("bad", bad).withColumn("stop", F.col("bad") >= patience).select(*series.columns, "better", "bad", "stop")
+    at = {name: i for i, name in enumerate(series.columns)}
+
+    def fold(batches):
+        here, best, bad = object(), float("inf"), 0
+        for b in batches:
+            out, better = [], []
+            for name, value in zip(b.column(at["series"]).to_pylist(), b.column(at["value"]).to_pylist()):
+                if name != here:
+                    here, best, bad = name, float("inf"), 0
+                improved = value is not None and value < best - min_delta
+                best, bad = (value, 0) if improved else (best, bad + 1)
+                out.append(bad)
+                better.append(improved)
+            more = [pa.array(better, pa.bool_()), pa.array(out, pa.int32()), pa.array([n >= patience for n in out], pa.bool_())]
+            yield pa.record_batch([*b.columns, *more], names=[*b.schema.names, "better", "bad", "stop"])
 
     schema = ", ".join(f"`{c}` {kind}" for c, kind in series.dtypes) + ", better boolean, bad int, stop boolean"
-    return series.groupBy("series").applyInPandas(fold, schema)
+    return series.repartition("series").sortWithinPartitions("series", "step").mapInArrow(fold, schema)
 
 
 def growth(series: DataFrame) -> DataFrame:
     """rate: change of value per second since the row before, elapsed time counted as a second at least."""
-    order = Window.partitionBy("series").orderBy("ts", "seq")
+    order = Window.partitionBy("series", "_block").orderBy("ts", "seq")
     elapsed = F.greatest(F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(order), F.lit(1.0))
-    return series.withColumn("rate", (F.col("value") - F.lag("value").over(order)) / elapsed)
+    rows = with_neighbours(placed(series, "ts", "seq"), 1).withColumn("rate", (F.col("value") - F.lag("value").over(order)) / elapsed)
+    return rows.filter("_own").select(*series.columns, "rate")
 
 
 def rolling_count(events: DataFrame, seconds: int) -> DataFrame:
-    """n_recent: events of the series in the ``seconds`` up to and with each."""
-    at = F.unix_micros("ts")
-    return events.withColumn("n_recent", F.count("*").over(Window.partitionBy("series").orderBy(at).rangeBetween(-seconds * 1_000_000, 0)))
+    """n_recent: events of the series in the ``seconds`` up to and with each.
+
+    Events up to each moment less those before the moment ``seconds`` earlier: both are running sums over the
+    moments of a series, so neither a busy series nor a busy minute is in one task.
+    """
+    timed = events.withColumn("_t", F.unix_micros("ts"))
+    moments = timed.groupBy("series", "_t").agg(F.count("*").alias("_n"))
+    asked = moments.select("series", (F.col("_t") - seconds * 1_000_000).alias("_t"), F.lit(0).cast("long").alias("_n"), F.lit(0).alias("_kind"))
+    both = in_cells(asked.unionByName(moments.withColumn("_kind", F.lit(1))), "_t", "_kind")
+    sums = Tables(events.sparkSession).keep(running(both, F.col("_n"), "_before", F.sum, "_t", "_kind"))
+    upto = sums.filter("_kind = 1").select("series", "_t", (F.col("_before") + F.col("_n")).alias("_upto"))
+    low = sums.filter("_kind = 0").select("series", (F.col("_t") + seconds * 1_000_000).alias("_t"), F.col("_before").alias("_low"))
+    found = upto.join(low, ["series", "_t"]).select("series", "_t", (F.col("_upto") - F.col("_low")).alias("n_recent"))
+    return timed.join(found, ["series", "_t"]).select(*events.columns, "n_recent")
 
 
 def comparison(results: DataFrame, labels: list[str]) -> DataFrame:

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tokens that a reader checks against the vocabulary before it trusts a stream.
-CHECKED = 100_000
-MANIFEST = "metadata.json"
+from ..sources.token_source import TokenStream, qualified, read_manifest
 
 
 def encode(df: DataFrame, tokenizer_file: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -44,97 +38,24 @@ def decode(df: DataFrame, tokenizer_file: str, without: tuple[int, ...] = ()) ->
     return df.select(F.col("seq").cast("long").alias("seq"), "ids").mapInArrow(run, "seq long, text string")
 
 
-def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
-def width_of(vocabulary: int) -> str:
-    """The least unsigned integer type that holds every id."""
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
-
-
-def write_stream(tokens: DataFrame, path: str, vocabulary: int, last: int | None = None) -> dict:
-    """(seq, ids) in order of seq as files tokens-00000.bin ... in a folder that all machines share; gives the manifest.
-
-    Each partition writes a file named by its number, so a task that is run again
-    writes the same file. The manifest names the files in order, with their documents and
-    tokens, and is written last: a folder without one is no stream.
-    """
-    kind = width_of(vocabulary)
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        name = f"tokens-{TaskContext.get().partitionId():05d}.bin"
-        store, root = _filesystem(path)
-        docs = count = highest = 0
-        with store.open_output_stream(f"{root}/{name}") as out:
-            for b in batches:
-                for ids in b.column(0).to_pylist():
-                    part = np.array([*(ids or ()), *(() if last is None else (last,))], dtype=np.int64)
-                    docs, count, highest = docs + 1, count + len(part), max(highest, int(part.max(initial=0)))
-                    if highest >= vocabulary or part.min(initial=0) < 0:
-                        raise ValueError(f"an id lies outside the vocabulary of {vocabulary}")
-                    out.write(part.astype(kind).tobytes())
-        yield pa.record_batch([pa.array([name]), pa.array([docs], pa.int64()), pa.array([count], pa.int64())], names=["file", "docs", "tokens"])
-
-    store, root = _filesystem(path)
-    store.create_dir(root, recursive=True)
-    ordered = tokens.select("seq", "ids").orderBy("seq").select("ids")  # by range: each file holds a run of the order
-    parts = [r.asDict() for r in ordered.mapInArrow(run, "file string, docs long, tokens long").collect()]
-    manifest = {"dtype": kind, "vocabulary": vocabulary, "docs": sum(p["docs"] for p in parts), "tokens": sum(p["tokens"] for p in parts), "parts": sorted(parts, key=lambda p: p["file"])}
-    with store.open_output_stream(f"{root}/{MANIFEST}") as out:
-        out.write(json.dumps(manifest).encode())
-    return manifest
-
-
-def read_manifest(path: str) -> dict:
-    store, root = _filesystem(path)
-    with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-        return json.loads(f.read())
+def write_stream(tokens: DataFrame, path: str, vocabulary: int, last: int | None = None, overwrite: bool = False) -> dict:
+    """(seq, ids) in order of seq as a token stream (``sources.token_source``); gives its manifest. A null array is an empty document."""
+    spark = tokens.sparkSession
+    spark.dataSource.register(TokenStream)
+    uri = qualified(spark, path)
+    ordered = tokens.select("seq", "ids").orderBy("seq")  # by range: each file holds a run of the order
+    write = ordered.write.format("token_stream").mode("overwrite" if overwrite else "append").option("vocabulary", vocabulary)
+    (write if last is None else write.option("end", last)).save(uri)
+    return read_manifest(uri)
 
 
 def read_stream(spark: SparkSession, path: str, block: int = 1024) -> DataFrame:
     """start, ids: a stream in blocks of ``block`` tokens; the last one may be short.
 
-    The element type is the manifest's. A stream of which an early token lies outside the vocabulary is refused.
-    Blocks that lie across files are put together from both.
+    The element type is the manifest's. A stream with a token outside the vocabulary is refused.
     """
-    manifest = read_manifest(path)
-    kind = np.dtype(manifest["dtype"])
-    parts, at = [], 0
-    for p in manifest["parts"]:
-        parts.append((p["file"], at, p["tokens"]))
-        at += p["tokens"]
-    store, root = _filesystem(path)
-    left = CHECKED
-    for name, _, _ in parts:
-        if left:
-            with store.open_input_stream(f"{root}/{name}") as f:
-                seen = np.frombuffer(f.read(left * kind.itemsize), kind)
-            if len(seen) and int(seen.max()) >= manifest["vocabulary"]:
-                raise ValueError(f"{path}: id {int(seen.max())} lies outside the vocabulary of {manifest['vocabulary']}")
-            left -= len(seen)
-
-    def run(batches):
-        store, root = _filesystem(path)
-        for b in batches:
-            for name, base, n in zip(*(c.to_pylist() for c in b.columns)):
-                with store.open_input_stream(f"{root}/{name}") as f:
-                    done = 0
-                    while done < n:
-                        here = base + done
-                        size = min(n - done, block - here % block)
-                        ids = np.frombuffer(f.read(size * kind.itemsize), kind).astype(np.int64)
-                        yield pa.record_batch([pa.array([here], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], names=["start", "ids"])
-                        done += size
-
-    files = spark.createDataFrame(parts, "file string, base long, n long") if parts else spark.createDataFrame([], "file string, base long, n long")
-    pieces = files.repartition(max(1, len(parts)), "file").mapInArrow(run, "start long, ids array<long>")
-    whole = pieces.filter((F.col("start") % block == 0) & ((F.size("ids") == block)))
-    cut = pieces.filter(~((F.col("start") % block == 0) & (F.size("ids") == block)))  # two or so for each file
-    joined = cut.groupBy(F.floor(F.col("start") / block).alias("b")).agg(F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("p"))
-    return whole.unionByName(joined.select((F.col("b") * block).alias("start"), F.flatten(F.transform("p", lambda p: p["ids"])).alias("ids")))
+    spark.dataSource.register(TokenStream)
+    return spark.read.format("token_stream").option("block", block).load(qualified(spark, path))
 
 
 def tokenizer_statistics(tokens: DataFrame, unknown: int, vocabulary: int, lines: int = 10_000) -> DataFrame:

@@ -68,12 +68,12 @@ def shared_quota(spark, sf_dir):
     return corpora.shared_quota(parts, 300).select("config", F.col("seq").alias("doc_id"))
 
 
-CORPUS = "SELECT 'documents' AS source, doc_id AS seq, text FROM documents WHERE lang = 'en'"
+CORPUS = "SELECT 'documents' AS source, doc_id AS seq, text FROM documents"
 PLACED = f"SELECT *, row_number() OVER (ORDER BY md5('42:' || source || ':' || seq), source, seq) - 1 AS pos FROM ({CORPUS})"
 
 
 def _corpus(spark, sf_dir):
-    return docs(spark, sf_dir).filter("lang = 'en'").select(F.lit("documents").alias("source"), "seq", "text")
+    return docs(spark, sf_dir).select(F.lit("documents").alias("source"), "seq", "text")
 
 
 @query("anchor_appended", f"WITH c AS ({PLACED}) SELECT source, seq, pos FROM c UNION ALL SELECT 'anchor', item_id, (SELECT count(*) FROM c) + row_number() OVER (ORDER BY item_id) - 1 FROM benchmark")
