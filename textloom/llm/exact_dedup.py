@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import ASCII_LOWER, Scratch, Whole, by_hot_and_cold, pick, raw_bytes
+from .common import ASCII_LOWER, Scratch, Whole, by_hot_and_cold, delete, pick, raw_bytes, shared_dir
 
 
 @F.arrow_udf(BinaryType())
@@ -47,12 +47,17 @@ class DigestIndex:
     * Each batch adds a file to each bucket. A bucket of several files is sorted again
       when read; ``compact`` makes one of them.
     * An empty batch adds nothing and gives no rows.
+    * The files lie in ``folder``, by default in the folder that the cluster shares, and never in one of the driver's own.
     """
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None, folder: str | None = None):
         self.spark, self.table, self.fresh = spark, table, f"{table}__compact"
+        self.folder = folder or f"{shared_dir(spark)}/textloom-index"
         if self._exists(self.fresh):  # a compaction was cut short
-            spark.sql(f"DROP TABLE {self.fresh}" if self._exists(table) else f"ALTER TABLE {self.fresh} RENAME TO {table}")
+            if self._exists(table):
+                self._remove(self.fresh)
+            else:
+                spark.sql(f"ALTER TABLE {self.fresh} RENAME TO {table}")
         if self._exists(table):
             self.buckets = next(int(r.data_type) for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r.col_name == "Num Buckets")
         else:
@@ -63,7 +68,14 @@ class DigestIndex:
         return self.spark.catalog.tableExists(table)
 
     def _create(self, table: str) -> None:
-        self.spark.sql(f"CREATE TABLE {table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS")
+        path = f"{self.folder}/{table}-{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+
+    def _remove(self, table: str) -> None:
+        """The table and its files, which a table with a place of its own leaves behind."""
+        path = next(r.data_type for r in self.spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r.col_name == "Location")
+        self.spark.sql(f"DROP TABLE {table}")
+        delete(self.spark, path)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -117,12 +129,13 @@ class DigestIndex:
         self._create(self.fresh)
         # As an expression: of the bucketed column itself the shuffle would be left out, and then the bucketed scan too.
         self._write(self.read().withColumn("digest", F.substring("digest", 1, 32)), self.fresh)
-        self.spark.sql(f"DROP TABLE {self.table}")
+        self._remove(self.table)
         self.spark.sql(f"ALTER TABLE {self.fresh} RENAME TO {self.table}")
         self.spark.catalog.refreshTable(self.table)
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if self._exists(self.table):
+            self._remove(self.table)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, batches: int = 2) -> DataFrame:
