@@ -285,3 +285,55 @@ def test_shards_on_disk_are_whole_rows_in_order(spark, tmp_path):
     for s in range(3):
         slots = [r.slot for r in spark.read.parquet(str(tmp_path / "out" / f"shard={s}")).coalesce(1).collect()]
         assert slots == list(range(len(slots)))
+
+
+# 1 and 6, mended
+
+
+def test_the_index_lies_in_the_shared_folder(spark):
+    """And its files go with it, also those that a compaction replaces."""
+    import os
+
+    from textloom.llm.common import shared_dir
+    from textloom.llm.exact_dedup import DigestIndex
+
+    index = DigestIndex(spark, "textloom_test_place", buckets=2)
+    folder = f"{shared_dir(spark)}/textloom-index".removeprefix("file://")
+    mine = lambda: [x for x in os.listdir(folder) if x.startswith("textloom_test_place")]
+    try:
+        index.append(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))
+        index.append(spark.createDataFrame([(3, "c")], "doc_id long, text string"))
+        assert len(mine()) == 1
+        index.compact()
+        assert len(mine()) == 1 and index.read().count() == 3
+        assert DigestIndex(spark, "textloom_test_place").read().count() == 3
+    finally:
+        index.drop()
+    assert mine() == []
+
+
+def test_lines_each():
+    from textloom.llm.line_quality import lines_each
+
+    for lengths, most in (([5, 1, 9], 100), ([200_001, 3, 4, 5], 1000), ([7] * 50, 100), ([0, 0], 10), ([], 10), ([10**6] * 30, 10)):
+        n = lines_each(lengths, most)
+        assert n >= 1 and (n == 1 or sum(min(x, n) for x in lengths) <= max(most, 1))
+        assert n >= max(1, *lengths, 1) or sum(min(x, n + 1) for x in lengths) > most
+
+
+def test_a_long_labelled_document_shuts_out_no_other(spark):
+    """One document of 200,001 lines, whose id comes first in the order of the sample, leaves the others' labels their say."""
+    from textloom.llm.line_quality import held_out, line_quality
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    ids = spark.range(10**6, 10**6 + 2000).select(F.col("id").alias("doc_id")).filter(~held_out(F.col("doc_id")))
+    first = ids.orderBy(F.crc32(F.col("doc_id").cast("string"))).first().doc_id
+    long = spark.createDataFrame([(first, "\n".join(f"line {i % 7} of a text" for i in range(200_001)))], "doc_id long, text string")
+    more = spark.createDataFrame([(first, 1, 0)], "doc_id long, quality int, toxic int")
+    found = line_quality(spark, docs.unionByName(long), labels.select("doc_id", "quality", "toxic").unionByName(more.select("doc_id", F.col("quality").cast(labels.schema["quality"].dataType), F.col("toxic").cast(labels.schema["toxic"].dataType))))
+    scored = found.join(labels.select("doc_id", "quality"), "doc_id").filter("held_out").collect()
+    assert len({r.score for r in scored}) > 50
+    assert sum(r.predicted == r.quality for r in scored) >= 0.99 * len(scored)

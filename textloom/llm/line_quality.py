@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, lean, pick, raw_bytes
@@ -214,13 +214,23 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 4000, most_lines: int = 200_000) -> QualityModel:
+def lines_each(n_lines: list[int], most_lines: int) -> int:
+    """The most lines of a document with which all documents together have ``most_lines`` at most (one each at least)."""
+    left, rest = most_lines, len(n_lines)
+    for n in sorted(n_lines):
+        if n * rest > left:
+            return max(1, left // rest)
+        left, rest = left - n, rest - 1
+    return max(1, *n_lines, 1)
+
+
+def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 4000, most_lines: int = 200_000, most_each: int = 2000) -> QualityModel:
     """A model of labels.quality from labelled documents that are not held out.
 
     Of at most ``sample`` documents, those with the smallest hash of their id, features are
-    made by the executors. The driver gets them, not texts: of the documents in
-    that order as many as have ``most_lines`` lines in all (15 numbers a line).
-    Without usable labels (none, or one kind only) the model gives their share to all.
+    made by the executors. The driver gets them, not texts: ``most_lines`` lines in all (18 numbers a line) and ``most_each`` of a
+    document. If there are more, the longest documents are each represented by as long a run of neighbouring lines as fits, from a place
+    that a hash of the id names; every sampled document takes part. Of rows that share an id the one with the fewest lines does. Without usable labels (none, or one kind only) the model gives their share to all.
     """
     rows = labelled_sample(docs, labels, ["quality"], sample, ~held_out(F.col("doc_id")))
     schema = "doc_id long, quality int, n_lines long, own binary, lengths binary"
@@ -234,9 +244,14 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample:
             )
 
     scratch = Scratch(spark)
-    made = scratch.keep(rows.select("doc_id", "quality", "text").mapInArrow(extract, schema))
-    upto = Window.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id", F.md5("own"), F.md5("lengths"))  # over the sample alone
-    found = made.withColumn("upto", F.sum("n_lines").over(upto.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") <= most_lines).collect()
+    made = rows.select("doc_id", "quality", "text").mapInArrow(extract, schema)
+    made = made.groupBy("doc_id").agg(F.min(F.struct("n_lines", "own", "lengths", "quality")).alias("x"))
+    made = scratch.keep(made.select("doc_id", "x.*"))
+    most = lines_each([r.n_lines for r in made.select("n_lines").collect()], most_lines)
+    most = min(most, most_each)
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.col("n_lines") - most + 1, F.lit(1)))
+    run = lambda c, width: F.substring(c, (start * width + 1).cast("int"), F.lit(most * width)).alias(c)
+    found = made.select("doc_id", "quality", F.least("n_lines", F.lit(most)).alias("n_lines"), run("own", 4 * OWN), run("lengths", 8)).collect()
     found.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.own), bytes(r.lengths)))
     scratch.drop(made)
     own = np.frombuffer(b"".join(bytes(r.own) for r in found), np.float32).reshape(-1, OWN)
