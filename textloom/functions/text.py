@@ -95,6 +95,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def jaccard_or(a: Column, b: Column, both_empty: float | None, one_empty: float | None = 0.0) -> Column:
+    """Jaccard with a value of its own where both sets or one of them are empty: 1 and 0, 0 and 0, or null (the pair doesn't count)."""
+    value = lambda x: F.lit(x).cast("double")
+    n, m = F.size(a), F.size(b)
+    return F.when((n == 0) & (m == 0), value(both_empty)).when((n == 0) | (m == 0), value(one_empty)).otherwise(jaccard(a, b))
+
+
 def estimated_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
 

@@ -67,6 +67,17 @@ def by_dimension(df: DataFrame, *dimensions: str) -> DataFrame:
     )
 
 
+def build_stats(df: DataFrame, *dimensions: str) -> DataFrame:
+    """dimension, value, docs, mean_quality of the kept rows (reason is null) of (quality, reason, ...), in all and by each dimension; of the others docs by reason.
+
+    One pass: each row counts in a group for each dimension, and tasks add up before anything is shuffled.
+    """
+    group = lambda name, value: F.struct(F.lit(name).alias("dimension"), value.cast("string").alias("value"))
+    own = F.array(group("total", F.lit("all")), *[group(d, F.col(d)) for d in dimensions])
+    rows = df.select("quality", F.col("reason").isNull().alias("kept"), F.explode(F.when(F.col("reason").isNull(), own).otherwise(F.array(group("reason", F.col("reason"))))).alias("g"))
+    return rows.groupBy("g.dimension", "g.value").agg(F.count("*").alias("docs"), F.avg(F.when(F.col("kept"), F.col("quality"))).alias("mean_quality"))
+
+
 def bottom_k(df: DataFrame, k: int, seed: int, *columns: str) -> DataFrame:
     """A sample of k rows: those with the least hashes."""
     return df.withColumn("_key", shuffle_key(seed, *columns)).orderBy("_key", *columns).limit(k).drop("_key")

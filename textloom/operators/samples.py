@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import counting
@@ -116,3 +118,17 @@ def gold_score(kind: Column, response: Column, gold: Column) -> Column:
     share = F.size(F.filter(gold, lambda g: F.contains(low, F.lower(g)))) / F.greatest(F.size(gold), F.lit(1))
     close = (F.abs(number - want) <= 1e-3 * F.greatest(F.lit(1.0), F.abs(want))).cast("double")
     return F.coalesce(F.when(kind == "num", close).when(kind == "substr", all_in).when(kind == "any_substr", any_in).when(kind == "all_substr_ci", share).when(kind == "length_40", (F.length(tx.strip(response)) >= 40).cast("double")).when(kind == "json_check", extract_json(response).isNotNull().cast("double")), F.lit(0.0))
+
+
+#: Scores of a sample (response, reasoning, logprobs): functions that give a number or null. Others can be added.
+SCORERS = {
+    "confidence_score": lambda: confidence(F.col("logprobs")),
+    "reasoning_score": lambda: reasoning_score(F.col("reasoning"), F.col("response")),
+}
+
+
+def scored(df: DataFrame, least: dict[str, float]) -> DataFrame:
+    """``df`` with scores (a column for each of ``SCORERS``) and keep: no score is under its least; one that is null passes."""
+    out = df.withColumns({name: score() for name, score in SCORERS.items()})
+    keep = functools.reduce(lambda a, b: a & b, [F.coalesce(F.col(name) >= bound, F.lit(True)) for name, bound in least.items()], F.lit(True))
+    return out.withColumn("keep", keep)

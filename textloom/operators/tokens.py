@@ -33,6 +33,24 @@ def chunks(tokens: DataFrame, size: int) -> DataFrame:
     return whole.withColumn("all", ids).filter(F.size("all") == size + 1).select("chunk", F.slice("all", 1, size).alias("ids"), F.slice("all", 2, size).alias("labels"))
 
 
+def tail_blocks(tokens: DataFrame, fraction: float, size: int) -> DataFrame:
+    """block, ids: the last ``fraction`` of the tokens of (seq, ids), cut into blocks of ``size`` that don't overlap; a short last one is left out.
+
+    Where the tail begins follows from the lengths alone; ids are read of the documents in it only.
+    """
+    lengths = offsets(tokens.select("seq", F.size("ids").alias("n")), "n").filter("n > 0")
+    total = lengths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    begin = int(total * (1 - fraction))
+    inside = lengths.filter(F.col("start") + F.col("n") > begin)
+    own = tokens.join(inside, "seq").select(F.greatest(F.col("start") - begin, F.lit(0)).alias("start"), F.expr(f"slice(ids, int(greatest({begin} - start, 0)) + 1, size(ids))").alias("ids"))
+    placed = own.withColumn("n", F.size("ids"))
+    each = placed.select("ids", "start", "n", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n") - 1) / size))).alias("block"))
+    low, high = F.greatest(F.col("start"), F.col("block") * size), F.least(F.col("start") + F.col("n"), (F.col("block") + 1) * size)
+    part = F.slice("ids", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+    whole = each.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(low.alias("p"), part.alias("part")))).alias("parts"))
+    return whole.select("block", F.flatten(F.transform("parts", lambda x: x["part"])).alias("ids")).filter(F.size("ids") == size)
+
+
 def next_fit(lengths: DataFrame, size: int, scope: str | None = None) -> DataFrame:
     """seq, pack, segment, start for documents of at most ``size`` tokens, packed next-fit in order.
 

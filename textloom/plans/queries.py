@@ -739,5 +739,5 @@ def names() -> list[str]:
     return list(QUERIES)
 
 
-from . import records, streams  # noqa: E402, F401, I001 - add their queries, records first
+from . import branches, records, streams  # noqa: E402, F401, I001 - add their queries, records before streams
 

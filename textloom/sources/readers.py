@@ -70,6 +70,12 @@ def all_of(*frames: DataFrame) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def csv_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of CSV files with a header, as strings or by a schema; what doesn't fit the schema is null."""
+    read = spark.read.option("header", "true").option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", "true")
+    return (read.schema(schema) if schema else read).csv(path)
+
+
 def latest_version(names: list[str]) -> str:
     """sample-10BT if it is there; the latest CC-MAIN-year-week; the latest eight-digit date of English; else the last name."""
     import re

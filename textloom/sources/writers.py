@@ -41,6 +41,17 @@ def by_column(df: DataFrame, column: str, path: str) -> None:
     df.write.mode("overwrite").partitionBy(column).json(path)
 
 
+def by_column_and_merged(df: DataFrame, column: str, path: str) -> None:
+    """A folder for each value under ``by``, and all rows, with the column, under ``merged``."""
+    by_column(df, column, f"{path}/by")
+    jsonl(df, f"{path}/merged")
+
+
+def metric_log(rows: DataFrame, path: str) -> None:
+    """(step, metric, value) added to a log of CSV files, each with a header; what was there stays."""
+    rows.select("step", "metric", "value").write.mode("append").option("header", "true").option("escape", "\"").csv(path)
+
+
 def tokenizer_text(df: DataFrame, path: str) -> None:
     """Stripped texts, one after another; a text with line breaks takes several lines."""
     df.select(tx.strip(F.col("text")).alias("value")).write.mode("overwrite").text(path)
