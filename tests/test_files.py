@@ -58,3 +58,32 @@ def test_tail_blocks(spark, fraction, size):
     tail = flat[int(len(flat) * (1 - fraction)) :]
     found = tokens.tail_blocks(spark.createDataFrame(rows, "seq long, ids array<int>"), fraction, size).orderBy("block").collect()
     assert [r.ids for r in found] == [tail[i : i + size] for i in range(0, len(tail) - size + 1, size)]
+
+
+def test_mistakes_of_a_reader_are_not_hidden(spark, tmp_path):
+    """What can't be read is left out and named; an error in the reader's own code comes through."""
+    from textloom.operators import corpora
+
+    rows = spark.range(3).selectExpr("id AS seq")
+    skipped = {}
+    found = corpora.shared_quota({"a": lambda: spark.read.parquet(f"{tmp_path}/nowhere"), "b": lambda: rows}, 9, skipped)
+    assert found.count() == 3 and list(skipped) == ["a"]
+
+    def mistaken():
+        return rows.nothing_like_this()  # noqa
+
+    def typed():
+        return rows + 1
+
+    for wrong in (typed,):
+        with pytest.raises(TypeError):
+            corpora.shared_quota({"a": wrong, "b": lambda: rows}, 9)
+        with pytest.raises(TypeError):
+            corpora.source_or(wrong, lambda: rows)
+    with pytest.raises(Exception, match="UNRESOLVED"):
+        corpora.source_or(lambda: rows.select("nowhere"), lambda: rows)
+    with pytest.raises(AttributeError):
+        corpora.source_or(mistaken, lambda: rows)
+    (tmp_path / "broken.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        corpora.cached(spark, f"{tmp_path}/broken.parquet", lambda: rows)

@@ -7,6 +7,8 @@ import functools
 from collections.abc import Callable
 from typing import Any, TypeVar
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, SparkRuntimeException, UnknownException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,17 +57,27 @@ def resolved(catalog: DataFrame, overrides: DataFrame, names: list[str]) -> Data
 # Sources
 
 
-def shared_quota(parts: dict[str, Callable[[], DataFrame]], quota: int) -> DataFrame:
+def unreadable(e: Exception) -> bool:
+    """Whether an error says that a source can't be read: one of files, networks or Spark's readers. Mistakes in a reader's own code aren't such, a column that isn't there included."""
+    if isinstance(e, AnalysisException):
+        return not (e.getCondition() or "").startswith("UNRESOLVED")
+    return isinstance(e, OSError | Py4JError | SparkRuntimeException | UnknownException)
+
+
+def shared_quota(parts: dict[str, Callable[[], DataFrame]], quota: int, skipped: dict[str, Exception] | None = None) -> DataFrame:
     """config, seq and the other columns of several configurations of one source, ``quota`` rows in all, in order.
 
-    A configuration that can't be read is skipped. Rows are numbered in two phases: by what each cell holds, then within.
+    A configuration that can't be read is left out, and ``skipped`` gets its name and error. Rows are numbered in two phases: by what each cell holds, then within.
     """
     frames = []
     for rank, (name, read) in enumerate(parts.items()):
         try:
             frames.append(read().select(F.lit(rank).alias("_rank"), F.lit(name).alias("config"), "*"))
-        except Exception:  # as the source's readers raise it: any kind
-            continue
+        except Exception as e:
+            if not unreadable(e):
+                raise
+            if skipped is not None:
+                skipped[name] = e
     if not frames:
         raise ValueError("no configuration can be read")
     both = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -89,7 +101,9 @@ def cached(spark: SparkSession, path: str, read: Callable[[], DataFrame], fallba
     def held() -> DataFrame | None:
         try:
             df = spark.read.parquet(path)
-        except Exception:  # no such folder, or no files in it
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no such folder, or no files in it
+                raise
             return None
         return None if df.isEmpty() else df
 
@@ -106,8 +120,8 @@ def source_or(read: Callable[[], DataFrame], fallback: Callable[[], DataFrame] |
         df = read()
         if fallback is None or not df.isEmpty():
             return df
-    except Exception:
-        if fallback is None:
+    except Exception as e:
+        if fallback is None or not unreadable(e):
             raise
     return fallback()
 

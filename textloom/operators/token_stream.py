@@ -63,8 +63,9 @@ def tokenizer_statistics(tokens: DataFrame, unknown: int, vocabulary: int, lines
     rows = tokens.orderBy("seq").limit(lines)
     n = F.sum(F.size("ids"))
     unknowns = F.sum(F.size(F.filter("ids", lambda i: i == unknown)))
-    used = F.size(F.array_distinct(F.flatten(F.collect_set(F.array_distinct("ids")))))
-    return rows.agg((n / F.count("*")).alias("avg_tokens"), F.try_divide(F.sum(F.length("text")), n).alias("chars_per_token"), F.try_divide(unknowns, n).alias("unknown_rate"), (used / vocabulary).alias("coverage"))
+    used = rows.select(F.explode("ids").alias("id")).agg((F.count_distinct("id") / vocabulary).alias("coverage"))  # ids are never gathered in a row
+    sums = rows.agg((n / F.count("*")).alias("avg_tokens"), F.try_divide(F.sum(F.length("text")), n).alias("chars_per_token"), F.try_divide(unknowns, n).alias("unknown_rate"))
+    return sums.join(F.broadcast(used))
 
 
 def full_packs(packs: DataFrame, size: int, least_last: int = 100) -> DataFrame:
