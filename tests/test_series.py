@@ -67,3 +67,12 @@ def test_rolling_count(df, rows):
         mine = own(rows, name)
         for r in mine:
             assert found[r[2]] == sum(0 <= (r[3] - x[3]).total_seconds() <= 60 for x in mine)
+
+
+def test_loss_spikes_without_a_series_and_with_repeated_steps(spark, monkeypatch):
+    monkeypatch.setattr(series, "BLOCK_ROWS", 10)
+    values = [float(1 + i // 7 % 5) for i in range(70)]
+    data = [(name, i // 7, v) for name in (None, "a") for i, v in enumerate(values)]
+    found = evaluation.loss_spikes(spark.createDataFrame(data, "series string, step long, value double"), 10, 1.5).collect()
+    wanted = sorted((name or "", i // 7, i >= 9 and v > 1.5 * sum(values[i - 9 : i + 1]) / 10) for name in (None, "a") for i, v in enumerate(values))
+    assert sorted((r.series or "", r.step, r.spike) for r in found) == wanted

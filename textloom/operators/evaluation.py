@@ -43,9 +43,9 @@ def calibration_error(bins: DataFrame) -> DataFrame:
 
 
 def loss_spikes(series: DataFrame, window: int = 100, threshold: float = 2.0) -> DataFrame:
-    """spike: the value is over ``threshold`` times the mean of its last ``window`` values; false until there are as many. Steps differ in a series."""
+    """spike: the value is over ``threshold`` times the mean of its last ``window`` values; false until there are as many. Rows of one step come in any order."""
     rows = with_neighbours(placed(series, "step"), window - 1)
-    w = Window.partitionBy("series", "_block").orderBy("step").rowsBetween(-(window - 1), 0)
+    w = Window.partitionBy("series", "_block").orderBy("_at").rowsBetween(-(window - 1), 0)
     found = rows.withColumn("mean", F.avg("value").over(w)).withColumn("spike", (F.count("*").over(w) == window) & (F.col("value") > threshold * F.col("mean")))
     return found.filter("_own").select(*series.columns, "mean", "spike")
 

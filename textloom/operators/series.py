@@ -34,7 +34,9 @@ def running(cells: DataFrame, value: Column, name: str, how, *order: str, first=
     per = Window.partitionBy("series").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("series", "_cell").agg(how("_value").alias("_all")).select("series", "_cell", how("_all").over(per).alias("_base"))
     within = how("_value").over(_before("series", "_cell", *order))
-    out = rows.withColumn("_own", within).join(sums, ["series", "_cell"])
+    sums = sums.select(F.col("series").alias("_series"), F.col("_cell").alias("_part"), "_base")
+    # Rows without a series are one series.
+    out = rows.withColumn("_own", within).join(sums, F.col("series").eqNullSafe(F.col("_series")) & (F.col("_cell") == F.col("_part"))).drop("_series", "_part")
     found = combine(F.col("_base"), F.col("_own"))
     return out.withColumn(name, found if first is None else F.coalesce(found, F.lit(first))).drop("_value", "_own", "_base")
 
