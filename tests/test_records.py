@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import corpora, dedup, distill, evaluation, token_stream
+from textloom.plans import queries as plans
 
 
 def test_stream_round_trip(spark, tmp_path):
@@ -156,3 +157,17 @@ def test_semantic_duplicates_by_quality(spark):
     texts = [(1, base, 0.5), (2, base, 0.5), (3, base, 0.9), (4, base, 0.7), (5, "other words that nobody else has", 0.1), (6, base, None), (7, "other words that nobody else has", None)]
     df = spark.createDataFrame(texts, "seq long, text string, quality double")
     assert {r.seq for r in dedup.semantic_dedup(spark, df).collect() if r.kept} == {1, 3, 5}
+
+
+def test_the_sample_chain_is_its_sql_on_odd_rows(spark, same_rows, tmp_path):
+    """Dangling ends, brackets, no language, letters before a harmful word: rules of the whole chain that SQL doesn't have."""
+    import duckdb
+
+    long = "a b c d " * 40
+    texts = [("This short sentence of a text ends in and", "en"), ("[a short text that begins with a bracket", "en"), ("A text in no language that is known to us", None), ("A text in a language that is left out here", "fr")]
+    texts += [("La voiture d\u00e9rape, d\u00e9rape, d\u00e9rape et encore.", "en"), ("We hate, kill and bomb in this one sentence.", "de"), (None, "en"), ("short", "en"), (long, "en"), (long[:110], "en"), (long[:110].replace(" ", "  "), "en")]
+    rows = [(i, text, lang, "src1", len(text or "")) for i, (text, lang) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(plans.QUERIES["sample_chain"](spark, str(tmp_path)), con, plans.ORACLE["sample_chain"])
