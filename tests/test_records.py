@@ -171,3 +171,56 @@ def test_the_sample_chain_is_its_sql_on_odd_rows(spark, same_rows, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     same_rows(plans.QUERIES["sample_chain"](spark, str(tmp_path)), con, plans.ORACLE["sample_chain"])
+
+
+def test_batches_of_many_rows_are_taken_a_few_at_a_time():
+    import pyarrow as pa
+
+    from textloom.functions import counting
+
+    batch = pa.record_batch([pa.array(range(1000)), pa.array([[i] for i in range(1000)])], names=["seq", "ids"])
+    parts = list(counting.few_batches([batch]))
+    assert max(p.num_rows for p in parts) == counting.ROWS and [i for p in parts for i in p.column(0).to_pylist()] == list(range(1000))
+    assert [x for a, b in counting.few(batch.column(0), batch.column(1)) for x in zip(a, b)] == [(i, [i]) for i in range(1000)]
+
+
+def test_long_batches_are_encoded_split_and_signed_a_few_rows_at_a_time(spark):
+    import pyarrow as pa
+    import public_tokenizers
+
+    from textloom.functions import counting
+    from textloom.operators import documents
+
+    class Spy:
+        """Gives the function that Spark would run."""
+
+        def select(self, *_):
+            return self
+
+        def filter(self, *_):
+            return self
+
+        def unionByName(self, other):
+            return other
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    for made, name, values in (
+        (token_stream.encode(Spy(), file), "text", ["a b c"] * 1000),
+        (token_stream.decode(Spy(), file), "ids", [[1, 2]] * 1000),
+        (documents.split_documents(Spy(), 5), "text", ["a b c"] * 1000),
+        (dedup.minhash_signatures(Spy(), 4), "norm", ["a b c"] * 1000),
+    ):
+        out = list(made.run(iter([pa.record_batch([pa.array(range(1000)), pa.array(values)], names=["seq", name])])))
+        assert sum(b.num_rows for b in out) == 1000 and max(b.num_rows for b in out) <= counting.ROWS
+
+
+def test_statistics_order_ids_of_rows_only(spark):
+    rows = [(i, "ab " * i, list(range(i))) for i in range(40)]
+    found = token_stream.tokenizer_statistics(spark.createDataFrame(rows, "seq long, text string, ids array<long>"), 3, 100, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    ordered = [x for x in plan.split("\n") if "TakeOrdered" in x]
+    assert ordered and not [x for x in ordered if "ids" in x or "text" in x] and found.first().avg_tokens == 4.5

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.counting import few_batches
+
 
 def packed_runs(parts: list[str], gap: str, most: int) -> list[str]:
     """The longest runs of parts that, with gaps between them, fit into ``most`` characters; a part that doesn't is a run by itself.
@@ -41,7 +43,7 @@ def split_documents(df: DataFrame, most: int) -> DataFrame:
     """seq, part, text: long texts in parts; those that fit never leave the JVM's batch of one."""
 
     def run(batches):
-        for b in batches:
+        for b in few_batches(batches):
             rows = [(s, i, p) for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, p in enumerate(split_text(t or "", most))]
             columns = zip(*rows) if rows else [()] * 3
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.string()])], names=["seq", "part", "text"])
