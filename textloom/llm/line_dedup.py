@@ -13,7 +13,8 @@ from .common import Scratch, pick, raw_bytes
 #: Distinct lines that a task gathers before it sends them on.
 CHUNK_LINES = 100_000
 #: Lines whose texts are fetched by broadcasting where they are; beyond this number the texts are shuffled instead.
-FETCH_BY_BROADCAST = 500_000
+#: The driver builds the broadcast, so it is kept to a few MB.
+FETCH_BY_BROADCAST = 50_000
 LINES = "line binary, doc_id long, line_no int, key long, k0 long, k1 long, k2 long, k3 long"
 VARIANTS = "variant long, kind int, doc_id long, line_no int, key long"
 SUBSTITUTED, DELETED, WHOLE = 0, 1, 2
