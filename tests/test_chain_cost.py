@@ -1,12 +1,14 @@
 """Filters over odd texts against SQL, and how often the chain evaluates them."""
 
+import hashlib
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from textloom.functions import text as tx
-from textloom.operators import filters
+from textloom.operators import dedup, filters, token_stream, tokens
 from textloom.plans import queries
 
 PIECES = ["1", "l", "I", "|", "}", "{ ", "\n", " ", "\t", "\r\n", "â€?", "Ã©", "word", "ſex", "poKer", "ſlots", "<b>", "{a}", "var x", "=> {", "café", "\x07", "�", "A" * 85, "\U0001f600", "click here", "[", "]", " "]
@@ -46,3 +48,45 @@ def test_strip_looks_at_the_ends(spark):
     texts = ["", " ", " a b　", "a", "\x1c\n a", "a \x85", "a b", None]
     found = spark.createDataFrame([(t,) for t in texts], "text string").select(tx.strip(tx.F.col("text")).alias("t"))
     assert [r.t for r in found.collect()] == [None if t is None else t.strip() for t in texts]
+
+
+def test_word_ids_are_those_of_the_sql(spark, odd, same_rows, monkeypatch):
+    """Also when a task forgets words, and for texts of no words."""
+    path, con = odd
+    same_rows(queries.QUERIES["truncate_tokens"](spark, path), con, queries.ORACLE["truncate_tokens"])
+    monkeypatch.setattr(tokens, "KNOWN_WORDS", 2)
+    known = tokens.WordIds()
+    assert [known[w] for w in "a b c a b c é".split()] == [int(hashlib.md5(w.encode()).hexdigest()[:4], 16) for w in "a b c a b c é".split()] and len(known) <= 2
+    assert "md5" not in queries._ids(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("cell_rows", [1, 2, 7, 1000])
+def test_chunks_over_borders_of_cells(spark, cell_rows):
+    """Long, short, empty and null documents; and ids are shuffled once, but for borders."""
+    draw = random.Random(3)
+    lists = [None if i % 11 == 3 else list(range(i * 1000, i * 1000 + draw.choice([0, 1, 2, 5, 30]))) for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(lists)), "seq long, ids array<long>").repartition(3)
+    flat = [x for ids in lists for x in ids or ()]
+    found = {r.chunk: (r.ids, r.labels) for r in tokens.chunks(rows, 8, cell_rows).collect()}
+    assert found == {i: (flat[i * 8 : i * 8 + 8], flat[i * 8 + 1 : i * 8 + 9]) for i in range((len(flat) - 1) // 8)}
+
+
+def test_order_of_a_stream_needs_no_ids(spark):
+    """Runs of the order by partition; where they end is found without the ids, which a sort would work out twice."""
+    made = spark.sparkContext.accumulator(0)
+
+    @tx.F.udf("array<long>")
+    def costly(i):
+        made.add(1)
+        return [i or 0]
+
+    seqs = [None, *range(50, 0, -1), 2**60]
+    rows = spark.createDataFrame([(i,) for i in seqs], "seq long").repartition(3).withColumn("ids", costly("seq"))
+    parts = token_stream.in_order(rows).rdd.glom().map(lambda part: [r.seq for r in part]).collect()
+    assert [x for part in parts for x in part] == [None, *range(1, 51), 2**60]
+    assert made.value == len(seqs) and sum(map(bool, parts)) > 1
+
+
+def test_modulo_without_division():
+    v = np.array([0, 1, dedup.PRIME - 1, dedup.PRIME, dedup.PRIME + 1, 2 * dedup.PRIME, 2**64 - 1, 2**63, (dedup.PRIME - 1) ** 2 + dedup.PRIME - 1], dtype=np.uint64)
+    assert (dedup.modulo_prime(v.copy()) == v % np.uint64(dedup.PRIME)).all()
