@@ -99,3 +99,50 @@ def test_counters_of_a_resumed_stream(spark, tmp_path):
     run(second)
     kept = sum(not (r[1] is not None and len(r[1]) < 10) for r in mine)
     assert second.totals() == {"processed": 40, "kept": kept} and sorted(calls) == [0, 1, 2, 3]
+
+
+def test_the_state_is_asked_once_for_many_keys(spark, tmp_path, monkeypatch):
+    """Keys of one bucket are one value of the state, over batches and with copies; before, each key was one and made calls of its own."""
+    monkeypatch.setattr(seen, "BUCKETS", 3)
+    mine = [(i, f"text {i % 50 if i % 7 else 'hot'}", "en") for i in range(120)]
+    stream = parts(spark, tmp_path, mine, 3)
+    with seen.keyed_state(spark):
+        query = seen.first_seen_with_reason(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination()
+    first = {}
+    wanted = {(i, first.setdefault(t, i), first[t] != i) for i, t, _ in mine}
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("seq", "first", "duplicate").collect()} == wanted
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
+def test_forgotten_texts_are_first_again():
+    """A key is forgotten when its time is over, though others of its bucket still come."""
+    import pandas as pd
+
+    held = []
+
+    class State:
+        def get(self):
+            return held[-1] if held else None
+
+        def update(self, value):
+            held.append(value)
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.ms
+
+    op = seen.FirstOfKeys(100)
+    op.known = State()
+    a, b = b"a" * 32, b"b" * 32
+
+    def run(ms, *rows):
+        part = pd.DataFrame(rows, columns=["k", "seq"])
+        return [tuple(r) for out in op.handleInputRows((0,), iter([part]), Now(ms)) for r in out.itertuples(index=False)]
+
+    assert run(0, (a, 5), (a, 3), (b, 4)) == [(5, 3, True), (3, 3, False), (4, 4, False)]
+    assert run(60, (b, 7)) == [(7, 4, True)]
+    assert run(120, (a, 9), (b, 8)) == [(9, 9, False), (8, 4, True)]
