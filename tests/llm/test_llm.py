@@ -723,6 +723,24 @@ def test_lines_within_one_edit_go(spark, monkeypatch):
     assert line_dedup.line_dedup(spark, nothing(spark)).count() == 0
 
 
+def test_variants_of_lines_are_never_broadcast(spark, monkeypatch):
+    from textloom.llm import line_dedup
+
+    plans = []
+
+    class Seen(line_dedup.Scratch):
+        def keep(self, df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().keep(df)
+
+    monkeypatch.setattr(line_dedup, "Scratch", Seen)
+    out = line_dedup.line_dedup(spark, spark.createDataFrame([(i, f"a line of some length {i % 9}") for i in range(40)], "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    pairs, verified, last = plans[-3:]
+    assert "variant" in pairs and "levenshtein" in verified and "kept" in last
+    assert not any("Broadcast" in p for p in (pairs, verified, last))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abé😀", min_size=1, max_size=9), st.integers(0, 8), st.sampled_from(["cut", "put", "swap"]), st.sampled_from("abé😀"))
 def test_lines_one_edit_apart_share_half_and_variant(a, at, how, c):

@@ -180,14 +180,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     emitted = texts.mapInArrow(neighbourhood, VARIANTS)
     met = emitted.groupBy("variant").agg(F.count("*").alias("n"), *[F.min(F.when(F.col("kind") == k, at)).alias(f"first{k}") for k in (SUBSTITUTED, DELETED, WHOLE)]).filter("n > 1").drop("n")
     partner = F.when(F.col("kind") == SUBSTITUTED, F.col("first0")).when(F.col("kind") == DELETED, F.col("first2")).otherwise(F.col("first1"))
-    pairs = emitted.join(met, "variant").select(at.alias("later"), partner.alias("earlier")).filter("earlier < later").distinct()
+    # Spark takes what it doesn't know for as large as what it came from: variants for a line's length, texts for their compressed bytes. Both are
+    # many times that, so none of these joins is left to be a broadcast that the driver builds.
+    pairs = emitted.join(met.hint("merge"), "variant").select(at.alias("later"), partner.alias("earlier")).filter("earlier < later").distinct()
     pairs = scratch.keep(pairs.select(F.col("later.key").alias("key"), F.col("later.line_no").alias("line_no"), F.col("earlier.key").alias("key_b"), F.col("earlier.line_no").alias("line_no_b")))
     one = texts.select("key", "line_no", F.col("line").alias("a"))
     two = texts.select(F.col("key").alias("key_b"), F.col("line_no").alias("line_no_b"), F.col("line").alias("b"))
-    verified = pairs.join(one, ["key", "line_no"]).join(two, ["key_b", "line_no_b"]).filter(F.levenshtein("a", "b", 1) >= 0)
+    verified = pairs.join(one.hint("merge"), ["key", "line_no"]).join(two.hint("merge"), ["key_b", "line_no_b"]).filter(F.levenshtein("a", "b", 1) >= 0)
     gone = scratch.keep(verified.select("key", "line_no").distinct())
 
-    kept = lines.join(gone, ["key", "line_no"], "left_anti").groupBy("key").agg(F.collect_list("line_no").alias("kept"))
+    kept = lines.join(gone.hint("merge"), ["key", "line_no"], "left_anti").groupBy("key").agg(F.collect_list("line_no").alias("kept"))
 
     def cut(batches):
         for b in batches:
@@ -205,5 +207,5 @@ def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
             n, removed, texts_ = zip(*out) if out else ((), (), ())
             yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts_, pa.binary())], names=["doc_id", "n_lines", "n_removed", "kept_text"])
 
-    out = rows.join(kept, "key", "left").mapInArrow(cut, "doc_id long, n_lines long, n_removed long, kept_text binary")
+    out = rows.join(kept.hint("merge"), "key", "left").mapInArrow(cut, "doc_id long, n_lines long, n_removed long, kept_text binary")
     return out.withColumn("kept_text", F.col("kept_text").cast("string"))
