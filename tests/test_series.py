@@ -76,3 +76,30 @@ def test_loss_spikes_without_a_series_and_with_repeated_steps(spark, monkeypatch
     found = evaluation.loss_spikes(spark.createDataFrame(data, "series string, step long, value double"), 10, 1.5).collect()
     wanted = sorted((name or "", i // 7, i >= 9 and v > 1.5 * sum(values[i - 9 : i + 1]) / 10) for name in (None, "a") for i, v in enumerate(values))
     assert sorted((r.series or "", r.step, r.spike) for r in found) == wanted
+
+
+def test_a_mean_is_rounded_as_the_sql_rounds_it(spark, monkeypatch):
+    """Of values that are exactly twice the mean, rounding alone says which is over it."""
+    import duckdb
+
+    monkeypatch.setattr(series, "BLOCK_ROWS", 1_000)
+    draw, values = random.Random(5), []
+    while len(values) < 6_000:
+        values.append(draw.randrange(1, 12_000))
+        rest = sum(values[-99:])
+        if len(values) >= 99 and rest % 49 == 0:  # 100 x = 2 (rest + x)
+            values.append(rest // 49)
+    rows = [("a" if i % 7 else "b", i, v / 100) for i, v in enumerate(values)]
+    rows += [("c", i, v / 100) for i, v in enumerate(values)] + [(None, i, None if i % 50 == 0 else v / 10) for i, v in enumerate(values[:1000])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE s (series VARCHAR, step BIGINT, value DOUBLE)")
+    con.executemany("INSERT INTO s VALUES (?, ?, ?)", rows)
+    frame = spark.createDataFrame(rows, "series string, step long, value double").repartition(5)
+    for window in (100, 300):
+        w = f"OVER (PARTITION BY series ORDER BY step ROWS {window - 1} PRECEDING)"
+        # One series at a time: DuckDB may put series together, and then adds up from another place in those that come second.
+        sql = f"SELECT series, step, avg(value) {w}, value > 2.0 * avg(value) {w} AND count(*) {w} = {window} FROM s WHERE series IS NOT DISTINCT FROM ?"
+        wanted = [r for name in ("a", "b", "c", None) for r in con.execute(sql, [name]).fetchall()]
+        found = [(r.series, r.step, r.mean, r.spike) for r in evaluation.loss_spikes(frame, window).collect()]
+        order = lambda r: (r[0] or "", r[1])
+        assert sorted(found, key=order) == sorted(wanted, key=order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,12 +43,62 @@ def calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("confidence"))) / F.sum("n")).alias("ece"))
 
 
+#: Values that are added up at a time in a mean over a window.
+ADDED = 16
+
+
+def frame_sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray, total: np.ndarray | float = 0.0) -> np.ndarray:
+    """``total`` and the sums of values[begin:end], in this order: single ones up to a multiple of ``ADDED``, sums of ``ADDED`` (by the same rule), single ones.
+
+    So a sum is rounded in one way wherever its rows lie, and as DuckDB rounds it: a value that is exactly
+    the threshold times the mean is then over it or not as the SQL says.
+    """
+    first, last = -(-begin // ADDED), end // ADDED
+    total = total + np.zeros(len(begin))
+
+    def single(start, stop):
+        nonlocal total
+        for i in range(ADDED - 1):
+            at = start + i
+            total = np.where(at < stop, total + values[np.minimum(at, len(values) - 1)], total)
+
+    left = np.minimum(first * ADDED, end)
+    single(begin, left)
+    if (first < last).any():
+        whole = values[: len(values) // ADDED * ADDED].reshape(-1, ADDED)
+        sums = np.zeros(len(whole))
+        for i in range(ADDED):
+            sums = sums + whole[:, i]
+        total = frame_sums(sums, first, np.maximum(first, last), total)
+    single(np.maximum(left, last * ADDED), end)
+    return total
+
+
 def loss_spikes(series: DataFrame, window: int = 100, threshold: float = 2.0) -> DataFrame:
     """spike: the value is over ``threshold`` times the mean of its last ``window`` values; false until there are as many. Rows of one step come in any order."""
     rows = with_neighbours(placed(series, "step"), window - 1)
-    w = Window.partitionBy("series", "_block").orderBy("_at").rowsBetween(-(window - 1), 0)
-    found = rows.withColumn("mean", F.avg("value").over(w)).withColumn("spike", (F.count("*").over(w) == window) & (F.col("value") > threshold * F.col("mean")))
-    return found.filter("_own").select(*series.columns, "mean", "spike")
+    columns, aligned = series.columns, ADDED
+    while aligned <= window:
+        aligned *= ADDED
+
+    def found(block: pa.Table) -> pa.Table:
+        block = block.sort_by("_at")
+        column = block.column("value").combine_chunks().cast(pa.float64())
+        none = column.is_null().to_numpy(zero_copy_only=False)
+        ahead = block.column("_at")[0].as_py() % aligned
+        values = np.concatenate([np.zeros(ahead), np.where(none, 0.0, column.to_numpy(zero_copy_only=False))])
+        end = np.arange(ahead, len(values)) + 1
+        begin = np.maximum(end - window, ahead)
+        counts = np.concatenate([np.zeros(ahead + 1, np.int64), np.cumsum(~none)])
+        n = counts[end] - counts[begin]
+        mean = frame_sums(values, begin, end) / np.maximum(n, 1)
+        full = end - begin == window
+        spike = full & (values[ahead:] > threshold * mean)
+        made = block.select(columns).append_column("mean", pa.array(mean, mask=n == 0)).append_column("spike", pa.array(spike, mask=full & none))
+        return made.filter(block.column("_own"))
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in series.dtypes) + ", mean double, spike boolean"
+    return rows.groupBy("series", "_block").applyInArrow(found, schema)
 
 
 def early_stopping(series: DataFrame, patience: int, min_delta: float = 0.0) -> DataFrame:
