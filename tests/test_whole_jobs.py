@@ -154,3 +154,33 @@ def test_quality_queries_apply_the_compression_bound(spark, sf_dir, tmp_path):
         row = plans.QUERIES["quality_summary_full"](spark, sf).filter("metric = 'compression_ratio'").first()
         assert (row["mean"], row["least"], row["most"]) == pytest.approx((sum(want.values()) / len(want), min(want.values()), max(want.values())), abs=1e-5)
     assert [found[str(tmp_path)][i] for i in (1, 2, 3)] == ["compression_ratio<min", "keep", "compression_ratio>max"]
+
+
+def test_sets_are_written_once_and_compared_with_one_first_row(spark, monkeypatch):
+    import random
+
+    from textloom.operators import dedup
+
+    draw, written = random.Random(8), []
+    bases = [[f"w{draw.randrange(400)}" for _ in range(30)] for _ in range(8)]
+    rows = []
+    for i in range(90):
+        words = list(draw.choice(bases))
+        for _ in range(draw.randrange(3)):
+            words[draw.randrange(30)] = f"x{draw.randrange(20)}"
+        rows.append((i, " ".join(words), draw.choice(["a", "b"])))
+    keep = dedup.Tables.keep
+    monkeypatch.setattr(dedup.Tables, "keep", lambda self, df: written.append(df.columns) or keep(self, df))
+    grams = lambda t: {tuple(t.split()[i : i + 3]) for i in range(28)}
+    sets = {(frozenset(grams(t)), lang): i for i, t, lang in reversed(rows)}
+    firsts = sorted((i, s, lang) for (s, lang), i in sets.items())
+    want = {(i, j): len(s & z) / len(s | z) for i, s, one in firsts for j, z, two in firsts if i < j and one == two and len(s & z) >= 0.6 * len(s | z)}
+    frame = spark.createDataFrame(rows, "seq long, text string, lang string")
+    for together, ids, held in ((1_000, 1_000_000, 2_000_000), (3, 1_000_000, 100), (1_000, 0, 100)):
+        for name, value in (("MOST_TOGETHER", together), ("MOST_IDS", ids), ("HELD", held)):
+            monkeypatch.setattr(dedup, name, value)
+        for join in (dedup.similar_sets, dedup.links_by_heads):
+            written.clear()
+            _, links = join(spark, frame, 3, 0.6, "lang")
+            assert {(r.earlier, r.later): pytest.approx(r.similarity) for r in links.collect()} == want
+            assert sum("items" in c for c in written) == (1 if ids else 1 + (join is dedup.similar_sets))
